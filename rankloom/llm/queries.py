@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import distinctive, formatdup, fusion, neardup
-from rankloom.session import latest, load
+from rankloom.llm import canonical, distinctive, formatdup, fusion, mixing, neardup, packing, pii, residue
+from rankloom.llm.tokens import token_sizes
+from rankloom.session import latest, load, materialize
 
 RUN_SCORES = ["fused", "final_score", "lexical_total", "semantic_mean", "weight_met"]
 
@@ -25,6 +26,29 @@ def _term_units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
+    candidates = load(spark, d, "candidates")
+    evidence = load(spark, d, "evidence")
+    columns = lambda df, field, text: df.select(F.lit(field).alias("field"), F.col("id").alias("record_id"), F.col(text).alias("text"))
+    return (
+        columns(candidates, "candidates.raw_text", "raw_text")
+        .unionByName(columns(candidates, "candidates.name", "name"))
+        .unionByName(columns(evidence, "evidence.text", "text"))
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    given, family = pii.name_dictionary(load(spark, d, "candidates"), "name")
+    values = pii.personal_values(_personal_texts(spark, d), given, family)
+    return values.select("field", "record_id", "pii_type", "start_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with each personal value replaced by its type."""
+    given, family = pii.name_dictionary(load(spark, d, "candidates"), "name")
+    return pii.redacted(_personal_texts(spark, d).distinct(), given, family)
+
+
 def p2_weights(spark: SparkSession, d: str) -> DataFrame:
     """Every term of every record with its relevance weight, rounded."""
     w = distinctive.term_weights(_term_units(spark, d))
@@ -67,6 +91,79 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return g.where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))
 
 
+def _typed_values(spark: SparkSession, d: str) -> DataFrame:
+    def rows(df: DataFrame, field: str, key: str, array: str) -> DataFrame:
+        return df.select(
+            F.lit(field).alias("field"), F.col(key).alias("record_id"), F.posexplode(array).alias("_p", "value")
+        ).select("field", "record_id", (F.col("_p") + 1).cast("int").alias("value_pos"), "value")
+
+    claims = load(spark, d, "evidence").where(F.col("unit_kind") == "claim")
+    every = (
+        rows(load(spark, d, "candidates"), "candidates.skills_declared", "id", "skills_declared")
+        .unionByName(rows(load(spark, d, "requirements"), "requirements.aliases", "req_key", "aliases"))
+        .unionByName(
+            latest(claims, ["id"], ["normalized"]).select(
+                F.lit("evidence.normalized").alias("field"), F.col("id").alias("record_id"), F.lit(1).alias("value_pos"), F.col("normalized").alias("value")
+            )
+        )
+    )
+    return every.where(F.col("value").isNotNull())
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    values = _typed_values(spark, d)
+    entries = canonical.map_values(values, load(spark, d, "skill_catalog"), "skill_id", "canonical", "also_known")
+    return values.join(entries, "value").select("field", "record_id", "value_pos", F.col("entry").alias("skill_id"))
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that mean no entry, with the number of their rows."""
+    values = _typed_values(spark, d)
+    entries = canonical.map_values(values, load(spark, d, "skill_catalog"), "skill_id", "canonical", "also_known")
+    none = entries.where("entry = 0").select("value")
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).join(none, "value")
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every document placed in a window of 2,048 tokens."""
+    return packing.pack_documents(token_sizes(load(spark, d, "documents"), "text", ["doc_id"]), "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_windows(spark, d))
+
+
+def _mix_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sized = token_sizes(load(spark, d, "documents"), "text", ["doc_id", "source", "lang", "doc_type"])
+    return sized.select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"), F.col("doc_type").alias("topic"), "tokens")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with the number of copies of each."""
+    return mixing.mix(_mix_sizes(spark, d), load(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    sized = materialize(_mix_sizes(spark, d))
+    targets = load(spark, d, "mix_targets")
+    return mixing.share_report(sized, targets, mixing.mix(sized, targets))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(load(spark, d, "documents"), "doc_id", "text", "source").select("doc_id").distinct()
+
+
+def p10_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The residue messages of the corpus, with their kind and spread."""
+    return residue.residue_messages(load(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without residue documents."""
+    return residue.without_residue(load(spark, d, "documents"), "doc_id", "text", "source").select("doc_id", "source", "n_chars")
+
+
 _P2_UNITS = """
 WITH ev AS (SELECT id, any_value(candidate_id) AS candidate_id, any_value(expanded) AS expanded FROM evidence GROUP BY id),
 units AS (
@@ -130,5 +227,5 @@ SELECT cand_a, cand_b FROM o WHERE c / (na + nb - c) >= 0.6""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_fused, p4_found, p5_found, p5_groups)
+    f.__name__: f for f in (p1_found, p1_redacted, p6_found, p6_unmatched, p8_windows, p8_fill, p9_mixture, p9_shares, p10_found, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p5_found, p5_groups)
 }
