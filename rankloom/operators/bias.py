@@ -49,7 +49,12 @@ def seniority(text: Column) -> Column:
 def flag_phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document, category and lower-cased phrase. All rules are array expressions over one scan, no join."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(0)), lambda x, c=c: F.struct(F.lit(c).alias("category"), F.trim(x).alias("phrase"))) for c, p, _ in RULES]))
+
+    def found(category: str, pattern: str) -> Column:
+        phrases = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+        return F.transform(phrases, lambda x: F.struct(F.lit(category).alias("category"), F.trim(x).alias("phrase")))
+
+    hits = F.flatten(F.array(*[found(c, p) for c, p, _ in RULES]))
     flat = docs.select(F.col(id_col), F.explode(F.array_distinct(hits)).alias("h"))
     return flat.select(id_col, "h.category", "h.phrase").distinct()
 

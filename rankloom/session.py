@@ -1,16 +1,13 @@
-"""Session helpers: table loading, lineage cuts and bounded broadcasts."""
+"""Session helpers: table loading, lineage cuts, latest rows and global positions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A table may be broadcast by hint only when it has at most this many rows.
-MAX_BROADCAST_ROWS = 200_000
-
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a scale-factor directory (a file or a folder of files)."""
@@ -56,3 +53,17 @@ def latest(df: DataFrame, keys: list[str], columns: list[str], order: str | None
     rank = [order] if order and order in df.columns else []
     best = F.max(F.struct(*rank, *[c for c in rest if c not in rank])).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
+
+
+def positions(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in the order of ``column``, whose values are distinct.
+
+    Rows are range partitioned and numbered inside their range; only the ranges' row counts are added up in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, column).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_m"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before")
