@@ -3,7 +3,8 @@
 Records are sets of shingle hashes. For two sets of sizes n and s with Jaccard similarity of at least t, the symmetric
 difference is at most H = (1 - t) / (1 + t) * (n + s). The universe of shingles is cut into m segments by hash. If
 segment i of the one set is given a threshold d_i of -1 (skip), 0 (equal) or 1 (equal up to one deletion), and
-sum(d_i + 1) > H, then some segment must match within its threshold. Each set indexes its segments whole and with one
+sum(d_i + 1) >= H + c, then segments that match within their thresholds have a total of d_i + 1 of at least c, because
+every other one takes at least d_i + 1 of the difference. Each set indexes its segments whole and with one
 element deleted; each set probes the size bands of its possible partners with the cheapest thresholds that make
 the sum. Candidates are verified on whole sets, so no pair is lost and none is wrong.
 """
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from rankloom.session import materialize
 
+#: The thresholds taken add up to this much more than the budget needs, so a pair must match in segments of this total
+#: weight (threshold + 1) to be a candidate. Chance matches come singly; similar pairs match in many segments.
+LEAST_WEIGHT = 4
 #: The sizes of a band differ by at most this factor.
 BAND_RATIO = 1.25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,11 +95,13 @@ def index_keys(h: np.ndarray, d: np.ndarray, band: int, t: float) -> np.ndarray:
     return np.concatenate([_key(band, np.arange(m), whole, 0), less])
 
 
-def probe_keys(h: np.ndarray, d: np.ndarray, band: int, t: float, budget: int) -> np.ndarray:
-    """Keys of the cheapest thresholds that add up to ``budget + 1``.
+def probe_keys(h: np.ndarray, d: np.ndarray, band: int, t: float, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and weights of the cheapest thresholds that add up to ``budget + LEAST_WEIGHT``.
 
     A segment's cost is the number of sets that may share it: at most the document frequency of its rarest element.
-    An empty segment and a segment that one deletion would empty cost most and are taken last.
+    An empty segment and a segment that one deletion would empty cost most and are taken last. A segment's keys have
+    its threshold + 1 as weight; of them, at most one is met by another set. If all thresholds together do not add up
+    to the total, the weights are raised by what is lacking, so that a single match is then enough.
     """
     m = segments_of(band, t)
     seg, h, d, segs, start, length, sig = _grouped(h, d, m)
@@ -106,42 +112,46 @@ def probe_keys(h: np.ndarray, d: np.ndarray, band: int, t: float, budget: int) -
     two = length >= 2
     second[segs[two]] = d[start[two] + 1] + (length[two] - 1) * d[start[two]]
     second = np.maximum(second, first)
-    need = budget + 1
     cost = np.concatenate([first, second])
-    take = np.argsort(cost, kind="stable")[:need]
+    take = np.argsort(cost, kind="stable")[: budget + LEAST_WEIGHT]
+    lacking = max(0, budget + LEAST_WEIGHT - 2 * m)
     whole = np.zeros(m, dtype=np.uint64)
     whole[segs] = sig
     take = np.union1d(take, take[take >= m] - m)  # deletion presupposes the whole segment
     d0 = take[take < m]
     d1 = take[take >= m] - m
-    keys = [_key(band, d0, whole[d0], 0), _key(band, d1, whole[d1], 1)]
     mine = np.isin(seg, d1)
-    keys.append(_key(band, seg[mine], whole[seg[mine]] - h[mine], 0))
-    return np.concatenate(keys)
+    keys = [_key(band, d0, whole[d0], 0), _key(band, d1, whole[d1], 1), _key(band, seg[mine], whole[seg[mine]] - h[mine], 0)]
+    weights = [np.where(np.isin(d0, d1), 2, 1), np.full(len(d1), 2), np.full(int(mine.sum()), 2)]
+    return np.concatenate(keys), np.concatenate(weights) + lacking
 
 
 def _emit(t: float, index: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, weights = [], [], [], []
             for rid, n, hs, df in zip(pdf["id"], pdf["n"], pdf["hs"], pdf["df"]):
                 h = np.asarray(hs, dtype=np.int64).view(np.uint64)
                 d = np.asarray(df, dtype=np.int64)
                 own = band_of(n)
+                got, w = [], []
                 if index:
-                    got = [index_keys(h, d, own, t)]
+                    got.append(index_keys(h, d, own, t))
                 else:
-                    got = []
                     for band in range(band_of(math.ceil(t * n - 1e-9)), own + 1):
                         left = _budget(n, min(n, band_limits(band)[1]), t) - (n - len(h))
                         if left >= 0:
-                            got.append(probe_keys(h, d, band, t, left))
+                            k, x = probe_keys(h, d, band, t, left)
+                            got.append(k)
+                            w.append(x)
+                    weights.append(np.concatenate(w).astype(np.int16) if w else np.empty(0, dtype=np.int16))
                 k = np.concatenate(got) if got else np.empty(0, dtype=np.uint64)
                 ids.append(np.full(len(k), rid, dtype=object))
                 sizes.append(np.full(len(k), n, dtype=np.int32))
                 keys.append(k.view(np.int64))
             if ids:
-                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
+                out = {"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(sizes)}
+                yield pd.DataFrame(out if index else out | {"w": np.concatenate(weights)})
 
     return run
 
@@ -185,14 +195,16 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rest.repartition(parts, "id")
     schema = f"key bigint, id {kind}, n int"
-    probes = spread.mapInPandas(_emit(t, False), schema).select("key", F.col("id").alias("p"), F.col("n").alias("pn"))
+    probes = spread.mapInPandas(_emit(t, False), schema + ", w smallint").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), "w")
     index = spread.mapInPandas(_emit(t, True), schema).select("key", F.col("id").alias("s"), F.col("n").alias("sn"))
     found = (
         probes.join(index, "key")
         .where((F.col("sn") < F.col("pn")) | ((F.col("sn") == F.col("pn")) & (F.col("s") < F.col("p"))))
         .where(F.col("sn") >= F.ceil(F.col("pn") * F.lit(t) - 1e-9))
+        .groupBy("p", "s")
+        .agg(F.sum("w").alias("weight"))
+        .where(F.col("weight") >= LEAST_WEIGHT)
         .select("p", "s")
-        .distinct()
     )
     left = rest.select(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("hs").alias("ph"))
     right = rest.select(F.col("id").alias("s"), F.col("n").alias("sn"), F.col("hs").alias("sh"))
