@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import materialize
+
 #: A message recurs widely if it is found in at least this many documents.
 WIDE_DOCS = 3
 FIELD = "⟦field⟧"
@@ -86,12 +88,30 @@ _TALK = (
     r"^\W*(?:(?:experience|project) 9 ?: )?(?!(?:unsupported|blocked|denied|failed|disabled|damaged|expired)\b)(?:\w+ed|built|cut|wrote|led|taught|typeset|kept|ran|made|set|gave|rewrote)\b|"
     r"\bwas the (?:title|name|subject)\b|\b(?:until|when|while) i\b|\bbans?\b|\b(?:is|are) required for this post\b|\bmy (?:thesis|first|last)\b|\bnot found (?:screen|page that)\b"
 )
-_HINT = (
-    r"(?i)[\[\](){}<>%$@#_*«]|xx/xx|undefined|\bnull\b|goes here|text here|sample text|ipsum|lorem|placeholder|dummy|filler|blindtext|ejemplo|factice|sustituya|action words|bullet|asdf|blah|"
-    r"replace this|before you publish|describe your|type your|script|active content|\berror\b|keyerror|valueerror|typeerror|erreur|fehler|fatal|not found|bad gateway|forbidden|denied|permission|blocked|requests|expired|"
-    r"try again|unavailable|no longer|disponible|encontrada|gefunden|introuvable|could not|cannot be|can't be|not exist|moved or|wandered|timed out|responding|maintenance|traceback|line \d|robot|went wrong|"
-    r"contact |proxy|damaged|whoops|oops|hmm|engineers|reloading|incident|your browser|(?:\b(?:dolor|amet|sed|magna|quis|velit|tempor|nulla|augue|odio|massa|vitae)\b\W*){2}"
-)
+_HINT_MARKS = r"[\[\](){}<>%$@#_*«]"
+#: A word that every residue sentence without such a mark has, lower case, at a word start.
+_HINT_WORDS = (
+    "xx/xx", "undefined", "null", "your text", "your content", "your title", "your summary", "heading", "headline", "subheading", "body ", "caption", "title goes", "text goes",
+    "copy goes", "content goes", "sample text", "dummy", "example text", "placeholder", "filler", "lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "magna", "quis",
+    "velit", "nulla", "augue", "odio", "massa", "vitae", "felis", "mollis", "netus", "lectus", "risus", "urna", "arcu", "blindtext", "texto de", "sustituya", "texte ", "replace this",
+    "edit it before", "describe your", "type your", "bullet", "asdf", "blah", "use action", "script", "javascript", "java script", "client-side script", "active content", "error", "erreur", "fehler",
+    "fatal", "keyerror", "valueerror", "typeerror", "indexerror", "attributeerror", "nameerror", "runtimeerror", "http", "not found", "bad gateway", "forbidden", "unauthor", "internal",
+    "service unavailable", "gateway", "too many requests", "gone", "access denied", "you do not have permission", "request blocked", "blocked", "slow down", "your session", "proxy", "down for",
+    "traceback", "file ", "unsupported", "prove that", "something went", "contact support", "contact the site", "could not be", "cannot be", "can't be", "does not exist", "do not exist",
+    "is no longer", "ya no", "was moved", "has been moved", "has wandered", "unavailable", "failed with", "timed out", "stopped responding", "no encontrada", "nicht gefunden", "introuvable", "whoops",
+    "oops", "hmm", "please go back", "our engineers", "try reloading", "incident", "in your browser", "turn them on", "turn it on",
+)
+
+
+def _by_first_letter(words: tuple[str, ...]) -> str:
+    """One alternation with a branch per first letter, so that few branches are tried at a place."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:].replace(".", r"\."))
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items()))
+
+
+_HINT = rf"{_HINT_MARKS}|\b(?:{_by_first_letter(_HINT_WORDS)})"
 
 
 def sentences(text: Column) -> Column:
@@ -128,7 +148,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
     s = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.explode(sentences(F.col(text_col))).alias("s")
     )
-    return s.where(F.col("s").rlike(_HINT)).select("doc_id", "source", masked(F.col("s")).alias("message"))
+    return s.where(F.lower("s").rlike(_HINT)).select("doc_id", "source", masked(F.col("s")).alias("message"))
 
 
 def _messages(cand: DataFrame) -> DataFrame:
@@ -148,11 +168,11 @@ def residue_documents(docs: DataFrame, id_col: str, text_col: str, source_col: s
     Null and empty texts have none; a null source counts as no source; repeated rows count once; a text of any length
     is read whole; other columns are ignored; an empty table gives an empty result.
 
-    Plan: splitting, a one-pass hint filter and masking stay in the JVM; only hinted sentences are shuffled, by their
-    masked text, with partial aggregation. A message in a third of all documents is one row after the first
+    Plan: splitting, a one-pass hint filter and masking stay in the JVM and run once, the hinted sentences (a few in a
+    hundred) being written to the shared folder; only they are shuffled, by their masked text, with partial aggregation. A message in a third of all documents is one row after the first
     aggregate, and joins back by a hash join whose other side is the list of residue messages.
     """
-    cand = _candidates(docs, id_col, text_col, source_col)
+    cand = materialize(_candidates(docs, id_col, text_col, source_col))
     found = _messages(cand).where(F.col("kind").isNotNull()).select("message", "kind")
     return cand.select("doc_id", "message").join(found, "message").select("doc_id", "kind").distinct()
 
