@@ -24,8 +24,8 @@ _FIELD_WORDS = (
 )
 #: Marks that only a template has, whatever stands between them.
 _MARKS = (
-    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|\[\[[^\[\]\n]{0,60}\]\]|<<[^<>\n]{0,60}>>|<%[^%\n]{0,60}%>|@@\w+@@|\$\$\w+\$\$|%%?[A-Z][A-Z_]+%%?|"
-    r"\*\|\w+\|\*|__[A-Z][A-Z_]*[A-Z]__|\{[A-Za-z_]\w*\}|\{\d+\}|#(?:REF|NAME|VALUE|N/A)[!?]?|\bXX/XX/XX(?:XX)?\b"
+    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|\[\[[^\[\]\n]{0,60}\]\]|<<[^<>\n]{0,60}>>|<%[^%\n]{0,60}%>|@@\w+@@|\$\$\w+\$\$|%%?[A-Za-z][A-Za-z_]+%%?|"
+    r"\*\|\w+\|\*|__[A-Za-z][A-Za-z_]*[A-Za-z]__|\{[A-Za-z_]\w*\}|\{\d+\}|#(?i:REF|NAME|VALUE|N/A)[!?]|\b(?i:XX/XX/XX(?:XX)?)\b"
 )
 #: Brackets that are template fields only around the name of a field.
 _BRACKETS = (
@@ -33,7 +33,7 @@ _BRACKETS = (
     r"«(?i:[\p{L} ._-]{0,40}\b(?:" + _FIELD_WORDS + r")\b[\p{L} ._-]{0,40})»|"
     r"\((?i:[\p{L} ._-]{1,40} (?:goes|comes) here)\)|\((?i:insert [\p{L} ._-]{1,40})\)"
 )
-_UNDEFINED = r"\bundefined\b(?! (?:behaviou?r|terms?|variables?|values?|references?|symbols?))|\b(?:Hello|Dear|Hi|in|to|at|with|for|regards,|date|Salary:) (?:undefined|null|NaN|None)\b"
+_UNDEFINED = r"\b(?i:undefined)\b(?! (?:behaviou?r|terms?|variables?|values?|references?|symbols?))|\b(?:Hello|Dear|Hi|in|to|at|with|for|regards,|date|Salary:) (?:undefined|null|NaN|None)\b"
 PLACEHOLDER = f"(?:{_MARKS}|{_BRACKETS})"
 #: A field that is spoken of: fields like X, swaps X for, leftover X tags, X paths in scripts.
 _MENTION = (
