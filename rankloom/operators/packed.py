@@ -38,6 +38,8 @@ LABEL_PATTERN = (
     r"(?:[a-z][a-z/]*[  ]*(?:&|and)?[  ]*){0,4}?\b(?:" + "|".join(LABEL_WORDS) + r")\b"
     r"(?:[  ]*(?:&|and|/|,)?[  ]*[a-z]+){0,3}?[  \t]*(?::|–|—|-(?![a-z]))"
 )
+#: A word that every label line has; tried first, as it is found or ruled out at word starts only.
+_LABEL_STEM = r"\b(?:skill|tool|language|platform|software|technolog|compet|proficien|expertise|stack)"
 _LABEL = re.compile(LABEL_PATTERN)
 _ANY_LABEL = re.compile(r"^[  \t\r]*[^\W\d_][\w&/  ]{0,40}?[  \t]*(?::|–|—|-(?=[  \t]))")
 _DELIM = re.compile(r"[,;|•·，；、\t]|[  ]{3,}|[  ]+[/&–—-][  ]+")
@@ -153,6 +155,6 @@ def label_lines(df: DataFrame, id_col: str, text_col: str, field: str) -> DataFr
     lines = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("record_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("_p", "line")
     )
-    return lines.where(F.col("line").rlike(LABEL_PATTERN)).select(
+    return lines.where(F.lower("line").rlike(_LABEL_STEM) & F.col("line").rlike(LABEL_PATTERN)).select(
         F.lit(field).alias("field"), "record_id", (F.col("_p") + 1).cast("int").alias("line_no"), "line"
     )
