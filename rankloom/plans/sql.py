@@ -235,6 +235,33 @@ SQL: dict[str, str] = {
 }
 
 
+_MATCHED = f"""WITH {BASE}, {_cells()}, tm AS ({_terms(3)}),
+ kept AS (SELECT * FROM (SELECT cells.*, kind, req_pos, requirement_text, terms, row_number() OVER (PARTITION BY cells.jd_id, cells.candidate_id ORDER BY fused DESC, req_pos) AS position
+   FROM cells JOIN (SELECT req_key, req_pos, kind, text AS requirement_text FROM r) USING (req_key) JOIN tm USING (req_key) WHERE satisfied AND evidence_id IS NOT NULL) WHERE position <= 4),
+ ct AS (SELECT kept.*, u.text AS cited FROM kept JOIN (SELECT evidence_id, text FROM u) u USING (evidence_id) WHERE u.text <> ''),
+ hit AS (SELECT req_key, ct.candidate_id, u.text, u.ev_pos, len(list_filter(terms, lambda w: contains(lower(u.text), w))) * 2 + CASE WHEN u.section IN ('experience', 'projects') THEN 2 ELSE 0 END - len(u.text) / 500.0 AS s,
+   len(list_filter(terms, lambda w: contains(lower(u.text), w))) AS n FROM ct JOIN u ON u.candidate_id = ct.candidate_id AND NOT u.negated AND len(u.text) BETWEEN 40 AND 260 WHERE len(cited) < 40),
+ bst AS (SELECT req_key, candidate_id, max({{'s': round(s, 9), 'p': -ev_pos, 't': text}}).t AS quote FROM hit WHERE n > 0 GROUP BY ALL),
+ qt AS (SELECT ct.*, coalesce(CASE WHEN len(cited) < 40 THEN bst.quote END, cited) AS evidence_text FROM ct LEFT JOIN bst USING (req_key, candidate_id)),
+ gp AS (SELECT *, len(list_filter(terms, lambda t: contains(' ' || lower(evidence_text) || ' ', t || ' ') OR contains(' ' || lower(evidence_text) || ' ', ' ' || t))) = 0 AS gap FROM qt)
+ SELECT jd_id, candidate_id, CAST(position AS INTEGER) AS position, req_key, requirement_text, kind, evidence_text, floor(fused * 100 + 0.5) / 100 AS score, matched_by,
+ CASE WHEN matched_by = 'semantic' AND gap THEN 'found by meaning; the evidence never uses the requirement''s wording' WHEN matched_by = 'semantic' THEN 'matched on meaning'
+ WHEN matched_by = 'both' THEN 'matched on both the exact term and its meaning' WHEN matched_by = 'lexical' THEN 'matched on the exact term' ELSE 'no supporting evidence found' END AS how,
+ matched_by = 'semantic' AND gap AS vocabulary_gap FROM gp"""
+_TRACE = f"""WITH {UNITS}, {REQS}, {_lexical("lex_expanded", "expanded")}, {SEMANTIC},
+ lt AS (SELECT t.candidate_id, r.req_key, array_to_string(list(t.evidence_id ORDER BY round(coalesce(w.score, 0.0), 9) DESC, t.ev_pos)[1:5], ',') AS expanded_ids
+   FROM lex_expanded_t t CROSS JOIN r LEFT JOIN lex_expanded_w w ON w.evidence_id = t.evidence_id AND w.req_key = r.req_key WHERE NOT t.negated GROUP BY ALL),
+ mt AS (SELECT u.candidate_id, r.req_key, array_to_string(list(u.evidence_id ORDER BY round(coalesce(CASE WHEN sn.norm > 0 AND srn.norm > 0 THEN sd.dot / (sn.norm * srn.norm) END, 0.0), 9) DESC, u.ev_pos)[1:5], ',') AS semantic_ids
+   FROM u CROSS JOIN r LEFT JOIN sd ON sd.evidence_id = u.evidence_id AND sd.req_key = r.req_key LEFT JOIN sn ON sn.evidence_id = u.evidence_id LEFT JOIN srn ON srn.req_key = r.req_key WHERE NOT u.negated GROUP BY ALL)
+ SELECT req_key, candidate_id, expanded_ids, semantic_ids FROM lt JOIN mt USING (req_key, candidate_id)"""
+_SINGLE = [(k, p, cs) for k, (p, cs) in enumerate(reverse().items()) if " " not in p and len(p) >= 5]
+_FUZZY = f"""WITH {UNITS}, al AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_q(p)}, {_q(','.join(cs))})" for k, p, cs in _SINGLE)}) t(ord, alias, canonical)),
+ tk AS (SELECT DISTINCT token FROM (SELECT unnest({TOK.format("text")}) AS token FROM u) WHERE len(token) >= 5 AND token NOT IN ({", ".join(_q(p) for p in reverse())})),
+ nr AS (SELECT token, min({{'d': damerau_levenshtein(token, alias), 'o': ord, 'a': alias, 'c': canonical}}) AS b FROM tk JOIN al ON token[1] = alias[1] AND abs(len(token) - len(alias)) <= 2 GROUP BY token)
+ SELECT token, b.a AS alias, b.c AS canonical FROM nr WHERE b.d <= CASE WHEN len(token) >= 8 THEN 2 ELSE 1 END"""
+SQL |= {"explanation_matched": _MATCHED, "trace_top5": _TRACE, "fuzzy_alias": _FUZZY}
+
+
 def _tie_safe(sql: str) -> str:
     """``round(x, 9)`` as the engine rounds: a half in decimals goes up whatever its binary form."""
     at = 0
