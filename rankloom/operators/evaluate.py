@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import Config
-from rankloom.functions.numbers import quantile
+from rankloom.functions.numbers import quantile, stable
 from rankloom.operators import match
 
 # Role classes by file name, first pattern that fits.
@@ -87,9 +87,8 @@ def score_distribution(ranked: DataFrame, keys: tuple[str, ...] = ("jd_id",)) ->
     )
 
 
-def rank_with(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config, extra: tuple[str, ...] = (), alpha: Column | None = None, gate: Column | None = None) -> DataFrame:
-    cells = match.matrix(raw, cfg, extra=extra, alpha=alpha)
-    return match.rank_candidates(match.candidate_scores(cells, requirements, cfg, extra=extra, gate=gate), candidates, cfg, extra=extra)
+def rank_with(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
+    return match.rank_candidates(match.candidate_scores(match.matrix(raw, cfg), requirements, cfg), candidates, cfg)
 
 
 def ablation(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
@@ -103,19 +102,26 @@ def ablation(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg
 
 
 def sweep(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config, name: str, values: tuple[float, ...]) -> DataFrame:
-    """Quality per brief for each value of ``alpha`` or ``gate_threshold``: one job, the values being a key column."""
-    spark: SparkSession = raw.sparkSession
-    table = F.broadcast(spark.createDataFrame([(float(v),) for v in values], "setting double"))
-    if name == "alpha":
-        many = raw.join(table)
-        ranked = rank_with(many, requirements, candidates, cfg, ("setting",), alpha=F.col("setting"))
-    elif name == "gate_threshold":
-        cells = match.matrix(raw, cfg).join(table)
-        ranked = match.rank_candidates(match.candidate_scores(cells, requirements, cfg, ("setting",), gate=F.col("setting")), candidates, cfg, ("setting",))
-    else:
+    """Quality per brief for each value of ``alpha`` or ``gate_threshold``.
+
+    One pass over the normalised matrix: a candidate's totals under all settings are columns of one aggregate, and become
+    rows only afterwards, so the matrix is never multiplied by the settings.
+    """
+    if name not in ("alpha", "gate_threshold"):
         raise ValueError(f"no sweep over {name}")
-    role = role_of(F.coalesce("source_file", F.lit("")))
-    labels = candidates.select("candidate_id", class_of(role).alias("cls"))
+    w = F.when(F.col("weight").isNull() | (F.col("weight") == 0), F.lit(1.0)).otherwise(F.col("weight"))
+    cells = match.matrix(raw, cfg).join(F.broadcast(requirements.select("req_key", "kind", w.alias("_w"))), "req_key")
+    totals, settings = [], []
+    for k, v in enumerate(values):
+        fused = match.fuse(F.lit(float(v)), F.col("lexical_norm"), F.col("semantic_norm")) if name == "alpha" else F.col("fused")
+        gate = float(v) if name == "gate_threshold" else cfg.gate_threshold
+        totals += [F.sum(fused * F.col("_w")).alias(f"s{k}"), F.count_if((F.col("kind") == "MUST") & (fused < gate)).alias(f"m{k}")]
+        base = F.coalesce(F.try_divide(F.col(f"s{k}"), F.col("_ws")), F.lit(0.0))
+        settings.append(F.struct(F.lit(float(v)).alias("setting"), stable(base * F.pow(F.lit(cfg.gate_penalty), F.col(f"m{k}"))).alias("raw")))
+    summed = cells.groupBy("jd_id", "candidate_id").agg(F.sum("_w").alias("_ws"), *totals)
+    scores = summed.select("jd_id", "candidate_id", F.explode(F.array(*settings)).alias("x")).select("x.setting", "jd_id", "candidate_id", "x.raw")
+    ranked = match.rank_candidates(scores, candidates, cfg, ("setting",))
+    labels = candidates.select("candidate_id", class_of(role_of(F.coalesce("source_file", F.lit("")))).alias("cls"))
     sizes = ranked.groupBy("setting", "jd_id").agg(F.count(F.lit(1)).alias("pool"))
     rows = ranked.join(labels, "candidate_id").join(F.broadcast(sizes), ["setting", "jd_id"])
     return precision_purity(rows, ("setting", "jd_id"))

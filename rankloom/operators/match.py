@@ -27,6 +27,8 @@ from rankloom.functions.text import TOKEN, filled, is_negated, tokenize
 REQUIREMENT_BLOCK = 1_000
 #: Units scored together inside a batch.
 UNIT_BLOCK = 512
+#: Units of one candidate kept together; a candidate with more is scored in several tasks.
+CANDIDATE_UNITS = 4_096
 DIMENSIONS = 64
 TRACE = 5
 _TOKEN = re.compile(TOKEN)
@@ -128,20 +130,19 @@ def _best_runner(lexicons: dict[str, _Lexicon], vectors: np.ndarray, keys: list[
                 sides = {f: lex.scores(list(part[f])) for f, lex in lexicons.items()}
                 sides["semantic"] = stable_np(embed(list(part["embedded"])) @ vectors.T)
                 pos, ids = part["ev_pos"].to_numpy(), part["evidence_id"].to_numpy()
-                frames = []
-                for s, e in zip(starts[k:j] - a, ends[k:j] - a):
-                    cols = {"candidate_id": cand[a + s], "req_key": names}
-                    for side, sc in sides.items():
-                        seg = sc[s:e]
-                        if trace:
-                            top = np.argsort(-seg, axis=0, kind="stable")[:trace].T
-                            cols[side] = [[{"score": float(seg[i, r]), "pos": int(-pos[s + i]), "id": ids[s + i]} for i in idx] for r, idx in enumerate(top)]
-                        else:
-                            at = seg.argmax(axis=0)
-                            cols |= {f"{side}_s": seg[at, np.arange(seg.shape[1])], f"{side}_p": -pos[s + at].astype(np.int32), f"{side}_i": ids[s + at]}
-                    frames.append(pd.DataFrame(cols))
-                if frames:
-                    yield pd.concat(frames, ignore_index=True)
+                spans = list(zip(starts[k:j] - a, ends[k:j] - a))
+                cols = {"candidate_id": np.repeat(cand[starts[k:j]], len(names)), "req_key": np.tile(names, len(spans))}
+                for side, sc in sides.items():
+                    if trace:
+                        cols[side] = [
+                            [{"score": float(sc[s + i, r]), "pos": int(-pos[s + i]), "id": ids[s + i]} for i in idx]
+                            for s, e in spans
+                            for r, idx in enumerate(np.argsort(-sc[s:e], axis=0, kind="stable")[:trace].T)
+                        ]
+                    else:
+                        at = np.concatenate([s + sc[s:e].argmax(axis=0) for s, e in spans])
+                        cols |= {f"{side}_s": sc[at, np.tile(np.arange(len(names)), len(spans))], f"{side}_p": -pos[at].astype(np.int32), f"{side}_i": ids[at]}
+                yield pd.DataFrame(cols)
                 k = j
 
     return run
@@ -158,8 +159,8 @@ def best_units(
     side is an array of the best ``trace`` units. Disclaimers count in the corpus statistics but are never matched.
 
     Plan: statistics of the query terms only are collected (bounded by the requirements' words); units are
-    rebalanced by candidate (AQE splits a candidate too large for one task) and reduced batch by batch, so that what
-    is shuffled after scoring is one row per candidate and requirement and task at most.
+    partitioned by candidate (a candidate of very many units over several tasks) and reduced batch by batch, so that
+    what is shuffled after scoring is one row per candidate and requirement and task at most.
     """
     rows = requirements.select(
         "req_key", requirement_text(F.col("text"), F.col("aliases")).alias("e"), F.concat(tokenize(F.col("text")), F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), tokenize))).alias("q")
@@ -171,7 +172,9 @@ def best_units(
         df = {r["term"]: r["df"] for r in document_frequencies(units, f).join(F.broadcast(terms), "term").collect()}
         stats[f] = (df, st["n_docs"], st["avgdl"])
     usable = units.where(~F.coalesce("negated", F.lit(False))).select("candidate_id", "evidence_id", F.col("ev_pos").cast("int").alias("ev_pos"), "embedded", *fields)
-    usable = usable.hint("rebalance", "candidate_id")
+    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
+    part_of = F.when(F.col("ev_pos") > 0, F.floor(F.col("ev_pos") / CANDIDATE_UNITS)).otherwise(F.pmod(F.xxhash64("evidence_id"), F.lit(8)))
+    usable = usable.repartition(parts, "candidate_id", part_of)
     sides = (*fields, "semantic")
     if trace:
         schema = "candidate_id string, req_key string, " + ", ".join(f"`{s}` array<struct<score:double,pos:int,id:string>>" for s in sides)
@@ -212,23 +215,26 @@ def pool_stats(raw: DataFrame, lexical: str, keys: list[str]) -> DataFrame:
     )
 
 
-def matrix(raw: DataFrame, cfg: Config, lexical: str | None = None, extra: tuple[str, ...] = (), alpha: Column | None = None) -> DataFrame:
+def fuse(alpha: Column, lexical_norm: Column, semantic_norm: Column) -> Column:
+    return stable(sigmoid(alpha * lexical_norm + (1 - alpha) * semantic_norm))
+
+
+def matrix(raw: DataFrame, cfg: Config) -> DataFrame:
     """Every cell normalised over its pool, fused and labelled.
 
-    Adds lexical_norm, semantic_norm, fused, satisfied, matched_by and evidence_id. ``extra`` names further key columns
-    (a configuration or a variant), ``alpha`` may be a column for sweeps. Where a requirement's scores do not
+    Adds lexical_norm, semantic_norm, fused, satisfied, matched_by and evidence_id. Where a requirement's scores do not
     vary, its z-scores are 0 and ``fused`` is 0.5.
     """
-    lexical = lexical or cfg.lexical_field
-    keys = [*extra, "jd_id", "req_key"]
-    a = F.lit(cfg.alpha) if alpha is None else alpha
+    lexical = cfg.lexical_field
+    keys = ["jd_id", "req_key"]
+    a = F.lit(cfg.alpha)
     lz, sz = z_score(F.col(f"{lexical}_raw"), F.col("_lm"), F.col("_ls")), z_score(F.col("semantic_raw"), F.col("_sm"), F.col("_ss"))
     joined = raw.join(F.broadcast(pool_stats(raw, lexical, keys)), keys)
     cells = joined.select(
         *keys, "candidate_id", F.col(f"{lexical}_raw").alias("lexical_raw"), "semantic_raw", F.col(f"{lexical}_id").alias("_lid"), F.col("semantic_id").alias("_sid"),
         stable(lz).alias("lexical_norm"), stable(sz).alias("semantic_norm"), a.alias("_a"),
     )
-    cells = cells.withColumn("fused", stable(sigmoid(F.col("_a") * F.col("lexical_norm") + (1 - F.col("_a")) * F.col("semantic_norm"))))
+    cells = cells.withColumn("fused", fuse(F.col("_a"), F.col("lexical_norm"), F.col("semantic_norm")))
     lexical_hit, semantic_hit = F.col("lexical_norm") > cfg.both_threshold, F.col("semantic_norm") > cfg.both_threshold
     return cells.select(
         *keys, "candidate_id", "lexical_raw", "semantic_raw", "lexical_norm", "semantic_norm", "fused",
@@ -238,13 +244,12 @@ def matrix(raw: DataFrame, cfg: Config, lexical: str | None = None, extra: tuple
     )
 
 
-def candidate_scores(cells: DataFrame, requirements: DataFrame, cfg: Config, extra: tuple[str, ...] = (), gate: Column | None = None) -> DataFrame:
+def candidate_scores(cells: DataFrame, requirements: DataFrame, cfg: Config) -> DataFrame:
     """Weighted mean times the gate per candidate, with the missing must-haves in requirement order."""
     w = F.when(F.col("weight").isNull() | (F.col("weight") == 0), F.lit(1.0)).otherwise(F.col("weight"))
-    g = F.lit(cfg.gate_threshold) if gate is None else gate
     reqs = F.broadcast(requirements.select("req_key", "req_pos", "kind", w.alias("_w")))
-    both = cells.join(reqs, "req_key").withColumn("_missing", (F.col("kind") == "MUST") & (F.col("fused") < g))
-    grouped = both.groupBy(*extra, "jd_id", "candidate_id").agg(
+    both = cells.join(reqs, "req_key").withColumn("_missing", (F.col("kind") == "MUST") & (F.col("fused") < cfg.gate_threshold))
+    grouped = both.groupBy("jd_id", "candidate_id").agg(
         F.coalesce(F.try_divide(F.sum(F.col("fused") * F.col("_w")), F.sum("_w")), F.lit(0.0)).alias("base"),
         F.array_sort(F.collect_list(F.when(F.col("_missing"), F.struct("req_pos", "req_key")))).alias("_m"),
         F.count_if("satisfied").alias("requirements_met"),
@@ -253,7 +258,7 @@ def candidate_scores(cells: DataFrame, requirements: DataFrame, cfg: Config, ext
     )
     penalty = F.pow(F.lit(cfg.gate_penalty), F.size("_m"))
     return grouped.select(
-        *extra, "jd_id", "candidate_id", stable(F.col("base")).alias("base"), F.transform("_m", lambda x: x["req_key"]).alias("missing_must_haves"),
+        "jd_id", "candidate_id", stable(F.col("base")).alias("base"), F.transform("_m", lambda x: x["req_key"]).alias("missing_must_haves"),
         stable(penalty).alias("gate_penalty"), stable(F.col("base") * penalty).alias("raw"), "requirements_met", "requirements_total",
         (F.col("musts_total") - F.size("_m")).alias("musts_met"), "musts_total",
     )

@@ -43,6 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan spread over all cores before heavy Python work, if it has fewer splits than there are cores.
+
+    Only for frames without a shuffle behind them. A large input has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, keys: list[str], columns: list[str], order: str | None = "ingested_at") -> DataFrame:
     """One row per key: that with the greatest ``order``, then the greatest values.
 
