@@ -166,11 +166,11 @@ def best_units(
         "req_key", requirement_text(F.col("text"), F.col("aliases")).alias("e"), F.concat(tokenize(F.col("text")), F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), tokenize))).alias("q")
     ).orderBy("req_key").collect()
     terms = units.sparkSession.createDataFrame([(w,) for w in sorted({w for r in rows for w in r["q"]})], "term string")
-    stats = {}
-    for f in fields:
-        st = corpus_stats(units, f).first()
-        df = {r["term"]: r["df"] for r in document_frequencies(units, f).join(F.broadcast(terms), "term").collect()}
-        stats[f] = (df, st["n_docs"], st["avgdl"])
+    total = units.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(tokenize(F.col(f)))).alias(f) for f in fields]).first()
+    held = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(tokenize(F.col(f))).alias("terms")) for f in fields])
+    each = units.select(F.explode(held).alias("h")).select("h.field", F.explode("h.terms").alias("term"))
+    counts = each.join(F.broadcast(terms), "term").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).collect()
+    stats = {f: ({r["term"]: r["df"] for r in counts if r["field"] == f}, total["n"], total[f]) for f in fields}
     usable = units.where(~F.coalesce("negated", F.lit(False))).select("candidate_id", "evidence_id", F.col("ev_pos").cast("int").alias("ev_pos"), "embedded", *fields)
     parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
     part_of = F.when(F.col("ev_pos") > 0, F.floor(F.col("ev_pos") / CANDIDATE_UNITS)).otherwise(F.pmod(F.xxhash64("evidence_id"), F.lit(8)))

@@ -15,8 +15,8 @@ from rankloom.session import latest, load, materialize
 class Pool:
     """Candidates, units, requirements and the raw matrix of one directory.
 
-    The raw matrix does not depend on any tunable, so every mode, sweep and explanation reads the one copy; it is
-    written to the shared folder when first needed.
+    Neither the units nor the raw matrix depend on any tunable, so every mode, sweep and explanation reads the one
+    copy; both are written to the shared folder when first needed.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config | None = None):
@@ -29,9 +29,9 @@ class Pool:
 
     @cached_property
     def units(self) -> DataFrame:
-        """Evidence, one row per id (the latest), as scoring reads it."""
+        """Evidence, one row per id (the latest), as scoring reads it; kept, as every question reads it."""
         columns = ["candidate_id", "section", "text", "normalized", "expanded", "negated"]
-        return match.prepare_units(latest(load(self.spark, self.dir, "evidence"), ["id"], columns))
+        return materialize(match.prepare_units(latest(load(self.spark, self.dir, "evidence"), ["id"], columns)))
 
     @cached_property
     def requirements(self) -> DataFrame:
