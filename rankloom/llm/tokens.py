@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import spread
+
 #: Where the ranks of a byte-level BPE lie on every node; a parameter of each operator.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to these ranks (fixed value).
@@ -46,4 +48,4 @@ def token_sizes(df: DataFrame, text_col: str, keep: list[str], ranks: str = RANK
     """
     kept = df.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", tokens long, head_tokens long"
-    return kept.mapInPandas(_counter(ranks, pattern), schema)
+    return spread(kept).mapInPandas(_counter(ranks, pattern), schema)
