@@ -1,8 +1,11 @@
 """Template residue, filler, error pages and script notices in documents.
 
-Sentences are masked (numbers, addresses, dates and template fields), equal masked sentences are grouped over all
-documents and sources, and every distinct message is classified once by placeholder and phrase rules. Weak phrases
-count only as part of a widely recurring message. A sentence that speaks about such things is no residue.
+Sentences are masked (numbers, addresses, dates and template fields), and every distinct message is classified once by
+placeholder and phrase rules. All short sentences are grouped over all documents and sources by a key without letter
+case, punctuation, lead-in, subject and code: a message that recurs widely and in some documents begins with an apology
+or ends in a code is an error message whatever its wording. Recurrence alone decides nothing, as plain sentences recur
+as widely. Weak phrases count only as part of a widely recurring message. A sentence that speaks about such things is
+no residue.
 """
 
 from __future__ import annotations
@@ -14,6 +17,12 @@ from rankloom.session import materialize
 
 #: A message recurs widely if it is found in at least this many documents.
 WIDE_DOCS = 3
+#: An unlisted message must also come from at least this many sources,
+WIDE_SOURCES = 2
+#: and bear an apology or a code in at least this share of its documents.
+SIGNED_SHARE = 0.05
+#: Sentences up to this length are grouped over the corpus.
+SHORT = 160
 FIELD = "⟦field⟧"
 
 _FIELD_WORDS = (
@@ -53,6 +62,8 @@ _LATIN = (
 _FILLER = (
     r"(?:\b(?:" + _LATIN + r")\b[\s,.;]*){5,}|(?:\b(?:sample|dummy|example) text\b\W*){2,}|\byour (?:text|content|title|summary) (?:goes )?here\b|"
     r"\b(?:heading|headline|subheading|body copy|body text|caption|title|text|copy|content) goes here\b|\bthis is (?:a |some )?(?:placeholder|dummy|filler|sample) (?:paragraph|text|copy)\b|"
+    r"^\W*(?:add|enter|write|paste|put|insert|type|describe) (?:[\w'’-]+ ){1,6}(?:here\W*$|in (?:place of )?this (?:line|space|box|field|block)\b|and delete this (?:hint|line|note|text)\b|\(max\b)|"
+    r"(?:\btest\b\W*){3,}|\bplease ignore this (?:test )?(?:posting|page|document|entry)\b|"
     r"\breplace this (?:block|text|paragraph|section|line)\b|\bedit it before you publish\b|\bdescribe your (?:\w+ ){1,4}here\b|\btype your (?:\w+ ){1,4}in(?:to)? this (?:box|field)\b|"
     r"\bblindtext\b|\btexto de (?:ejemplo|relleno)\b|\bsustituya este\b|\btexte (?:factice|d'exemple)\b|^\W*bullet (?:one|two|three|four|five)\b|(?:\basdf\w*\b\W*){2,}|(?:\bblah\b\W*){2,}|^\W*use action words\W*$"
 )
@@ -64,12 +75,12 @@ _SCRIPT = (
     r"\bbrowser (?:does not|doesn't|cannot|can't) (?:support|run) " + _SCRIPT_WORD + r"\b|\bturn (?:them|it) on in your browser\b|\bcookies and scripts\b[^.]{0,60}\bblocked\b"
 )
 _THING = (
-    r"(?:page|pages|site|server|posting|vacancy|resume|profile|document|file|file viewer|application form|form|candidate search|search|offer|oferta|seite|p[áa]gina|link|job)"
+    r"(?:page|pages|site|server|posting|vacancy|resume|profile|document|file viewer|file|application form|form|candidate search|search|offer|oferta|seite|p[áa]gina|link|job)"
 )
 _FAILED = (
     r"(?:(?:could not|cannot|can't) be (?:found|shown|converted|loaded|opened|reached|displayed)|does not exist|do(?:es)? not exist on this server|is no longer available|ya no est[áa] disponible|"
     r"(?:was|has been) moved or deleted|has wandered off|is (?:currently |temporarily )?unavailable|is blocked from|failed with an? (?:unexpected|internal|unknown) error|timed out|"
-    r"stopped responding|not found|no encontrada|nicht gefunden|(?:est )?introuvable)"
+    r"stopped responding|returned an empty (?:reply|response)|not found|no encontrada|nicht gefunden|(?:est )?introuvable)"
 )
 _ERROR = (
     r"^\W*(?:http )?(?:status |error |erreur |fehler )?9 ?[-:–]? ?(?:not found|bad gateway|forbidden|unauthori[sz]ed|internal\b|service unavailable|gateway time-?out|too many requests|gone\b)|"
@@ -88,6 +99,13 @@ _TALK = (
     r"^\W*(?:(?:experience|project) 9 ?: )?(?!(?:unsupported|blocked|denied|failed|disabled|damaged|expired)\b)(?:\w+ed|built|cut|wrote|led|taught|typeset|kept|ran|made|set|gave|rewrote)\b|"
     r"\bwas the (?:title|name|subject)\b|\b(?:until|when|while) i\b|\bbans?\b|\b(?:is|are) required for this post\b|\bmy (?:thesis|first|last)\b|\bnot found (?:screen|page that)\b"
 )
+#: Words before a message that are no part of it, and those of them that only an apology has.
+_SORRY = r"(?:sorry|whoops|oops|hmm|uh-oh|désolée?|lo sentimos|lo siento|entschuldigung)"
+_LEAD = r"^\W*(?:(?:notice|note|warning|attention|alert|hinweis|achtung|aviso|" + _SORRY + r")\W*[:,.!–-]\W*)+"
+_CODE = r"\W*\((?:error |status )?(?:code|error|status|ref|reference|incident|fehler|erreur) ?[:#]? ?[\w-]*9[\w-]*\)\W*$"
+_SIGNED = r"^\W*(?:(?:notice|note|warning|attention|alert)\W+)?" + _SORRY + r"\W*[:,.!–-]|" + _CODE
+_SUBJECT = r"^(?:(?:the|our|this|that|your|requested) ){0,2}" + _THING + r"(?: you \w+(?: for)?)?\b"
+_FIRST_PERSON = r"\b(?:i|my|me)\b"
 _HINT_MARKS = r"[\[\](){}<>%$@#_*«]"
 #: A word that every residue sentence without such a mark has, lower case, at a word start.
 _HINT_WORDS = (
@@ -99,7 +117,8 @@ _HINT_WORDS = (
     "service unavailable", "gateway", "too many requests", "gone", "access denied", "you do not have permission", "request blocked", "blocked", "slow down", "your session", "proxy", "down for",
     "traceback", "file ", "unsupported", "prove that", "something went", "contact support", "contact the site", "could not be", "cannot be", "can't be", "does not exist", "do not exist",
     "is no longer", "ya no", "was moved", "has been moved", "has wandered", "unavailable", "failed with", "timed out", "stopped responding", "no encontrada", "nicht gefunden", "introuvable", "whoops",
-    "oops", "hmm", "please go back", "our engineers", "try reloading", "incident", "in your browser", "turn them on", "turn it on",
+    "oops", "hmm", "uh-oh", "sorry", "désol", "lo sent", "lo siento", "entschuldigung", "add ", "enter ", "write ", "paste ", "put ", "insert ", "test test", "test, test", "test. test", "please ignore", "returned an empty",
+    "please go back", "our engineers", "try reloading", "incident", "in your browser", "turn them on", "turn it on",
 )
 
 
@@ -144,22 +163,53 @@ def classify(message: Column, wide: Column) -> Column:
     )
 
 
+def group_key(message: Column) -> Column:
+    """The masked message in lower case without punctuation, lead-in, code and subject; a bare lead-in keeps its words."""
+    words = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    low = F.lower(message)
+    bare = words(F.regexp_replace(F.regexp_replace(low, _LEAD, ""), _CODE, ""))
+    return F.when(bare == "", words(low)).otherwise(F.regexp_replace(bare, _SUBJECT, "‹thing›"))
+
+
 def _candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Every short or hinted sentence with its group key; only hinted ones (all that a rule can match) have a message."""
     s = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.explode(sentences(F.col(text_col))).alias("s")
     )
-    return s.where(F.lower("s").rlike(_HINT)).select("doc_id", "source", masked(F.col("s")).alias("message"))
-
-
-def _messages(cand: DataFrame) -> DataFrame:
-    per_doc = cand.groupBy("message", "doc_id").agg(F.min("source").alias("source"))
-    groups = per_doc.groupBy("message").agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("source").alias("sources"))
-    return groups.select("message", "docs", "sources", classify(F.col("message"), F.col("docs") >= WIDE_DOCS).alias("kind"))
+    s = s.withColumn("hinted", F.lower("s").rlike(_HINT)).where(F.col("hinted") | (F.length("s") <= SHORT))
+    s = s.withColumn("message", F.when(F.col("hinted"), masked(F.col("s"))))
+    plain = F.regexp_replace(F.lower("s"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "9")
+    return s.select("doc_id", "source", "message", group_key(F.coalesce("message", plain)).alias("key"))
+
+
+def _hits(cand: DataFrame) -> DataFrame:
+    """The rows of ``cand`` that are residue with their kind: messages by rule, and all of a key that recurs as an error."""
+    signed = F.coalesce(F.lower("message").rlike(_SIGNED), F.lit(False)).cast("int")
+    per_doc = cand.groupBy("key", "doc_id").agg(F.min("source").alias("source"), F.max(signed).alias("signed"))
+    groups = (
+        per_doc.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("source").alias("sources"), F.sum("signed").alias("signed"))
+        .where(F.col("docs") >= WIDE_DOCS)
+    )
+    groups = materialize(groups)
+    messages = cand.where(F.col("message").isNotNull()).select("key", "message").distinct()
+    ruled = messages.join(groups.select("key", "docs"), "key", "left").select("key", "message", classify(F.col("message"), F.col("docs").isNotNull()).alias("kind"))
+    ruled = materialize(ruled.where(F.col("kind").isNotNull()))
+    told = groups.where(
+        (F.col("sources") >= WIDE_SOURCES) & (F.col("signed") >= F.greatest(F.lit(1.0), F.col("docs") * SIGNED_SHARE)) & ~F.col("key").rlike(_TALK) & ~F.col("key").rlike(_FIRST_PERSON)
+    ).join(ruled.groupBy("key").agg(F.min("kind").alias("kind")), "key", "left")
+    told = told.select("key", F.coalesce("kind", F.lit("error")).alias("kind"))
+    columns = ["doc_id", "source", "key", "message", "kind"]
+    by_rule = cand.where(F.col("message").isNotNull()).join(ruled.select("message", "kind"), "message").select(columns)
+    return by_rule.unionByName(cand.join(told, "key").select(columns))
 
 
 def residue_messages(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Each distinct residue message with its kind and the number of its documents and (about) sources."""
-    return _messages(_candidates(docs, id_col, text_col, source_col)).where(F.col("kind").isNotNull())
+    """Each group of residue messages (as worded in one of them) with its kind and the number of its documents and (about) sources."""
+    hits = _hits(materialize(_candidates(docs, id_col, text_col, source_col)))
+    groups = hits.groupBy("key", "kind", "doc_id").agg(F.min(F.coalesce("message", "key")).alias("message"), F.min("source").alias("source")).groupBy("key", "kind")
+    groups = groups.agg(F.min("message").alias("message"), F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("source").alias("sources"))
+    return groups.select("message", "docs", "sources", "kind")
 
 
 def residue_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -168,13 +218,12 @@ def residue_documents(docs: DataFrame, id_col: str, text_col: str, source_col: s
     Null and empty texts have none; a null source counts as no source; repeated rows count once; a text of any length
     is read whole; other columns are ignored; an empty table gives an empty result.
 
-    Plan: splitting, a one-pass hint filter and masking stay in the JVM and run once, the hinted sentences (a few in a
-    hundred) being written to the shared folder; only they are shuffled, by their masked text, with partial aggregation. A message in a third of all documents is one row after the first
-    aggregate, and joins back by a hash join whose other side is the list of residue messages.
+    Plan: splitting, masking and keys stay in the JVM and run once, the short sentences being written to the shared
+    folder. All are shuffled once by key and document, with partial aggregation; what is left of them is one row per
+    recurring key. A message in a third of all documents is one row after that and joins back to the written sentences
+    by a hash join whose other side is the list of residue messages or keys. Rules see each hinted message once.
     """
-    cand = materialize(_candidates(docs, id_col, text_col, source_col))
-    found = _messages(cand).where(F.col("kind").isNotNull()).select("message", "kind")
-    return cand.select("doc_id", "message").join(found, "message").select("doc_id", "kind").distinct()
+    return _hits(materialize(_candidates(docs, id_col, text_col, source_col))).select("doc_id", "kind").distinct()
 
 
 def without_residue(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -177,3 +177,22 @@ def test_recurring_messages_are_grouped(spark):
     assert m["Incident 9-9."] == (4, 2) and m["Oops!"] == (5, 2)
     one = residue.residue_documents(df.where(F.col("doc_id") == 9), "doc_id", "text", "source")
     assert one.count() == 0  # a weak phrase found once is content
+
+
+def test_unlisted_messages_that_recur_widely(spark):
+    lead = ["Notice: the file viewer", "Sorry, our candidate search", "the posting", "Whoops, this vacancy", "That link"]
+    gone = [(k, f"s{k % 3}", f"Menu\n{lead[k % 5]} went sideways for now{[' (code 503)!', '.'][k % 2]}") for k in range(10)]
+    plain = [(20 + k, f"s{k % 3}", "Our office is close to the ferry.") for k in range(9)]
+    one_source = [(40 + k, "s1", "Sorry, the kettle is empty.") for k in range(5)]
+    mine = [(60 + k, f"s{k % 3}", "Sorry, I like long letters.") for k in range(5)]
+    alone = [(80, "s1", "Sorry, the ferry ran late.")]
+    df = spark.createDataFrame(gone + plain + one_source + mine + alone, "doc_id long, source string, text string")
+    assert rows(residue.residue_documents(df, "doc_id", "text", "source")) == [(k, "error") for k in range(10)]
+
+
+def test_wording_missing_from_the_rules(spark):
+    bad = ["Notice: the application form returned an empty reply (code 503)!", "- Put your job history in place of this line.", "Add a catchy headline (max. 300 characters).", "Paste the duties of the post and delete this hint.",
+           "Test test test please ignore this posting test", "Enter a short profile here."]
+    good = ["Put in place a new rota for this line of trams.", "Write to us and enter the draw held here in May.", "Test plans and test benches for the test team.", "Added a headline in this space at the museum."]
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(bad)] + [(100 + k, "s", t) for k, t in enumerate(good)], "doc_id long, source string, text string")
+    assert rows(residue.residue_documents(df, "doc_id", "text", "source").select("doc_id")) == [(k,) for k in range(len(bad))]
