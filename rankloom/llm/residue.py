@@ -110,14 +110,13 @@ _HINT_MARKS = r"[\[\](){}<>%$@#_*«]"
 #: A word that every residue sentence without such a mark has, lower case, at a word start.
 _HINT_WORDS = (
     "xx/xx", "undefined", "null", "your text", "your content", "your title", "your summary", "heading", "headline", "subheading", "body ", "caption", "title goes", "text goes",
-    "copy goes", "content goes", "sample text", "dummy", "example text", "placeholder", "filler", "lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "magna", "quis",
-    "velit", "nulla", "augue", "odio", "massa", "vitae", "felis", "mollis", "netus", "lectus", "risus", "urna", "arcu", "blindtext", "texto de", "sustituya", "texte ", "replace this",
-    "edit it before", "describe your", "type your", "bullet", "asdf", "blah", "use action", "script", "javascript", "java script", "client-side script", "active content", "error", "erreur", "fehler",
+    "copy goes", "content goes", "sample ", "dummy", "example text", "placeholder", "filler", "nan", "none", "blindtext", "texto de", "sustituya", "texte ", "replace this",
+    "edit it before", "describe ", "type ", "bullet", "asdf", "blah", "use action", "script", "javascript", "java script", "client-side script", "active content", "error", "erreur", "fehler",
     "fatal", "keyerror", "valueerror", "typeerror", "indexerror", "attributeerror", "nameerror", "runtimeerror", "http", "not found", "bad gateway", "forbidden", "unauthor", "internal",
     "service unavailable", "gateway", "too many requests", "gone", "access denied", "you do not have permission", "request blocked", "blocked", "slow down", "your session", "proxy", "down for",
     "traceback", "file ", "unsupported", "prove that", "something went", "contact support", "contact the site", "could not be", "cannot be", "can't be", "does not exist", "do not exist",
     "is no longer", "ya no", "was moved", "has been moved", "has wandered", "unavailable", "failed with", "timed out", "stopped responding", "no encontrada", "nicht gefunden", "introuvable", "whoops",
-    "oops", "hmm", "uh-oh", "sorry", "désol", "lo sent", "lo siento", "entschuldigung", "add ", "enter ", "write ", "paste ", "put ", "insert ", "test test", "test, test", "test. test", "please ignore", "returned an empty",
+    "oops", "hmm", "uh-oh", "sorry", "désol", "lo sent", "lo siento", "entschuldigung", "add ", "enter ", "write ", "paste ", "put ", "insert ", "please ignore", "returned an empty",
     "please go back", "our engineers", "try reloading", "incident", "in your browser", "turn them on", "turn it on",
 )
 
@@ -126,11 +125,13 @@ def _by_first_letter(words: tuple[str, ...]) -> str:
     """One alternation with a branch per first letter, so that few branches are tried at a place."""
     groups: dict[str, list[str]] = {}
     for w in words:
-        groups.setdefault(w[0], []).append(w[1:].replace(".", r"\."))
+        groups.setdefault(w[0], []).append(w[1:].replace(".", r"\.").replace(" ", r"\s+"))
     return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items()))
 
 
-_HINT = rf"{_HINT_MARKS}|\b(?:{_by_first_letter(_HINT_WORDS)})"
+#: Any three words of the filler's list in a row, a thrice repeated test, and a number that runs into its message.
+_HINT_RUNS = rf"\b(?:(?:{_by_first_letter(tuple(_LATIN.split('|')))})\b[\s,.;]+){{2}}(?:{_by_first_letter(tuple(_LATIN.split('|')))})\b|\btest\W+test\b|\b9[a-z]"
+_HINT = rf"{_HINT_MARKS}|\b(?:{_by_first_letter(_HINT_WORDS)})|{_HINT_RUNS}"
 
 
 def sentences(text: Column) -> Column:
@@ -167,7 +168,8 @@ def group_key(message: Column) -> Column:
     """The masked message in lower case without punctuation, lead-in, code and subject; a bare lead-in keeps its words."""
     words = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
     low = F.lower(message)
-    bare = words(F.regexp_replace(F.regexp_replace(low, _LEAD, ""), _CODE, ""))
+    led = F.regexp_replace(low, _LEAD, "")
+    bare = words(F.when(led.contains("("), F.regexp_replace(led, _CODE, "")).otherwise(led))
     return F.when(bare == "", words(low)).otherwise(F.regexp_replace(bare, _SUBJECT, "‹thing›"))
 
 
@@ -178,7 +180,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
     )
     s = s.withColumn("hinted", F.lower("s").rlike(_HINT)).where(F.col("hinted") | (F.length("s") <= SHORT))
     s = s.withColumn("message", F.when(F.col("hinted"), masked(F.col("s"))))
-    plain = F.regexp_replace(F.lower("s"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "9")
+    plain = F.when(F.col("s").rlike(r"\d"), F.regexp_replace(F.lower("s"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "9")).otherwise(F.lower("s"))
     return s.select("doc_id", "source", "message", group_key(F.coalesce("message", plain)).alias("key"))
 
 
