@@ -4,7 +4,7 @@ Sentences are masked (numbers, addresses, dates and template fields), and every
 placeholder and phrase rules. All short sentences are grouped over all documents and sources by a key without letter
 case, punctuation, lead-in, subject and code: a message that recurs widely and in some documents begins with an apology
 or ends in a code is an error message whatever its wording. Recurrence alone decides nothing, as plain sentences recur
-as widely. Weak phrases count only as part of a widely recurring message. A sentence that speaks about such things is
+as widely. Weak phrases count in a line of their own, else only as part of a widely recurring message. A sentence that speaks about such things is
 no residue.
 """
 
@@ -90,10 +90,12 @@ _ERROR = (
     r"^\W*traceback \(most recent call last\)|^\W*file \"?\w+\"?, line 9, in \w+|^\W*(?:key|value|type|index|attribute|name|runtime)error\b|\bunsupported or damaged file\b|"
     r"\bprove that you are not a robot\b|\bsomething went wrong\b|\bcontact (?:support|the site owner) (?:and quote|with request)\b"
 )
-#: Phrases too common on their own; they count only in a widely recurring message.
+#: Phrases too common inside other text; there they count only in a widely recurring message.
 _WEAK = (
     r"^\W*(?:whoops|oops|hmm)\b|\bplease go back and try again\b|\bour engineers have been told\b|^\W*try reloading\W*$|^\W*incident 9-9\W*$|\bin your browser(?: settings)?,? (?:and|then) (?:reload|refresh)\b"
 )
+#: A line of nothing but such phrases is an error message however rare it is.
+_WEAK_LINE = r"^\W*(?:(?:whoops|oops|hmm|please go back and try again|our engineers have been told|try reloading|incident \d+(?:-\d+)?)\b\W*)+$"
 #: Reports of work: an action verb in the past first, or first-person talk; "was the title of", "every night until I".
 _TALK = (
     r"^\W*(?:(?:experience|project) 9 ?: )?(?!(?:unsupported|blocked|denied|failed|disabled|damaged|expired)\b)(?:\w+ed|built|cut|wrote|led|taught|typeset|kept|ran|made|set|gave|rewrote)\b|"
@@ -175,13 +177,15 @@ def group_key(message: Column) -> Column:
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Every short or hinted sentence with its group key; only hinted ones (all that a rule can match) have a message."""
-    s = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.explode(sentences(F.col(text_col))).alias("s")
+    lines = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.explode(F.split(text_col, r"\n+")).alias("line")
     )
-    s = s.withColumn("hinted", F.lower("s").rlike(_HINT)).where(F.col("hinted") | (F.length("s") <= SHORT))
+    weak = (F.length("line") <= SHORT) & F.lower("line").rlike(_WEAK_LINE)
+    s = lines.select("doc_id", "source", weak.alias("weak_line"), F.explode(sentences(F.col("line"))).alias("s"))
+    s = s.withColumn("hinted", F.lower("s").rlike(_HINT)).where((F.length("s") <= SHORT) | F.col("hinted"))
     s = s.withColumn("message", F.when(F.col("hinted"), masked(F.col("s"))))
     plain = F.when(F.col("s").rlike(r"\d"), F.regexp_replace(F.lower("s"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "9")).otherwise(F.lower("s"))
-    return s.select("doc_id", "source", "message", group_key(F.coalesce("message", plain)).alias("key"))
+    return s.select("doc_id", "source", "message", "weak_line", group_key(F.coalesce("message", plain)).alias("key"))
 
 
 def _hits(cand: DataFrame) -> DataFrame:
@@ -203,7 +207,8 @@ def _hits(cand: DataFrame) -> DataFrame:
     told = told.select("key", F.coalesce("kind", F.lit("error")).alias("kind"))
     columns = ["doc_id", "source", "key", "message", "kind"]
     by_rule = cand.where(F.col("message").isNotNull()).join(ruled.select("message", "kind"), "message").select(columns)
-    return by_rule.unionByName(cand.join(told, "key").select(columns))
+    by_line = cand.where("weak_line").withColumn("kind", F.lit("error")).select(columns)
+    return by_rule.unionByName(by_line).unionByName(cand.join(told, "key").select(columns))
 
 
 def residue_messages(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

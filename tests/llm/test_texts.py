@@ -235,3 +235,12 @@ def test_every_rule_passes_the_hint(spark):
     lost = ["Dear None,", "Hello NaN", "Salary: None", "This is a sample paragraph.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum", "Page not  found"]
     df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(lost)], "doc_id long, source string, text string")
     assert rows(residue.residue_documents(df, "doc_id", "text", "source").select("doc_id")) == [(k,) for k in range(len(lost))]
+
+
+def test_weak_phrases_in_any_typing_and_corpus_size(spark):
+    typed = ["HMM. It ran late.", "- Hmm. It ran early.", "Hmm! It ran."]
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(typed)], "doc_id long, source string, text string")
+    assert rows(residue.residue_documents(df, "doc_id", "text", "source")) == [(k, "error") for k in range(3)]  # one group of three
+    alone = [(0, "Oops!"), (1, "Menu\n- HMM. Please go back and try again."), (2, "x\nIncident 4-77.\ny"), (3, "Oops! I did it once."), (4, "Hmm, that rota again.")]
+    df = spark.createDataFrame([(k, None, t) for k, t in alone], "doc_id long, source string, text string")
+    assert rows(residue.residue_documents(df, "doc_id", "text", "source")) == [(0, "error"), (1, "error"), (2, "error")]
