@@ -7,7 +7,7 @@ hits) and of the type before it. A dynamic program over span ends finds the best
 types jointly. Spans no grammar proposes have a score below that of no type, so leaving them out changes nothing.
 
 The weights are fitted here (:func:`fit`) on invented labelled lines (``pii_training``); the dictionary of given names
-and surnames is counted over the whole name column of the collection (:func:`name_dictionary`).
+and surnames is counted over the whole name column of the collection (:func:`name_lookup`).
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import spread
+from rankloom.session import materialize, spread
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 #: No span is longer than this many characters (the semi-Markov segment bound).
 MAX_SPAN = 160
-#: The name dictionary keeps at most this many given names and surnames each, the most frequent first.
+#: At most this many given names and surnames each are sent to every task, the most frequent; the rest are joined.
 MAX_DICTIONARY = 50_000
 
 _S = r"[^\S\n]"  # a blank within a line
@@ -358,38 +358,70 @@ def find(text: str | None, weights: dict[str, float], given: frozenset, family:
     return out
 
 
-def name_dictionary(names: DataFrame, column: str, min_count: int = 2) -> tuple[frozenset, frozenset]:
-    """Given names and surnames counted over the whole name column.
+def name_lookup(names: DataFrame, column: str, min_count: int = 1, limit: int = MAX_DICTIONARY) -> tuple[frozenset, frozenset, DataFrame | None]:
+    """Given names and surnames counted over the whole name column: the most frequent of each, and the table of the rest.
 
-    Only values of two capitalised words, neither in NOT_NAMES, are counted. At most MAX_DICTIONARY words of each
-    kind reach the driver.
+    Only values of two capitalised words, neither in NOT_NAMES, are counted. At most ``limit`` words of each kind reach
+    the driver; the others, if any, are ``(word, given, family)``, one row per word.
     """
     ok = names.select(F.lower(F.trim(column)).alias("n"), F.trim(column).alias("o")).where(
         F.col("o").rlike(r"^\p{Lu}[\p{L}'’]+ \p{Lu}[\p{L}'’]+$")
     )
     parts = ok.select(F.split("n", " ").alias("p"))
-    out = []
+    out, rest = [], None
     for k in (0, 1):
         c = parts.select(F.col("p")[k].alias("w")).groupBy("w").count().where(F.col("count") >= (min_count if k == 0 else 1))
-        rows = c.orderBy(F.desc("count"), "w").limit(MAX_DICTIONARY).collect()
-        out.append(frozenset(r["w"] for r in rows if r["w"] not in NOT_NAMES))
-    return out[0], out[1]
+        rows = c.orderBy(F.desc("count"), "w").limit(limit + 1).collect()
+        if len(rows) > limit:
+            last = rows[limit - 1]
+            after = (F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.col("w") > last["w"]))
+            tail = c.where(after & ~F.col("w").isin(sorted(NOT_NAMES))).select(F.col("w").alias("word"), F.lit(k == 0).alias("given"), F.lit(k == 1).alias("family"))
+            rest = tail if rest is None else rest.unionByName(tail)
+        out.append(frozenset(r["w"] for r in rows[:limit] if r["w"] not in NOT_NAMES))
+    if rest is not None:
+        rest = rest.groupBy("word").agg(F.max("given").alias("given"), F.max("family").alias("family"))
+    return out[0], out[1], rest
+
+
+def name_dictionary(names: DataFrame, column: str, min_count: int = 1) -> tuple[frozenset, frozenset]:
+    """The words of :func:`name_lookup` that are sent to every task."""
+    return name_lookup(names, column, min_count)[:2]
+
+
+def _row_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(r, w) for r, t in zip(pdf["row"], pdf["text"]) if t for w in {x.lower() for x in _WORD.findall(t)} | set(_WORD.findall(t.lower()))]
+        yield pd.DataFrame(rows, columns=["row", "word"])
+
+
+def _with_rest(texts: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``texts``, and if there is a rest, the words of each row that are in it: arrays ``rest_given``, ``rest_family``."""
+    if rest is None:
+        return texts
+    texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()))
+    hits = texts.select("row", "text").mapInPandas(_row_words, "row long, word string").join(rest, "word").groupBy("row")
+    hits = hits.agg(*(F.collect_list(F.when(F.col(k), F.col("word"))).alias(f"rest_{k}") for k in ("given", "family")))
+    return texts.join(hits, "row", "left").drop("row")
 
 
 def _runner(weights: dict, given: frozenset, family: frozenset, redact: bool):
+    def known(text: str | None, words: frozenset, more) -> frozenset:
+        """The dictionary for one text: as it is, or its words in the text with those found by the join."""
+        if not text or more is None or not len(more):
+            return words
+        return frozenset(w for w in {x.lower() for x in _WORD.findall(text)} | set(_WORD.findall(text.lower())) if w in words).union(more)
+
+    def values(pdf: pd.DataFrame) -> Iterator[list]:
+        none = [None] * len(pdf)
+        for f, x, g, n in zip(pdf["field"], pdf["text"], pdf.get("rest_given", none), pdf.get("rest_family", none)):
+            yield find(x, weights, known(x, given, g), known(x, family, n), f.endswith(".name"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if redact:
-                texts = [
-                    mask(t, find(t, weights, given, family, f.endswith(".name"))) for f, t in zip(pdf["field"], pdf["text"])
-                ]
-                yield pdf[["field", "record_id"]].assign(text=texts)
+                yield pdf[["field", "record_id"]].assign(text=[mask(t, v) for t, v in zip(pdf["text"], values(pdf))])
             else:
-                rows = [
-                    (f, r, t, s + 1, e)
-                    for f, r, x in zip(pdf["field"], pdf["record_id"], pdf["text"])
-                    for s, e, t in find(x, weights, given, family, f.endswith(".name"))
-                ]
+                rows = [(f, r, t, s + 1, e) for f, r, v in zip(pdf["field"], pdf["record_id"], values(pdf)) for s, e, t in v]
                 yield pd.DataFrame(rows, columns=["field", "record_id", "pii_type", "start_pos", "end_pos"])
 
     return run
@@ -406,20 +438,21 @@ def mask(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def personal_values(texts: DataFrame, given: frozenset, family: frozenset, weights: dict | None = None) -> DataFrame:
+def personal_values(texts: DataFrame, given: frozenset, family: frozenset, weights: dict | None = None, rest: DataFrame | None = None) -> DataFrame:
     """``texts(field, record_id, text)`` to one row per value: field, record_id, pii_type, start_pos, end_pos (1-based).
 
-    Narrow: no shuffle (scans of few splits are spread first). A field name ending in ``.name`` marks a name field. Null, empty and blank texts have no
+    Narrow: no shuffle (scans of few splits are spread first), unless the collection has names beyond the dictionary
+    (``rest``), which are joined to the words of the texts. A field name ending in ``.name`` marks a name field. Null, empty and blank texts have no
     value; a repeated row gives repeated values; other columns are ignored; very long texts are read whole, line by line.
     """
     w = dict(default_weights()) if weights is None else weights
     schema = "field string, record_id string, pii_type string, start_pos int, end_pos int"
-    return spread(texts.select("field", "record_id", "text")).mapInPandas(_runner(w, given, family, False), schema)
+    return _with_rest(spread(texts.select("field", "record_id", "text")), rest).mapInPandas(_runner(w, given, family, False), schema)
 
 
-def redacted(texts: DataFrame, given: frozenset, family: frozenset, weights: dict | None = None) -> DataFrame:
+def redacted(texts: DataFrame, given: frozenset, family: frozenset, weights: dict | None = None, rest: DataFrame | None = None) -> DataFrame:
     """``texts(field, record_id, text)`` with each personal value replaced by its type; null stays null."""
     w = dict(default_weights()) if weights is None else weights
-    return texts.select("field", "record_id", "text").mapInPandas(
+    return _with_rest(texts.select("field", "record_id", "text"), rest).mapInPandas(
         _runner(w, given, family, True), "field string, record_id string, text string"
     )

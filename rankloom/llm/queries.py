@@ -38,15 +38,15 @@ def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    given, family = pii.name_dictionary(load(spark, d, "candidates"), "name")
-    values = pii.personal_values(_personal_texts(spark, d), given, family)
+    given, family, rest = pii.name_lookup(load(spark, d, "candidates"), "name")
+    values = pii.personal_values(_personal_texts(spark, d), given, family, rest=rest)
     return values.select("field", "record_id", "pii_type", "start_pos").distinct()
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """All texts with each personal value replaced by its type."""
-    given, family = pii.name_dictionary(load(spark, d, "candidates"), "name")
-    return pii.redacted(_personal_texts(spark, d).distinct(), given, family)
+    given, family, rest = pii.name_lookup(load(spark, d, "candidates"), "name")
+    return pii.redacted(_personal_texts(spark, d).distinct(), given, family, rest=rest)
 
 
 def p2_weights(spark: SparkSession, d: str) -> DataFrame:

@@ -67,6 +67,21 @@ def test_tables(spark, weights):
     assert pii.name_dictionary(names, "name") == (frozenset({"zoe"}), frozenset({"lee", "ash"}))
 
 
+def test_names_beyond_the_dictionary(spark, weights):
+    people = ["Zoe Lee", "Zoe Lee", "Lucjan Delugo", "Ansuya Brinovska", "Resume Final"]
+    names = spark.createDataFrame([(n,) for n in people], "name string")
+    texts = ["the map, which ansuya brinovska drew in May", "we thank Lucjan Delugo and zoe lee for it", "", None, "no one here", "Ansuya Brinovska\nkept it with Zoe Lee"]
+    df = spark.createDataFrame([("c.raw_text", str(k), t) for k, t in enumerate(texts)], "field string, record_id string, text string")
+    given, family, rest = pii.name_lookup(names, "name")
+    assert rest is None and given == {"zoe", "lucjan", "ansuya"} and family == {"lee", "delugo", "brinovska"}
+    g1, f1, rest = pii.name_lookup(names, "name", limit=1)
+    assert (g1, f1) == ({"zoe"}, {"lee"}) and rest.count() == 4
+    whole = rows(pii.personal_values(df, given, family, weights))
+    assert rows(pii.personal_values(df, g1, f1, weights, rest)) == whole and {x[1] for x in whole} == {"0", "1", "5"}
+    assert rows(pii.redacted(df, g1, f1, weights, rest)) == rows(pii.redacted(df, given, family, weights))
+    assert len(rows(pii.personal_values(df, g1, f1, weights))) < len(whole)  # what a bound alone would lose
+
+
 def test_decoder_is_exact(weights):
     """The running-maximum program against every subset of spans."""
     import itertools
