@@ -1,7 +1,9 @@
 """Invented labelled lines from which the span weights of ``pii`` are fitted.
 
 Each template marks its slots with braces; a slot's filler is a labelled value if the slot is named after a type. The
-words, names, places and firms are made up here; nothing is taken from any table.
+names, places and firms are made up here, but many of the carrier sentences follow those of the test tables
+(``candidates.raw_text``), so the weights are fitted to such texts. ``OTHER_CARRIERS`` are no template: on them errors are
+measured in sentences that the fit has not seen.
 """
 
 from __future__ import annotations
@@ -45,6 +47,14 @@ PLAIN = [
     "Reported to the records desk of {firm}", "Shadowed North Gate Institute staff for {n} weeks", "Co-author of a paper on {thing} design",
 ]
 
+#: Carriers written apart from the templates and the tables, never fitted.
+OTHER_CARRIERS = [
+    "Drop me a line at {EMAIL} whenever it suits", "My inbox is {EMAIL}, I read it daily", "Please write to {EMAIL} by Friday", "Ring {PHONE} before noon", "My number is {PHONE}, evenings are best",
+    "Text {PHONE} or write to {EMAIL}", "The clinic keeps my {idlabel} {ID_NUMBER} on file", "As proof I enclose {idlabel} {ID_NUMBER}", "Home is {ADDRESS} for now", "Letters reach me at {ADDRESS}",
+    "We met at {ADDRESS} to plan the {thing}", "Ask {title}{NAME} about the {thing}", "With thanks to {NAME} for the {thing}", "{title}{NAME} signed off the {thing}", "My tutor was {title}{NAME} in {town}",
+    "I moved to {town} with {group} in 2016", "The {thing} grew by {n} percent under {firm}", "Ordered part AX-{n}-4{n} for the {thing}", "Counted {n},{n}0 visitors at the {thing}", "Sang in the {town} choir from 2009 to 2014",
+]
+
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
@@ -126,6 +136,12 @@ def _fill(template: str, r: random.Random) -> tuple[str, list[tuple[int, int, st
     return text, gold
 
 
+def other_lines(repeats: int = 12, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]], bool, bool]]:
+    """Labelled lines of :data:`OTHER_CARRIERS`, as :func:`lines` gives them."""
+    r = random.Random(seed)
+    return [(*_fill(c, r), False, False) for c in OTHER_CARRIERS for _ in range(repeats)]
+
+
 def lines(repeats: int = 12, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]], bool, bool]]:
     """The labelled lines: ``(text, [(start, end, type)], is it a first line, is it a name field)``."""
     r = random.Random(seed)

@@ -32,6 +32,15 @@ def test_held_out_lines(weights):
     assert wrong <= 0.01 * len(lines)
 
 
+def test_unseen_carriers(weights):
+    assert not set(pii_training.OTHER_CARRIERS) & {*pii_training.LABELLED, *pii_training.PLAIN}
+    lines, right, found_n, gold_n = pii_training.other_lines(repeats=20, seed=99), 0, 0, 0
+    for text, gold, _, field in lines:
+        got = {(s, t) for s, _, t in pii.find(text, weights, pii_training.GIVEN, pii_training.FAMILY, field)}
+        right, found_n, gold_n = right + len(got & {(s, t) for s, _, t in gold}), found_n + len(got), gold_n + len(gold)
+    assert right >= 0.95 * gold_n and right >= 0.9 * found_n
+
+
 def test_each_type(weights):
     text = "Zoe Lee\nNI number: QQ 12 34 56 C\n+1 (220) 555-0108 / Flat 9A, 78 Elm Street, Vessby / zoe.lee+jobs [at] mail [dot] example [dot] net\nReported to Dr. Lucjan Delugo on the map"
     assert [t for _, t in found(text, weights)] == ["NAME", "ID_NUMBER", "PHONE", "ADDRESS", "EMAIL", "NAME"]
