@@ -90,19 +90,19 @@ def plan_cells(sized: DataFrame, targets: list[dict]) -> pd.DataFrame:
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     """``sized(doc_id, source, lang, topic, tokens)`` to ``(doc_id, source, tokens, copies)``, copies > 0.
 
-    ``targets(source, target_share, max_repeats)`` is a small list with one row per source, at most MAX_VALUES.
+    ``targets(source, target_share, max_repeats)`` is a small list with one row per source, read whole.
     Sources without a target, documents with a null source and documents without tokens are left out; the
     share of a target source without documents is spread over the others in proportion. Each source's total is as
     near to its share as whole documents allow, and no document is repeated more than max_repeats times. A null
     language or topic is a value of its own. Other columns are ignored; doc_id must be unique.
 
-    Plan: cells are a partial aggregate, at most MAX_VALUES**3 of them. Whole repeats come from the cell, the
+    Plan: cells are a partial aggregate, at most (MAX_VALUES + 1)**2 a target source. Whole repeats come from the cell, the
     fraction by order sampling: the documents with the least u / fraction are taken, u being a hash of the id.
     The threshold per source is found from histograms (BUCKETS rows per source and round), so no source is sorted
     or collected, however large it is.
     """
     spark: SparkSession = sized.sparkSession
-    goal = [r.asDict() for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").limit(MAX_VALUES).collect()]
+    goal = [r.asDict() for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").collect()]
     named = sized.where(F.col("source").isin([g["source"] for g in goal]) & (F.col("tokens") > 0)).select(
         "doc_id", "source", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("topic", F.lit("none")).alias("topic"), "tokens"
     )

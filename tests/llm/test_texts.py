@@ -168,6 +168,12 @@ def test_shares_and_caps(spark):
     assert mixing.mix(sized.limit(0), targets).count() == 0 and mixing.mix(sized, targets.limit(0)).count() == 0
 
 
+def test_many_target_sources(spark):
+    sized = spark.createDataFrame([(k, f"s{k % 90:02}", "en", "a", 10) for k in range(900)], "doc_id long, source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([(f"s{k:02}", 1 / 90, 1.0) for k in range(90)], "source string, target_share double, max_repeats double")
+    assert mixing.mix(sized, targets).count() == 900
+
+
 # --- residue
 
 BAD = {
