@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rankloom.session import materialize
 
-#: Limits of a window: tokens, segments (documents or pieces) and loss-bearing tokens.
+#: Limits of a window: tokens, segments (documents or pieces) and loss-bearing tokens. A loss limit of the window's size
+#: has no effect; a lower one cuts documents that bear more loss, though they are no longer than a window.
 CAPACITY = 2048
 SEGMENTS = 64
 LOSS_TOKENS = 2048
@@ -67,22 +68,31 @@ def pack_documents(
 ) -> DataFrame:
     """``sized(id, tokens, head_tokens)`` to placed pieces.
 
-    Output: window_id, slot, id, piece, start_token, tokens, loss_tokens. A document longer than a window is cut into
-    pieces, all but the last of the window's size; no other is cut. The tokens after the first line bear loss. A
+    Output: window_id, slot, id, piece, start_token, tokens, loss_tokens. A document that no empty window holds, by its
+    tokens or its loss-bearing tokens, is cut into the fewest pieces, each as long as a window holds; no other is cut. The tokens after the first line bear loss. A
     document without tokens takes no room and is not placed. ``id`` must be unique; other columns are ignored.
 
     Plan: pieces are drawn into shards of about ``shard_pieces`` by a hash of document and piece, and each shard is
     packed by one task in bounded memory; a shard wastes at most its last windows. The rows shuffled are sizes only.
     """
-    step = min(capacity, loss_limit)
+    loss = min(capacity, loss_limit)
+    head = F.greatest(F.lit(0).cast("long"), F.col("head_tokens"))
+    # pieces of full size while they end in the head or within the loss limit after it; then one up to that limit; then as much loss each
+    full = F.floor((head + loss) / capacity)
+    turn = F.greatest(full * capacity, head) + loss
+    after = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("tokens") - turn) / loss))
+    n_pieces = F.when(F.col("tokens") <= full * capacity, F.ceil(F.col("tokens") / capacity)).otherwise(full + 1 + after)
     pieces = sized.where(F.col(id_col).isNotNull() & (F.col("tokens") > 0)).select(
         F.col(id_col).alias("doc_id"),
         "tokens",
         "head_tokens",
-        F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / step).cast("int") - 1)).alias("p"),
+        full.alias("full"),
+        turn.alias("turn"),
+        F.explode(F.sequence(F.lit(0), n_pieces.cast("int") - 1)).alias("p"),
     )
-    start = F.col("p") * F.lit(step)
-    length = F.least(F.lit(step).cast("long"), F.col("tokens") - start)
+    start = F.when(F.col("p") <= F.col("full"), F.col("p") * F.lit(capacity)).otherwise(F.col("turn") + (F.col("p") - F.col("full") - 1) * loss).cast("long")
+    room = F.when(F.col("p") < F.col("full"), F.lit(capacity)).when(F.col("p") == F.col("full"), F.col("turn") - F.col("full") * capacity).otherwise(F.lit(loss))
+    length = F.least(room.cast("long"), F.col("tokens") - start)
     pieces = materialize(
         pieces.select(
             "doc_id",

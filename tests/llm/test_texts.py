@@ -131,6 +131,26 @@ def test_binding_loss_limit():
     assert sorted(np.bincount(got)) == [2, 2] and all(sizes[got == k, 2].sum() <= 10 for k in set(got))
 
 
+def test_cut_only_what_no_window_holds(spark):
+    r = np.random.default_rng(6)
+    data = [(0, 200, 180), (1, 256, 156), (2, 256, 150), (3, 600, 590), (4, 900, 10), (5, 101, 1)] + [(10 + k, int(n), int(min(h, n))) for k, (n, h) in enumerate(zip(r.integers(1, 900, 200), r.integers(0, 500, 200)))]
+    df = spark.createDataFrame(data, "id int, tokens long, head_tokens long")
+    got = packing.pack_documents(df, "id", capacity=256, segments=6, loss_limit=100, shard_pieces=80).toPandas()
+    w = got.groupby("window_id").agg(t=("tokens", "sum"), l=("loss_tokens", "sum"))
+    assert (w.t <= 256).all() and (w.l <= 100).all() and (w.l == 100).any()
+    for k, n, h in data:
+        d = got[got.id == k].sort_values("piece")
+        at, ends = 0, []  # the longest piece that a window holds, token by token
+        while at < n:
+            e = at
+            while e < n and e - at < 256 and max(0, e + 1 - max(at, h)) <= 100:
+                e += 1
+            ends.append(e - at)
+            at = e
+        assert d.tokens.tolist() == ends and d.start_token.tolist() == [1 + sum(ends[:i]) for i in range(len(ends))] and d.loss_tokens.sum() == max(0, n - h)
+    assert all((got.id == k).sum() == 1 for k in (0, 1, 5))
+
+
 def test_tokens_round_trip(spark):
     texts = ["Hello wörld  \n\n x", None, "", "<|endoftext|> is text"]
     df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "id int, body string, tokens int")
