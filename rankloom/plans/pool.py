@@ -59,12 +59,32 @@ class Pool:
         return match.rank_candidates(self.scores(c), self.candidates, c)
 
 
-_POOLS: dict[tuple[str, str], Pool] = {}
+TABLES = ("candidates", "evidence", "requirements")
+_POOLS: dict[tuple[str, str], tuple[tuple, Pool]] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and modification time of every file of the pool's tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            files = fs.listFiles(path, True) if fs.getFileStatus(path).isDirectory() else None
+            if files is None:
+                found = [fs.getFileStatus(path)]
+            else:
+                found = []
+                while files.hasNext():
+                    found.append(files.next())
+            out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(out))
 
 
 def pool(spark: SparkSession, sf_dir: str) -> Pool:
-    """The pool of a directory, one per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _POOLS:
-        _POOLS[key] = Pool(spark, sf_dir)
-    return _POOLS[key]
+    """The pool of a directory, one per application, made anew when a file of its tables has changed."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), _files(spark, sf_dir)
+    if key not in _POOLS or _POOLS[key][0] != files:
+        _POOLS[key] = (files, Pool(spark, sf_dir))
+    return _POOLS[key][1]

@@ -83,3 +83,15 @@ def test_institution_does_not_move_scores(spark):
     reqs = spark.createDataFrame([("j", "j::1", 1, "Python and Go", "MUST", [], 1.0), ("j", "j::2", 2, "Physics degree", "NICE", [], 0.6)], REQ)
     spread = institution_spread(cands, reqs, Config())
     assert verdict(spread).first()["tier_blind"] and rows(spread, "candidate_id", "swapped") == [("a", True), ("b", True), ("c", False)]
+
+
+def test_pool_is_made_anew_when_a_table_changes(spark, tmp_path):
+    from rankloom.plans.pool import pool
+
+    columns = "id string, name string, source_file string, raw_text string, skills_declared array<string>, fit_label string"
+    write = lambda names: spark.createDataFrame([(str(k), n, "f", "x", [], None) for k, n in enumerate(names)], columns).write.mode("overwrite").parquet(f"{tmp_path}/candidates.parquet")
+    write(["Zoe Lee"])
+    first = pool(spark, str(tmp_path))
+    assert pool(spark, str(tmp_path)) is first and rows(first.candidates, "name") == [("Zoe Lee",)]
+    write(["Ann Oak", "Bob Elm"])
+    assert rows(pool(spark, str(tmp_path)).candidates, "name") == [("Ann Oak",), ("Bob Elm",)]
