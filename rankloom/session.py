@@ -52,6 +52,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def bounded_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, a materialised table of narrow rows, marked for broadcast if it has at most ``rows`` rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def latest(df: DataFrame, keys: list[str], columns: list[str], order: str | None = "ingested_at") -> DataFrame:
     """One row per key: that with the greatest ``order``, then the greatest values.
 
