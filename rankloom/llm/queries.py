@@ -151,17 +151,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_documents(load(spark, d, "documents"), "doc_id", "text", "source").select("doc_id").distinct()
+    return residue.residue_documents(load(spark, d, "documents"), "doc_id", "text", "source", ("doc_type", "lang")).select("doc_id").distinct()
 
 
 def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     """The residue messages of the corpus, with their kind and spread."""
-    return residue.residue_messages(load(spark, d, "documents"), "doc_id", "text", "source")
+    return residue.residue_messages(load(spark, d, "documents"), "doc_id", "text", "source", ("doc_type", "lang"))
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     """The corpus without residue documents."""
-    return residue.without_residue(load(spark, d, "documents"), "doc_id", "text", "source").select("doc_id", "source", "n_chars")
+    return residue.without_residue(load(spark, d, "documents"), "doc_id", "text", "source", ("doc_type", "lang")).select("doc_id", "source", "n_chars")
 
 
 _P2_UNITS = """

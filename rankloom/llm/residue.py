@@ -1,11 +1,12 @@
 """Template residue, filler, error pages and script notices in documents.
 
-Sentences are masked (numbers, addresses, dates and template fields), and every distinct message is classified once by
-placeholder and phrase rules. All short sentences are grouped over all documents and sources by a key without letter
-case, punctuation, lead-in, subject and code: a message that recurs widely and in some documents begins with an apology
-or ends in a code is an error message whatever its wording. Recurrence alone decides nothing, as plain sentences recur
-as widely. Weak phrases count in a line of their own, else only as part of a widely recurring message. A sentence that speaks about such things is
-no residue.
+Every sentence of every document is masked (template fields, mail and web addresses, dates, numbers), reduced to a key
+without letter case, punctuation, lead-in, subject and code, and hashed; equal hashes are grouped over all documents,
+sources, kinds of document and languages. Groups are classified in two ways. Placeholder and phrase rules name the kind
+of a message whatever its number. A message in wording that no rule lists is boilerplate if its group recurs widely:
+in enough documents to tell, spread over sources, kinds and languages as the corpus itself is. What documents say
+themselves is bound to their kind or language; notices, navigation and error text of a site are not. A sentence that
+reports on such things (first person, or opened by a verb of work) is no residue.
 """
 
 from __future__ import annotations
@@ -13,16 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import materialize
+from rankloom.session import bounded_broadcast, materialize
 
-#: A message recurs widely if it is found in at least this many documents.
-WIDE_DOCS = 3
-#: An unlisted message must also come from at least this many sources,
-WIDE_SOURCES = 2
-#: and bear an apology or a code in at least this share of its documents.
+#: Documents that a group needs before its spread says anything.
+LEAST_DOCS = 8
+#: Divergence (nats, less its bias for small groups) between a group's documents and the corpus in each dimension, at most.
+MOST_BOUND = 0.4
+#: A group whose messages bear an apology or a code, in at least this share of its documents, needs fewer documents and two sources.
 SIGNED_SHARE = 0.05
-#: Sentences up to this length are grouped over the corpus.
-SHORT = 160
+SIGNED_DOCS = 3
 FIELD = "⟦field⟧"
 
 _FIELD_WORDS = (
@@ -65,12 +65,13 @@ _FILLER = (
     r"^\W*(?:add|enter|write|paste|put|insert|type|describe) (?:[\w'’-]+ ){1,6}(?:here\W*$|in (?:place of )?this (?:line|space|box|field|block)\b|and delete this (?:hint|line|note|text)\b|\(max\b)|"
     r"(?:\btest\b\W*){3,}|\bplease ignore this (?:test )?(?:posting|page|document|entry)\b|"
     r"\breplace this (?:block|text|paragraph|section|line)\b|\bedit it before you publish\b|\bdescribe your (?:\w+ ){1,4}here\b|\btype your (?:\w+ ){1,4}in(?:to)? this (?:box|field)\b|"
+    r"^\W*(?:todo|tbd|fixme)\b ?(?:[:–-]|\W*$)|^\W*to be (?:determined|completed|added)\W*$|"
     r"\bblindtext\b|\btexto de (?:ejemplo|relleno)\b|\bsustituya este\b|\btexte (?:factice|d'exemple)\b|^\W*bullet (?:one|two|three|four|five)\b|(?:\basdf\w*\b\W*){2,}|(?:\bblah\b\W*){2,}|^\W*use action words\W*$"
 )
-_SCRIPT_WORD = r"(?:java ?scripts?|(?:client-side |browser )?script(?:s|ing)|active content)"
+_SCRIPT_WORD = r"(?:java ?scripts?|(?:client-side |browser )?script(?:s|ing)|active content|js)"
 _SCRIPT = (
     r"(?:^\W*|\b(?:please|need to|have to|must|then|and|or|nothing happens,|veuillez|bitte|por favor,?|you can) )(?:enable|activate|turn on|switch on|allow|activez|activer|active|aktivieren sie|aktivieren|habilite) "
-    r"(?:\w+ )?" + _SCRIPT_WORD + r"\b|\b(?:site|page|viewer|form|application|portal|app) (?:needs|requires) " + _SCRIPT_WORD + r"\b|"
+    r"(?:\w+ )?" + _SCRIPT_WORD + r"\b|\b(?:site|page|viewer|form|application|portal|app) (?:needs|requires|uses|relies on|works best with) " + _SCRIPT_WORD + r"\b|"
     r"\bmust have " + _SCRIPT_WORD + r" (?:switched|turned) on\b|\b" + _SCRIPT_WORD + r" (?:seems? to be|appears? to be|is|are|has been) (?:turned off|switched off|disabled|blocked)\b|"
     r"\bbrowser (?:does not|doesn't|cannot|can't) (?:support|run) " + _SCRIPT_WORD + r"\b|\bturn (?:them|it) on in your browser\b|\bcookies and scripts\b[^.]{0,60}\bblocked\b"
 )
@@ -78,48 +79,60 @@ _THING = (
     r"(?:page|pages|site|server|posting|vacancy|resume|profile|document|file viewer|file|application form|form|candidate search|search|offer|oferta|seite|p[áa]gina|link|job)"
 )
 _FAILED = (
-    r"(?:(?:could not|cannot|can't) be (?:found|shown|converted|loaded|opened|reached|displayed)|does not exist|do(?:es)? not exist on this server|is no longer available|ya no est[áa] disponible|"
+    r"(?:(?:could not|cannot|can't) be (?:found|shown|converted|loaded|opened|reached|displayed)|does not exist|do(?:es)? not exist on this server|is no longer available|ya no est[áa] disponible|has expired|does(?:n't| not) exist\b|"
+    r"(?:is|was|are) not (?:available|accessible|reachable)|(?:was|has been) (?:removed|deleted)|existiert nicht|ist nicht (?:mehr )?verf[üu]gbar|wurde (?:entfernt|gel[öo]scht)|no existe|n'existe (?:pas|plus)|"
+    r"no est[áa] disponible|n'est (?:pas|plus) disponible|est indisponible|expired|"
     r"(?:was|has been) moved or deleted|has wandered off|is (?:currently |temporarily )?unavailable|is blocked from|failed with an? (?:unexpected|internal|unknown) error|timed out|"
     r"stopped responding|returned an empty (?:reply|response)|not found|no encontrada|nicht gefunden|(?:est )?introuvable)"
 )
 _ERROR = (
     r"^\W*(?:http )?(?:status |error |erreur |fehler )?9 ?[-:–]? ?(?:not found|bad gateway|forbidden|unauthori[sz]ed|internal\b|service unavailable|gateway time-?out|too many requests|gone\b)|"
     r"^\W*(?:http status|error|erreur|fatal|fehler)\b ?(?:9\w*)? ?[:–-]|^\W*(?:fatal|error) ?:?\W*$|"
-    r"\b" + _THING + r"\b[^.]{0,60}?\b" + _FAILED + r"|^\W*access denied\W*$|\byou do not have permission to (?:open|view|access)\b|^\W*request blocked\W*$|^\W*too many requests\W*$|"
+    r"\b" + _THING + r"\b[^.]{0,60}?\b" + _FAILED + r"|^\W*(?:access|permission|zugriff|acceso|acc[èe]s) (?:denied|forbidden|verweigert|denegado|refus[ée])\W*$|"
+    r"^\W*(?:page|session|link|token) (?:has )?expired\W*$|^\W*(?:bad request|method not allowed|precondition failed|service unavailable|internal server error|gateway time-?out|not found|unauthori[sz]ed|forbidden)\W*$|"
+    r"\b(?:you are|you're) not (?:authori[sz]ed|allowed|permitted) to (?:open|view|access)\b|\bunable to (?:load|open|connect|retrieve|process|display)\b[^.]{0,40}\b(?:page|request|file|content|data|resource|server|database)\b|"
+    r"^\W*(?:an )?(?:unexpected|unknown|internal|fatal) (?:error|exception)\b|\betwas ist schief\s?gelaufen\b|\balgo (?:ha salido|sali[óo]) mal\b|\b(?:site|page|server) is under maintenance\b|"
+    r"^\W*please (?:go back and )?try again(?: later)?\W*$|^\W*our engineers have been (?:told|notified)\W*$|^\W*try reloading\W*$|^\W*incident 9-9\W*$|\bin your browser(?: settings)?,? (?:and|then) (?:reload|refresh)\b|"
+    r"\byou do not have permission to (?:open|view|access)\b|^\W*request blocked\W*$|^\W*too many requests\W*$|"
     r"\bslow down and try again\b|\byour session has (?:expired|timed out)\b|^\W*bad gateway\W*$|\bproxy got an invalid reply\b|\bdown for (?:planned |scheduled )?maintenance\b|"
     r"^\W*traceback \(most recent call last\)|^\W*file \"?\w+\"?, line 9, in \w+|^\W*(?:key|value|type|index|attribute|name|runtime)error\b|\bunsupported or damaged file\b|"
-    r"\bprove that you are not a robot\b|\bsomething went wrong\b|\bcontact (?:support|the site owner) (?:and quote|with request)\b"
+    r"\b(?:prove|verify|confirm) that you are (?:not a robot|human)\b|\bsomething went wrong\b|\bcontact (?:support|the site owner) (?:and quote|with request)\b"
 )
-#: Phrases too common inside other text; there they count only in a widely recurring message.
-_WEAK = (
-    r"^\W*(?:whoops|oops|hmm)\b|\bplease go back and try again\b|\bour engineers have been told\b|^\W*try reloading\W*$|^\W*incident 9-9\W*$|\bin your browser(?: settings)?,? (?:and|then) (?:reload|refresh)\b"
-)
-#: A line of nothing but such phrases is an error message however rare it is.
-_WEAK_LINE = r"^\W*(?:(?:whoops|oops|hmm|please go back and try again|our engineers have been told|try reloading|incident \d+(?:-\d+)?)\b\W*)+$"
-#: Reports of work: an action verb in the past first, or first-person talk; "was the title of", "every night until I".
+#: Interjections count where they are a line of their own: inside other text they are too common.
+_WEAK = r"^\W*(?:whoops|oops|hmm|uh-oh)\W*$"
+#: Reports of work: an action verb in the past first, or talk of such things; "was the title of", "every night until I".
 _TALK = (
-    r"^\W*(?:(?:experience|project) 9 ?: )?(?!(?:unsupported|blocked|denied|failed|disabled|damaged|expired)\b)(?:\w+ed|built|cut|wrote|led|taught|typeset|kept|ran|made|set|gave|rewrote)\b|"
+    r"^\W*(?:(?:experience|project) 9 ?: )?(?!(?:unsupported|blocked|denied|failed|disabled|damaged|expired|need|required|unexpected)\b)(?:\w+ed|built|cut|wrote|led|taught|typeset|kept|ran|made|set|gave|rewrote)\b|"
     r"\bwas the (?:title|name|subject)\b|\b(?:until|when|while) i\b|\bbans?\b|\b(?:is|are) required for this post\b|\bmy (?:thesis|first|last)\b|\bnot found (?:screen|page that)\b"
 )
+#: Past forms of common English verbs that do not end in -ed (fixed values), for messages in unlisted wording.
+_IRREGULAR = (
+    "became began bent bought bound brought built came caught chose cut did drew drove fed fell felt fought found gave grew had heard held hid hit kept knew laid led left lent let lit lost made meant met "
+    "paid put ran read rode rose said sat saw sent set shot shut sold sought spent split spoke spread stood stuck swept taught thought threw told took tore typeset understood went withdrew woke won wore wove wrote"
+)
+#: Opened by a verb of work (past, or third person), or by someone speaking of themselves.
+_REPORT = r"^(?:9 )?(?:\w+ed|\w+[^s\W]s|" + _IRREGULAR.replace(" ", "|") + r")\b|\b(?:i|my|me|mine|we|our|us|he|his|she|her)\b"
+#: At least two words of three letters.
+_WORDY = r"\p{L}{3}.* (?:.* )?[^ ]*\p{L}{3}"
 #: Words before a message that are no part of it, and those of them that only an apology has.
 _SORRY = r"(?:sorry|whoops|oops|hmm|uh-oh|désolée?|lo sentimos|lo siento|entschuldigung)"
 _LEAD = r"^\W*(?:(?:notice|note|warning|attention|alert|hinweis|achtung|aviso|" + _SORRY + r")\W*[:,.!–-]\W*)+"
 _CODE = r"\W*\((?:error |status )?(?:code|error|status|ref|reference|incident|fehler|erreur) ?[:#]? ?[\w-]*9[\w-]*\)\W*$"
 _SIGNED = r"^\W*(?:(?:notice|note|warning|attention|alert)\W+)?" + _SORRY + r"\W*[:,.!–-]|" + _CODE
 _SUBJECT = r"^(?:(?:the|our|this|that|your|requested) ){0,2}" + _THING + r"(?: you \w+(?: for)?)?\b"
-_FIRST_PERSON = r"\b(?:i|my|me)\b"
 _HINT_MARKS = r"[\[\](){}<>%$@#_*«]"
-#: A word that every residue sentence without such a mark has, lower case, at a word start.
+#: A word that every message of a phrase rule has, lower case, at a word start (unless it has a mark). It only saves trying the rules: what
+#: has none of these is masked, grouped and classified by its spread like all else.
 _HINT_WORDS = (
     "xx/xx", "undefined", "null", "your text", "your content", "your title", "your summary", "heading", "headline", "subheading", "body ", "caption", "title goes", "text goes",
-    "copy goes", "content goes", "sample ", "dummy", "example text", "placeholder", "filler", "nan", "none", "blindtext", "texto de", "sustituya", "texte ", "replace this",
-    "edit it before", "describe ", "type ", "bullet", "asdf", "blah", "use action", "script", "javascript", "java script", "client-side script", "active content", "error", "erreur", "fehler",
-    "fatal", "keyerror", "valueerror", "typeerror", "indexerror", "attributeerror", "nameerror", "runtimeerror", "http", "not found", "bad gateway", "forbidden", "unauthor", "internal",
-    "service unavailable", "gateway", "too many requests", "gone", "access denied", "you do not have permission", "request blocked", "blocked", "slow down", "your session", "proxy", "down for",
-    "traceback", "file ", "unsupported", "prove that", "something went", "contact support", "contact the site", "could not be", "cannot be", "can't be", "does not exist", "do not exist",
-    "is no longer", "ya no", "was moved", "has been moved", "has wandered", "unavailable", "failed with", "timed out", "stopped responding", "no encontrada", "nicht gefunden", "introuvable", "whoops",
+    "copy goes", "content goes", "sample ", "dummy", "example text", "placeholder", "filler", "nan", "none", "blindtext", "texto de", "sustituya", "texte ", "replace this", "todo", "tbd", "fixme", "to be ",
+    "edit it before", "describe ", "type ", "bullet", "asdf", "blah", "use action", "script", "javascript", "java script", "client-side script", "active content", "js", "cookies", "error", "erreur", "fehler", "exception",
+    "fatal", "keyerror", "valueerror", "typeerror", "indexerror", "attributeerror", "nameerror", "runtimeerror", "http", "not found", "bad ", "forbidden", "unauthor", "internal", "permission", "precondition", "method not",
+    "service ", "gateway", "too many", "gone", "access ", "zugriff", "acceso", "accès", "acces ", "you do not have", "you are not", "you're not", "request ", "blocked", "slow down", "your session", "session", "sitzung", "proxy", "down for", "under maintenance", "wartung",
+    "traceback", "file ", "unsupported", "prove that", "verify", "confirm that", "captcha", "robot", "something went", "etwas ist", "algo ha", "algo sal", "contact support", "contact the site", "could not", "cannot", "can't", "couldn't", "unable", "does not exist", "do not exist", "doesn't exist", "existiert nicht", "no existe", "n'existe",
+    "is no longer", "is not", "are not", "was not", "ya no", "no est", "n'est", "est indisponible", "nicht mehr", "n'est plus", "was moved", "has been moved", "was removed", "has been removed", "was deleted", "has been deleted", "wurde ", "ist nicht", "has expired", "have expired", "expired", "has wandered", "unavailable", "not available", "nicht verfügbar", "no disponible", "indisponible", "failed", "fehlgeschlagen", "timed out", "timeout", "stopped responding", "no encontrada", "no encontrado", "nicht gefunden", "introuvable", "whoops",
     "oops", "hmm", "uh-oh", "sorry", "désol", "lo sent", "lo siento", "entschuldigung", "add ", "enter ", "write ", "paste ", "put ", "insert ", "please ignore", "returned an empty",
-    "please go back", "our engineers", "try reloading", "incident", "in your browser", "turn them on", "turn it on",
+    "please go back", "our engineers", "try reloading", "try again", "incident", "in your browser", "turn them on", "turn it on", "enable", "loading",
 )
 
 
@@ -132,13 +145,14 @@ def _by_first_letter(words: tuple[str, ...]) -> str:
 
 
 #: Any three words of the filler's list in a row, a thrice repeated test, and a number that runs into its message.
-_HINT_RUNS = rf"\b(?:(?:{_by_first_letter(tuple(_LATIN.split('|')))})\b[\s,.;]+){{2}}(?:{_by_first_letter(tuple(_LATIN.split('|')))})\b|\btest\W+test\b|\b9[a-z]"
-_HINT = rf"{_HINT_MARKS}|\b(?:{_by_first_letter(_HINT_WORDS)})|{_HINT_RUNS}"
+_LATIN_WORD = rf"(?:{_by_first_letter(tuple(_LATIN.split('|')))})\b"
+_HINT = rf"(?:^|[^a-z0-9_])(?:{_by_first_letter(_HINT_WORDS)}|(?:{_LATIN_WORD}[\s,.;]+){{2}}{_LATIN_WORD}|test\W+test\b|9[a-z])"
+_NUMBER = r"\b[0-9a-f]*\d[0-9a-f]*\b"
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text: cut at line ends and after a full stop, exclamation or question mark and a blank."""
-    return F.filter(F.transform(F.split(text, r"\n+|(?<=[.!?])[ \t ]+"), F.trim), lambda s: s != "")
+    """The sentences of a line: cut after a full stop, exclamation or question mark and a blank."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])[ \t]+"), F.trim), lambda s: s != "")
 
 
 def masked(sentence: Column) -> Column:
@@ -148,12 +162,19 @@ def masked(sentence: Column) -> Column:
     s = F.regexp_replace(s, r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "‹mail›")
     s = F.regexp_replace(s, r"(?:https?://|www\.)\S+", "‹url›")
     s = F.regexp_replace(s, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", "‹date›")
-    s = F.regexp_replace(s, r"\b[0-9a-f]*\d[0-9a-f]*\b", "9")
+    s = F.regexp_replace(s, _NUMBER, "9")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def classify(message: Column, wide: Column) -> Column:
-    """``field``, ``filler``, ``script`` or ``error``; null if the message is content."""
+def masked_plain(low: Column) -> Column:
+    """:func:`masked` of a lower-case sentence without a mark of a field or a mail sign: only what it can hold is looked for."""
+    linked = F.when(low.contains("://") | low.contains("www."), F.regexp_replace(low, r"(?:https?://|www\.)\S+", "‹url›")).otherwise(low)
+    dated = F.regexp_replace(linked, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", "‹date›")
+    return F.when(low.rlike(r"\d"), F.regexp_replace(dated, _NUMBER, "9")).otherwise(linked)
+
+
+def classify(message: Column, alone: Column) -> Column:
+    """``field``, ``filler``, ``script`` or ``error``; null if no rule names the message. ``alone``: it is its whole line."""
     left = F.regexp_replace(message, _MENTION, "")
     low = F.lower(message)
     content = low.rlike(_TALK)
@@ -162,78 +183,114 @@ def classify(message: Column, wide: Column) -> Column:
         .when(~content & low.rlike(_FILLER), "filler")
         .when(~content & low.rlike(_SCRIPT), "script")
         .when(~content & low.rlike(_ERROR), "error")
-        .when(~content & wide & low.rlike(_WEAK), "error")
+        .when(alone & low.rlike(_WEAK), "error")
     )
 
 
-def group_key(message: Column) -> Column:
-    """The masked message in lower case without punctuation, lead-in, code and subject; a bare lead-in keeps its words."""
+def _steps(sents: Column) -> Column:
+    """The array of ``(s, alone)`` taken step by step to ``(hash, kind, signed, plain, message)``.
+
+    Each step is a pass over the array, so that its result is worked out once and not again wherever it is used.
+    """
     words = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    low = F.lower(message)
-    led = F.regexp_replace(low, _LEAD, "")
-    bare = words(F.when(led.contains("("), F.regexp_replace(led, _CODE, "")).otherwise(led))
-    return F.when(bare == "", words(low)).otherwise(F.regexp_replace(bare, _SUBJECT, "‹thing›"))
+    x = F.transform(sents, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), F.lower(e["s"]).alias("low")))
+    x = F.transform(x, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), e["low"].alias("low"), (e["low"].rlike(_HINT_MARKS) | e["low"].rlike(_HINT)).alias("hinted")))
+    x = F.transform(x, lambda e: F.struct(e["alone"].alias("alone"), F.when(e["hinted"], masked(e["s"])).alias("message"), F.when(~e["hinted"], masked_plain(e["low"])).alias("low")))
+    x = F.transform(x, lambda e: F.struct(e["message"].alias("message"), F.when(e["message"].isNotNull(), classify(e["message"], e["alone"])).alias("kind"), F.coalesce(e["low"], F.lower(e["message"])).alias("low")))
+    x = F.transform(x, lambda e: F.struct(e["message"].alias("message"), e["kind"].alias("kind"), e["low"].alias("low"), F.regexp_replace(e["low"], _LEAD, "").alias("led")))
+    x = F.transform(
+        x,
+        lambda e: F.struct(
+            e["message"].alias("message"), e["kind"].alias("kind"), F.coalesce(F.when(e["message"].isNotNull(), e["low"].rlike(_SIGNED)), F.lit(False)).alias("signed"), e["low"].alias("low"),
+            words(F.when(e["led"].contains("("), F.regexp_replace(e["led"], _CODE, "")).otherwise(e["led"])).alias("bare"),
+        ),
+    )
+    x = F.transform(x, lambda e: F.struct(e["message"].alias("message"), e["kind"].alias("kind"), e["signed"].alias("signed"), F.when(e["bare"] == "", words(e["low"])).otherwise(F.regexp_replace(e["bare"], _SUBJECT, "‹thing›")).alias("key")))
+    return F.transform(
+        x,
+        lambda e: F.struct(
+            F.xxhash64(e["key"]).alias("h"), F.crc32(e["key"]).alias("h2"), e["kind"].alias("kind"), e["signed"].alias("signed"),
+            (e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT)).alias("plain"), F.coalesce(e["message"], e["key"]).alias("message"),
+        ),
+    )
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Every short or hinted sentence with its group key; only hinted ones (all that a rule can match) have a message."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.explode(F.split(text_col, r"\n+")).alias("line")
+def _sentences(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, str], with_text: bool) -> DataFrame:
+    """One row per sentence of each document: its hashes, its kind by rule, and the document's dimensions."""
+    lines = F.filter(F.split(text_col, r"\n+"), lambda x: x != "")
+    parted = F.transform(lines, lambda x: F.struct(sentences(x).alias("ss")))
+    flat = F.flatten(F.transform(parted, lambda p: F.transform(p["ss"], lambda s: F.struct(s.alias("s"), (F.size(p["ss"]) == 1).alias("alone")))))
+    every = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), *[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")).alias(k) for k, c in dims.items()], F.inline(_steps(flat))
     )
-    weak = (F.length("line") <= SHORT) & F.lower("line").rlike(_WEAK_LINE)
-    s = lines.select("doc_id", "source", weak.alias("weak_line"), F.explode(sentences(F.col("line"))).alias("s"))
-    s = s.withColumn("hinted", F.lower("s").rlike(_HINT)).where((F.length("s") <= SHORT) | F.col("hinted"))
-    s = s.withColumn("message", F.when(F.col("hinted"), masked(F.col("s"))))
-    plain = F.when(F.col("s").rlike(r"\d"), F.regexp_replace(F.lower("s"), r"\b[0-9a-f]*\d[0-9a-f]*\b", "9")).otherwise(F.lower("s"))
-    return s.select("doc_id", "source", "message", "weak_line", group_key(F.coalesce("message", plain)).alias("key"))
-
-
-def _hits(cand: DataFrame) -> DataFrame:
-    """The rows of ``cand`` that are residue with their kind: messages by rule, and all of a key that recurs as an error."""
-    signed = F.coalesce(F.lower("message").rlike(_SIGNED), F.lit(False)).cast("int")
-    per_doc = cand.groupBy("key", "doc_id").agg(F.min("source").alias("source"), F.max(signed).alias("signed"))
-    groups = (
-        per_doc.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("source").alias("sources"), F.sum("signed").alias("signed"))
-        .where(F.col("docs") >= WIDE_DOCS)
+    return every if with_text else every.drop("message")
+
+
+def _told(said: DataFrame, dims: list[str]) -> DataFrame:
+    """The groups that are residue by their recurrence: ``(h, h2, told)``.
+
+    Groups are reduced to counts per combination of their dimensions before anything else, so a message that a third of all
+    documents bear is a few rows. Only groups of enough documents are then compared with the corpus.
+    """
+    counts = said.groupBy("h", "h2", *dims).agg(F.count_distinct("doc_id").alias("n"), F.sum(F.col("signed").cast("int")).alias("signed"), F.min("plain").alias("plain"))
+    sources = F.count_distinct(F.when(F.col("source") != "", F.col("source")))
+    groups = counts.groupBy("h", "h2").agg(F.sum("n").alias("docs"), F.sum("signed").alias("signed"), sources.alias("sources"), F.min("plain").alias("plain"))
+    groups = materialize(groups.where(F.col("plain") & (F.col("docs") >= SIGNED_DOCS)))
+    signed = groups.where((F.col("sources") >= 2) & (F.col("signed") >= F.greatest(F.lit(1.0), F.col("docs") * SIGNED_SHARE))).select("h", "h2", F.lit("error").alias("told"))
+    if len(dims) < 2:
+        return signed
+    parts = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims]))
+    totals = said.select("doc_id", *dims).distinct().select(parts.alias("p")).groupBy("p.dim", "p.value").agg(F.count(F.lit(1)).alias("m"))
+    totals = totals.join(totals.groupBy("dim").agg(F.sum("m").alias("of"), F.count(F.lit(1)).alias("values")), "dim").where("values > 1")
+    many = groups.where(F.col("docs") >= LEAST_DOCS).select("h", "h2", "docs")
+    cells = counts.join(many, ["h", "h2"]).select("h", "h2", "docs", "n", parts.alias("p")).groupBy("h", "h2", "docs", "p.dim", "p.value").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.col("docs")
+    bound = cells.join(totals, ["dim", "value"]).groupBy("h", "h2", "docs", "dim").agg(
+        (F.sum(share * F.log(share * F.col("of") / F.col("m"))) - (F.count(F.lit(1)) - 1) / (2 * F.first("docs"))).alias("bound")
     )
-    groups = materialize(groups)
-    messages = cand.where(F.col("message").isNotNull()).select("key", "message").distinct()
-    ruled = messages.join(groups.select("key", "docs"), "key", "left").select("key", "message", classify(F.col("message"), F.col("docs").isNotNull()).alias("kind"))
-    ruled = materialize(ruled.where(F.col("kind").isNotNull()))
-    told = groups.where(
-        (F.col("sources") >= WIDE_SOURCES) & (F.col("signed") >= F.greatest(F.lit(1.0), F.col("docs") * SIGNED_SHARE)) & ~F.col("key").rlike(_TALK) & ~F.col("key").rlike(_FIRST_PERSON)
-    ).join(ruled.groupBy("key").agg(F.min("kind").alias("kind")), "key", "left")
-    told = told.select("key", F.coalesce("kind", F.lit("error")).alias("kind"))
-    columns = ["doc_id", "source", "key", "message", "kind"]
-    by_rule = cand.where(F.col("message").isNotNull()).join(ruled.select("message", "kind"), "message").select(columns)
-    by_line = cand.where("weak_line").withColumn("kind", F.lit("error")).select(columns)
-    return by_rule.unionByName(by_line).unionByName(cand.join(told, "key").select(columns))
-
-
-def residue_messages(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Each group of residue messages (as worded in one of them) with its kind and the number of its documents and (about) sources."""
-    hits = _hits(materialize(_candidates(docs, id_col, text_col, source_col)))
-    groups = hits.groupBy("key", "kind", "doc_id").agg(F.min(F.coalesce("message", "key")).alias("message"), F.min("source").alias("source")).groupBy("key", "kind")
-    groups = groups.agg(F.min("message").alias("message"), F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("source").alias("sources"))
+    spread = bound.groupBy("h", "h2").agg(F.max("bound").alias("bound"), F.count(F.lit(1)).alias("d")).where((F.col("bound") <= MOST_BOUND) & (F.col("d") == len(dims)))
+    return spread.select("h", "h2", F.lit("recurring").alias("told")).unionByName(signed).groupBy("h", "h2").agg(F.min("told").alias("told"))
+
+
+def _hits(said: DataFrame, dims: list[str]) -> DataFrame:
+    """The rows of ``said`` that are residue, with their kind."""
+    told = bounded_broadcast(materialize(_told(said, dims)))
+    by_rule = said.where(F.col("kind").isNotNull())
+    by_group = said.where(F.col("kind").isNull()).drop("kind").join(told, ["h", "h2"]).withColumnRenamed("told", "kind")
+    return by_rule.unionByName(by_group)
+
+
+def _dims(source_col: str, bound_cols: tuple[str, ...]) -> dict[str, str]:
+    return {"source": source_col} | {f"dim{k}": c for k, c in enumerate(bound_cols)}
+
+
+def residue_messages(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Each group of residue messages (as worded in one of them) with its kind and the number of its documents and sources."""
+    dims = _dims(source_col, bound_cols)
+    hits = _hits(materialize(_sentences(docs, id_col, text_col, dims, True)), list(dims))
+    one = hits.groupBy("h", "h2", "kind", "source", "doc_id").agg(F.min("message").alias("message"))
+    by_source = one.groupBy("h", "h2", "kind", "source").agg(F.min("message").alias("message"), F.count(F.lit(1)).alias("docs"))
+    groups = by_source.groupBy("h", "h2", "kind").agg(F.min("message").alias("message"), F.sum("docs").alias("docs"), F.count_if(F.col("source") != "").alias("sources"))
     return groups.select("message", "docs", "sources", "kind")
 
 
-def residue_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def residue_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound_cols: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, kind)`` of each document with a residue message, one row per kind found in it.
 
-    Null and empty texts have none; a null source counts as no source; repeated rows count once; a text of any length
-    is read whole; other columns are ignored; an empty table gives an empty result.
+    ``bound_cols`` are columns that what documents say is bound to (kind of document, language); without them recurrence tells
+    only messages with an apology or a code. Null and empty texts have no message, rows with a null id are left out; a null
+    dimension is a value of its own, but a null source is no source; repeated rows count once; sentences of any length are
+    read; other columns are ignored; an empty table gives an empty result.
 
-    Plan: splitting, masking and keys stay in the JVM and run once, the short sentences being written to the shared
-    folder. All are shuffled once by key and document, with partial aggregation; what is left of them is one row per
-    recurring key. A message in a third of all documents is one row after that and joins back to the written sentences
-    by a hash join whose other side is the list of residue messages or keys. Rules see each hinted message once.
+    Plan: splitting, masking, rules and keys stay in the JVM and run once, as passes over one array a document. Rows of
+    hashes, without text, are written to the shared folder and shuffled once by hash, dimensions and document with partial
+    aggregation, then once by hash as counts; the residue groups join back by broadcast if they are few.
     """
-    return _hits(materialize(_candidates(docs, id_col, text_col, source_col))).select("doc_id", "kind").distinct()
+    dims = _dims(source_col, bound_cols)
+    return _hits(materialize(_sentences(docs, id_col, text_col, dims, False)), list(dims)).select("doc_id", "kind").distinct()
 
 
-def without_residue(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def without_residue(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound_cols: tuple[str, ...] = ()) -> DataFrame:
     """The corpus without the documents that have residue."""
-    bad = residue_documents(docs, id_col, text_col, source_col).select(F.col("doc_id").alias(id_col)).distinct()
+    bad = residue_documents(docs, id_col, text_col, source_col, bound_cols).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(bad, id_col, "left_anti")

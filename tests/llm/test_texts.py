@@ -221,12 +221,39 @@ def test_residue(spark):
 
 
 def test_recurring_messages_are_grouped(spark):
-    docs = [(k, f"s{k % 2}", f"Oops! Incident {k}-{k + 1}. Fine words.") for k in range(4)] + [(9, "s0", "Oops! I did it once.")]
+    docs = [(k, f"s{k % 2}", f"Incident {k}-{k + 1}. Fine words.\nHMM!") for k in range(4)] + [(9, "s0", "Oops! I did it once.")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
     m = {r["message"]: (r["docs"], r["sources"]) for r in residue.residue_messages(df, "doc_id", "text", "source").collect()}
-    assert m["Incident 9-9."] == (4, 2) and m["Oops!"] == (5, 2)
-    one = residue.residue_documents(df.where(F.col("doc_id") == 9), "doc_id", "text", "source")
-    assert one.count() == 0  # a weak phrase found once is content
+    assert m == {"Incident 9-9.": (4, 2), "HMM!": (4, 2)}  # an interjection inside other text is content
+
+
+def _corpus(n: int, planted: str) -> list:
+    """Documents of five kinds, two languages and five sources, each kind with sentences of its own; ``planted`` in some of all kinds."""
+    own = {f"k{j}": [f"The {w} of the {f} ward {v} for the spring." for w in ("rota", "ledger") for f in ("north", "south") for v in ("waits", "turns")] for j in range(5)}
+    for j, k in enumerate(sorted(own)):
+        own[k] = [x.replace("spring", ["spring", "autumn", "winter", "summer", "harvest"][j]) for x in own[k]]
+    out = []
+    for k in range(n):
+        kind, lang = f"k{k % 5}", "de" if k % 7 == 0 else "en"
+        text = " ".join(own[kind][(k + j) % 8] for j in range(3)) + (" Der Dienst der Woche liegt beim alten Haus." if lang == "de" else "")
+        mine = [" - Mended the upper lantern with care.", " I like the quiet of the lower hall.", ""][k % 3]  # reports recur as widely, but are no notice
+        out.append((k, f"s{(k * 7 // 5) % 5}", kind, lang, text + mine + (" " + planted.format(k) if k % 19 == 3 and k < 570 else "")))
+    return out
+
+
+def test_a_message_without_a_listed_word_is_found_by_its_spread(spark):
+    planted = "Yonder lantern {} sleeps until dawn, kindly wander elsewhere."
+    schema = "doc_id long, source string, doc_type string, lang string, text string"
+    whole = spark.createDataFrame(_corpus(600, planted), schema)
+    found = lambda df: sorted(x[0] for x in rows(residue.residue_documents(df, "doc_id", "text", "source", ("doc_type", "lang")).where("kind = 'recurring'")))
+    want = [k for k in range(570) if k % 19 == 3]
+    assert len(want) == 30 and found(whole) == want
+    assert found(whole.where("doc_id < 300")) == [k for k in want if k < 300]  # half the corpus says the same
+    assert found(spark.createDataFrame([(*r[:2], "k1", *r[3:]) for r in _corpus(600, planted)], schema)) == []  # one kind only: spread cannot be told
+    m = {r["message"]: (r["docs"], r["sources"]) for r in residue.residue_messages(whole, "doc_id", "text", "source", ("doc_type", "lang")).collect()}
+    assert list(m.values()) == [(30, 5)]
+    dirty = whole.unionByName(whole).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).withColumn("h", F.lit(1))
+    assert found(dirty) == want  # repeated rows, null dimensions, clashing names
 
 
 def test_unlisted_messages_that_recur_widely(spark):
@@ -280,17 +307,26 @@ def test_every_rule_passes_the_hint(spark):
             if re.search(rule, text):
                 tried += 1
                 for x in (text, text.replace(" ", "  ")):
-                    assert re.search(residue._HINT, x.lower()), (rule[:30], x)
+                    assert re.search(residue._HINT, x.lower()) or re.search(residue._HINT_MARKS, x), (rule[:30], x)
     assert tried > 4_000
     lost = ["Dear None,", "Hello NaN", "Salary: None", "This is a sample paragraph.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum", "Page not  found"]
     df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(lost)], "doc_id long, source string, text string")
     assert rows(residue.residue_documents(df, "doc_id", "text", "source").select("doc_id")) == [(k,) for k in range(len(lost))]
 
 
-def test_weak_phrases_in_any_typing_and_corpus_size(spark):
+def test_weak_phrases_do_not_hang_on_the_size_of_the_corpus(spark):
     typed = ["HMM. It ran late.", "- Hmm. It ran early.", "Hmm! It ran."]
-    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(typed)], "doc_id long, source string, text string")
-    assert rows(residue.residue_documents(df, "doc_id", "text", "source")) == [(k, "error") for k in range(3)]  # one group of three
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(typed * 20)], "doc_id long, source string, text string")
+    assert residue.residue_documents(df, "doc_id", "text", "source").count() == 0
     alone = [(0, "Oops!"), (1, "Menu\n- HMM. Please go back and try again."), (2, "x\nIncident 4-77.\ny"), (3, "Oops! I did it once."), (4, "Hmm, that rota again.")]
     df = spark.createDataFrame([(k, None, t) for k, t in alone], "doc_id long, source string, text string")
     assert rows(residue.residue_documents(df, "doc_id", "text", "source")) == [(0, "error"), (1, "error"), (2, "error")]
+
+
+def test_common_notices(spark):
+    bad = ["Permission denied.", "Page expired.", "Please enable JS to continue.", "Diese Seite existiert nicht.", "TODO: add company background", "Unable to load the page.", "You are not authorized to view this page.",
+           "Internal server error", "Zugriff verweigert.", "Esta página no existe.", "Cette page n'existe plus.", "Session expired", "The server is not available.", "Please try again later.", "An unexpected error occurred.",
+           "Verify that you are human.", "Dear [Customer Name],", "The requested file has been deleted.", "TBD"]
+    good = ["Denied permission to two suppliers and found better ones.", "Expired stock was cleared in a week.", "We enable teams to write.", "Taught people to load a page of type.", "He was not available on Monday.", "Verified that people are paid."]
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(bad)] + [(100 + k, "s", t) for k, t in enumerate(good)], "doc_id long, source string, text string")
+    assert sorted(r["doc_id"] for r in residue.residue_documents(df, "doc_id", "text", "source").collect()) == list(range(len(bad)))
