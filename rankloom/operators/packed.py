@@ -3,7 +3,7 @@
 Grammar (ordered choice, the first alternative that parses wins)::
 
     line    <- blank* (label mark)? item (delim item)* blank* end
-    mark    <- blank* (':' / '–' / '—' / '-')
+    mark    <- blank* (':' / '–' / '—' / '-' !letter) / blank+ '-'
     item    <- quoted / bare / empty
     quoted  <- '"' ('""' / !'"' .)* '"' &stop / '“' (!'”' .)* '”' &stop / "'" (!("'" stop) .)* "'" &stop
     bare    <- (bracket / !delim .)+
@@ -22,25 +22,34 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that make the text before a colon or dash a skills, tools or languages label.
+#: Words that make the text before a colon or dash a skills, tools or languages label, in English, German, Spanish and French; a label
+#: in other words can be named by the caller. Words of a compound language count by their ending.
 LABEL_WORDS = (
-    "skill", "skills", "skillset", "tool", "tools", "toolset", "language", "languages",
-    "platforms", "software", "technologies", "technology", "competencies", "competences", "proficiencies",
-    "expertise", "stack",
+    "skill", "skills", "skillset", "skillsets", "tool", "tools", "toolset", "toolbox", "language", "languages", "platforms", "software", "technologies", "technology",
+    "tech", "competencies", "competences", "competency", "proficiencies", "proficiency", "proficient", "expertise", "stack", "frameworks", "libraries", "programming", "know-how", "abilities", "capabilities",
+    "qualifikationen", "sprachen", "werkzeuge", "technologien", "programme", "habilidades", "competencias", "destrezas", "aptitudes", "idiomas", "lenguajes", "herramientas", "tecnologías", "conocimientos",
+    "compétences", "savoir-faire", "aptitudes", "langues", "langages", "outils", "logiciels", "connaissances",
 )
-_BLANK = r"[  \t\r]"
-#: A label has one of LABEL_WORDS, at most three words before it and two after, and no digit; safe for Java and Python.
-LABEL_PATTERN = (
-    r"(?i)^[  \t\r]*(?:[-*>•·][  \t]*)?"
-    r"(?:[a-z][a-z/]*[  ]*(?:&|and)?[  ]*){0,4}?\b(?:" + "|".join(LABEL_WORDS) + r")\b"
-    r"(?:[  ]*(?:&|and|/|,)?[  ]*[a-z]+){0,3}?[  \t]*(?::|–|—|-(?![a-z]))"
-)
-#: A word that every label line has; tried first, as it is found or ruled out at word starts only.
-_LABEL_STEM = r"\b(?:skill|tool|language|platform|software|technolog|compet|proficien|expertise|stack)"
-_LABEL = re.compile(LABEL_PATTERN)
+LABEL_ENDINGS = ("kenntnisse", "fähigkeiten", "kompetenzen", "sprachen", "werkzeuge")
+#: A label is the text of at most this many letters before the first mark, with at most four words before its label word and three after.
+LABEL_LENGTH = 120
+_BEFORE, _AFTER = 4, 3
+
+
+def _label_patterns(letter: str) -> tuple[str, str, str]:
+    """Patterns of a line's head, of joining words in it, and of a label once those are blanks; bounded, so that no line is read twice."""
+    head = rf"^(?:[-*>•·][  \t]{{0,20}})?([^:–—\n]{{1,{LABEL_LENGTH}}}?)(?::|–|—|(?<=[  \t])-|-(?!{letter}))"
+    word = rf"(?:{letter}|['’.()+-])+"
+    named = "|".join(sorted({re.escape(w).replace(r"\-", "-") for w in LABEL_WORDS}, key=len, reverse=True))
+    return head, r"[&/,  \t]+(?:(?:and|und|et|y)[  \t]+)?", rf"^ ?(?:{word} ){{0,{_BEFORE}}}(?:{letter}{{1,20}}-)?(?:{named}|(?:{letter})*(?:{'|'.join(LABEL_ENDINGS)}))(?: {word}){{0,{_AFTER}}} ?$"
+
+
+_JAVA_HEAD, _JAVA_JOIN, _JAVA_LABEL = _label_patterns(r"\p{L}")
+_HEAD, _JOIN, _LABEL = map(re.compile, _label_patterns(r"[^\W\d_]"))
+_LEADING = "  \t\r"
 _ANY_LABEL = re.compile(r"^[  \t\r]*[^\W\d_][\w&/  ]{0,40}?[  \t]*(?::|–|—|-(?=[  \t]))")
 _DELIM = re.compile(r"[,;|•·，；、\t]|[  ]{3,}|[  ]+[/&–—-][  ]+")
 _STOP = re.compile(r"[  \r]*(?:[,;|•·，；、\t]|$)|[  ]{3,}|[  ]+[/&–—-][  ]+")
@@ -79,6 +88,22 @@ def _bracket(text: str, at: int) -> int:
     return -1
 
 
+def label_end(text: str) -> int:
+    """Where the values of a line start: after its skills, tools or languages label, else after any short label; 0 without one."""
+    blank = len(text) - len(text.lstrip(_LEADING))
+    if (m := _HEAD.match(text[blank : blank + LABEL_LENGTH + 40])) and _LABEL.match(_JOIN.sub(" ", m.group(1).lower())):
+        return blank + m.end()
+    m = _ANY_LABEL.match(text)
+    return m.end() if m else 0
+
+
+def is_label_line(line: Column) -> Column:
+    """Whether a line starts with a skills, tools or languages label and a mark."""
+    start = F.substring(F.regexp_replace(line, rf"^[{_LEADING}]+", ""), 1, LABEL_LENGTH + 40)
+    head = F.lower(F.regexp_extract(start, _JAVA_HEAD, 1))
+    return F.regexp_replace(head, _JAVA_JOIN, " ").rlike(_JAVA_LABEL)
+
+
 def parse_values(text: str | None, label: bool = True) -> list[tuple[int, str, str]]:
     """``(position, value, flag)`` of each value of a line; flag is ``""``, ``bad_quote`` or ``bad_bracket``.
 
@@ -87,8 +112,8 @@ def parse_values(text: str | None, label: bool = True) -> list[tuple[int, str, s
     if not text:
         return []
     at = 0
-    if label and (m := _LABEL.match(text) or _ANY_LABEL.match(text)):
-        at = m.end()
+    if label:
+        at = label_end(text)
     out: list[tuple[int, str, str]] = []
     n = len(text)
     unclosed = False  # a bracket without a partner: none after it closes either
@@ -155,6 +180,6 @@ def label_lines(df: DataFrame, id_col: str, text_col: str, field: str) -> DataFr
     lines = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("record_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("_p", "line")
     )
-    return lines.where(F.lower("line").rlike(_LABEL_STEM) & F.col("line").rlike(LABEL_PATTERN)).select(
+    return lines.where(is_label_line(F.col("line"))).select(
         F.lit(field).alias("field"), "record_id", (F.col("_p") + 1).cast("int").alias("line_no"), "line"
     )

@@ -21,14 +21,23 @@ FLAGSHIP = "final_rank"
 CFG = Config()
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """One row per value of each label line of the resumes and of each packed evidence unit."""
+def _packed_values(spark: SparkSession, d: str) -> DataFrame:
     packed = load(spark, d, "evidence").where(F.col("unit_kind") == "packed")
     units = latest(packed, ["id"], ["text"]).select(
         F.lit("evidence.text").alias("field"), F.col("id").alias("record_id"), F.lit(1).alias("line_no"), F.col("text").alias("line")
     )
     lines = label_lines(load(spark, d, "candidates"), "id", "raw_text", "candidates.raw_text")
-    return unpack_values(lines.unionByName(units)).drop("flag")
+    return unpack_values(lines.unionByName(units))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per value of each label line of the resumes and of each packed evidence unit."""
+    return _packed_values(spark, d).drop("flag")
+
+
+def p7_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The values with a malformed quote or bracket, and which it is."""
+    return _packed_values(spark, d).where("flag <> ''")
 
 
 # --- text functions and corpus statistics -------------------------------------------------------------------------
@@ -304,7 +313,7 @@ def embedding_cache_misses(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p7_found, normalize_text, tokenize_stats, term_freq, doc_freq, corpus_stats, negation_flag, noise_filter, section_classify, alias_expand_exact,
+        p7_found, p7_flags, normalize_text, tokenize_stats, term_freq, doc_freq, corpus_stats, negation_flag, noise_filter, section_classify, alias_expand_exact,
         detect_skills_all, fuzzy_alias, section_pivot, parse_quality, split_evidence, decompose_jd, bm25_argmax, cosine_argmax, trace_top5, semantic_search_top5,
         pool_zscore, fuse_matrix, must_have_gate, weighted_mean, final_rank, lexical_only_rank, ablation_ranks, why_not_top, explanation_matched, explanation_missing,
         disclaimers, explanation_summary, who_has, compare_pair, why_not_candidate, bias_flags, seniority_overreach, role_class, class_summary, precision_purity,

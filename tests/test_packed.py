@@ -1,7 +1,10 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from rankloom.operators.packed import label_lines, parse_values, unpack_values
+from rankloom.operators.packed import is_label_line, label_end, label_lines, parse_values, unpack_values
 from tests.conftest import rows
 
 
@@ -46,3 +49,27 @@ def test_lines_of_texts(spark):
     out = unpack_values(label_lines(df, "id", "raw_text", "f"))
     assert rows(out, "record_id", "line_no", "item_pos", "item") == [("1", 2, 1, "a"), ("1", 2, 2, "b"), ("1", 4, 1, "c")]
     assert unpack_values(label_lines(df.limit(0), "id", "raw_text", "f")).count() == 0
+
+
+LABELS = ["Skills:", "Frameworks:", "Programming:", "Kenntnisse:", "Compétences :", "Proficient in:", "Sprachkenntnisse –", "Technical and professional skills -", "My main tools:", "Idiomas:", "Outils & logiciels:", "Tools I use daily:",
+          "Other IT-skills:", "* Know-how:", "  - Core skills —", "LANGUAGES -x", "IT-Kenntnisse:", "Tools (daily use):"]
+NO_LABELS = ["Education:", "Experience 3: skills", "Skills", "skillful:", "Owned the river toolkit at Copper Field Works of Ashby: tuned", "At the firm we kept tools for the whole of the crew:", "Name: Skill Tools", "", ":", "-", "state-of-the-art tools"]
+
+
+def test_labels_in_other_wordings(spark):
+    lines = [(x + " a, b", True) for x in LABELS] + [(x, False) for x in NO_LABELS]
+    df = spark.createDataFrame([*lines, (None, False)], "line string, want boolean")
+    got = {r["line"]: r["got"] for r in df.select("line", is_label_line(F.col("line")).alias("got")).collect()}
+    assert {x: bool(got[x]) for x, _ in lines} == dict(lines)
+    for x in LABELS:
+        assert values(x + " a, b")[-2:] == ["a", "b"] and label_end(x + " a, b") in (len(x), len(x) - 1) or x == "LANGUAGES -x"
+
+
+def test_a_line_of_any_length_is_tested_at_once(spark):
+    long = ["a" * 60_000 + " skill x", " " * 60_000 + "skill x: a", "a-" * 30_000 + "skill: x", "and " * 15_000 + "skills: x", "skills " * 9_000 + ": x", "-" * 60_000]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(long)], "k int, line string").repartition(1)
+    df.select(is_label_line(F.col("line"))).collect()
+    start = time.time()
+    got = [r["got"] for r in df.orderBy("k").select(is_label_line(F.col("line")).alias("got")).collect()]
+    ends = [label_end(x) for x in long]
+    assert time.time() - start < 2 and got == [False, True, False, False, False, False] and ends[1] == 60_008
