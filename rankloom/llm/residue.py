@@ -79,14 +79,14 @@ _THING = (
     r"(?:page|pages|site|server|posting|vacancy|resume|profile|document|file viewer|file|application form|form|candidate search|search|offer|oferta|seite|p[áa]gina|link|job)"
 )
 _FAILED = (
-    r"(?:(?:could not|cannot|can't) be (?:found|shown|converted|loaded|opened|reached|displayed)|does not exist|do(?:es)? not exist on this server|is no longer available|ya no est[áa] disponible|has expired|does(?:n't| not) exist\b|"
+    r"(?:(?:could not|cannot|can't) be (?:found|shown|converted|loaded|opened|reached|displayed)|does not exist|do(?:es)? not exist on this server|is no longer available|ya no est[áa] disponible|has expired|does(?:n't| not) exist|"
     r"(?:is|was|are) not (?:available|accessible|reachable)|(?:was|has been) (?:removed|deleted)|existiert nicht|ist nicht (?:mehr )?verf[üu]gbar|wurde (?:entfernt|gel[öo]scht)|no existe|n'existe (?:pas|plus)|"
     r"no est[áa] disponible|n'est (?:pas|plus) disponible|est indisponible|expired|"
     r"(?:was|has been) moved or deleted|has wandered off|is (?:currently |temporarily )?unavailable|is blocked from|failed with an? (?:unexpected|internal|unknown) error|timed out|"
-    r"stopped responding|returned an empty (?:reply|response)|not found|no encontrada|nicht gefunden|(?:est )?introuvable)"
+    r"stopped responding|returned an empty (?:reply|response)|not found|no encontrada|nicht gefunden|(?:est )?introuvable)\b"
 )
 _ERROR = (
-    r"^\W*(?:http )?(?:status |error |erreur |fehler )?9 ?[-:–]? ?(?:not found|bad gateway|forbidden|unauthori[sz]ed|internal\b|service unavailable|gateway time-?out|too many requests|gone\b)|"
+    r"^\W*(?:http )?(?:status |error |erreur |fehler )?9\W{1,3}(?:not found|bad gateway|forbidden|unauthori[sz]ed|internal|service unavailable|gateway time-?out|too many requests|gone)\b|"
     r"^\W*(?:http status|error|erreur|fatal|fehler)\b ?(?:9\w*)? ?[:–-]|^\W*(?:fatal|error) ?:?\W*$|"
     r"\b" + _THING + r"\b[^.]{0,60}?\b" + _FAILED + r"|^\W*(?:access|permission|zugriff|acceso|acc[èe]s) (?:denied|forbidden|verweigert|denegado|refus[ée])\W*$|"
     r"^\W*(?:page|session|link|token) (?:has )?expired\W*$|^\W*(?:bad request|method not allowed|precondition failed|service unavailable|internal server error|gateway time-?out|not found|unauthori[sz]ed|forbidden)\W*$|"
@@ -95,7 +95,7 @@ _ERROR = (
     r"^\W*please (?:go back and )?try again(?: later)?\W*$|^\W*our engineers have been (?:told|notified)\W*$|^\W*try reloading\W*$|^\W*incident 9-9\W*$|\bin your browser(?: settings)?,? (?:and|then) (?:reload|refresh)\b|"
     r"\byou do not have permission to (?:open|view|access)\b|^\W*request blocked\W*$|^\W*too many requests\W*$|"
     r"\bslow down and try again\b|\byour session has (?:expired|timed out)\b|^\W*bad gateway\W*$|\bproxy got an invalid reply\b|\bdown for (?:planned |scheduled )?maintenance\b|"
-    r"^\W*traceback \(most recent call last\)|^\W*file \"?\w+\"?, line 9, in \w+|^\W*(?:key|value|type|index|attribute|name|runtime)error\b|\bunsupported or damaged file\b|"
+    r"^\W*traceback \(most recent call last\)|^\W*file \"?\w+\"?, line 9, in |^\W*(?:key|value|type|index|attribute|name|runtime)error\b|\bunsupported or damaged file\b|"
     r"\b(?:prove|verify|confirm) that you are (?:not a robot|human)\b|\bsomething went wrong\b|\bcontact (?:support|the site owner) (?:and quote|with request)\b"
 )
 #: Interjections count where they are a line of their own: inside other text they are too common.
@@ -121,32 +121,25 @@ _CODE = r"\W*\((?:error |status )?(?:code|error|status|ref|reference|incident|fe
 _SIGNED = r"^\W*(?:(?:notice|note|warning|attention|alert)\W+)?" + _SORRY + r"\W*[:,.!–-]|" + _CODE
 _SUBJECT = r"^(?:(?:the|our|this|that|your|requested) ){0,2}" + _THING + r"(?: you \w+(?: for)?)?\b"
 _HINT_MARKS = r"[\[\](){}<>%$@#_*«]"
-#: A word that every message of a phrase rule has, lower case, at a word start (unless it has a mark). It only saves trying the rules: what
-#: has none of these is masked, grouped and classified by its spread like all else.
-_HINT_WORDS = (
-    "xx/xx", "undefined", "null", "your text", "your content", "your title", "your summary", "heading", "headline", "subheading", "body ", "caption", "title goes", "text goes",
-    "copy goes", "content goes", "sample ", "dummy", "example text", "placeholder", "filler", "nan", "none", "blindtext", "texto de", "sustituya", "texte ", "replace this", "todo", "tbd", "fixme", "to be ",
-    "edit it before", "describe ", "type ", "bullet", "asdf", "blah", "use action", "script", "javascript", "java script", "client-side script", "active content", "js", "cookies", "error", "erreur", "fehler", "exception",
-    "fatal", "keyerror", "valueerror", "typeerror", "indexerror", "attributeerror", "nameerror", "runtimeerror", "http", "not found", "bad ", "forbidden", "unauthor", "internal", "permission", "precondition", "method not",
-    "service ", "gateway", "too many", "gone", "access ", "zugriff", "acceso", "accès", "acces ", "you do not have", "you are not", "you're not", "request ", "blocked", "slow down", "your session", "session", "sitzung", "proxy", "down for", "under maintenance", "wartung",
-    "traceback", "file ", "unsupported", "prove that", "verify", "confirm that", "captcha", "robot", "something went", "etwas ist", "algo ha", "algo sal", "contact support", "contact the site", "could not", "cannot", "can't", "couldn't", "unable", "does not exist", "do not exist", "doesn't exist", "existiert nicht", "no existe", "n'existe",
-    "is no longer", "is not", "are not", "was not", "ya no", "no est", "n'est", "est indisponible", "nicht mehr", "n'est plus", "was moved", "has been moved", "was removed", "has been removed", "was deleted", "has been deleted", "wurde ", "ist nicht", "has expired", "have expired", "expired", "has wandered", "unavailable", "not available", "nicht verfügbar", "no disponible", "indisponible", "failed", "fehlgeschlagen", "timed out", "timeout", "stopped responding", "no encontrada", "no encontrado", "nicht gefunden", "introuvable", "whoops",
-    "oops", "hmm", "uh-oh", "sorry", "désol", "lo sent", "lo siento", "entschuldigung", "add ", "enter ", "write ", "paste ", "put ", "insert ", "please ignore", "returned an empty",
-    "please go back", "our engineers", "try reloading", "try again", "incident", "in your browser", "turn them on", "turn it on", "enable", "loading",
+#: Words one of which every message of a phrase rule has, unless it has a mark, opens with one of _HINT_FIRST or holds five words of the filler's
+#: list. They only save trying the rules: a message with none of these is masked, grouped and classified by its spread like all else.
+_HINT_WORDS = tuple(
+    """xx undefined null nan none here goes sample dummy example placeholder filler test ignore replace publish box field this todo tbd fixme determined completed added blindtext ejemplo exemple relleno sustituya factice bullet blah action
+    content java javascript javascripts script scripts scripting js browser found gateway forbidden unauthorized unauthorised internal unavailable requests gone status http error erreur fehler fatal exception
+    shown converted loaded opened reached displayed exist disponible moved deleted removed wandered blocked failed timed responding empty available accessible reachable expired existiert verfügbar verfugbar entfernt gelöscht geloscht
+    existe indisponible encontrada gefunden introuvable denied verweigert denegado refusé refuse request allowed authorized authorised permitted unable schief schiefgelaufen mal maintenance again engineers reloading incident
+    permission session proxy traceback line keyerror valueerror typeerror indexerror attributeerror nameerror runtimeerror damaged robot human wrong quote whoops oops hmm uh sorry désolé désolée sentimos siento entschuldigung""".split()
 )
+_HINT_FIRST = ("add", "enter", "write", "paste", "put", "insert", "type", "describe", "asdf")
+_LATIN_WORDS = tuple(_LATIN.split("|"))
 
 
-def _by_first_letter(words: tuple[str, ...]) -> str:
-    """One alternation with a branch per first letter, so that few branches are tried at a place."""
-    groups: dict[str, list[str]] = {}
-    for w in words:
-        groups.setdefault(w[0], []).append(w[1:].replace(".", r"\.").replace(" ", r"\s+"))
-    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items()))
+def hinted(low: Column, tokens: Column) -> Column:
+    """Whether a phrase or placeholder rule can match a lower-case sentence, told by its marks and words."""
+    some = F.exists(tokens, lambda w: w.isin(*_HINT_WORDS) | w.startswith("asdf"))
+    return low.rlike(_HINT_MARKS) | some | F.get(tokens, F.lit(0)).isin(*_HINT_FIRST) | (F.size(F.filter(tokens, lambda w: w.isin(*_LATIN_WORDS))) >= 5)
 
 
-#: Any three words of the filler's list in a row, a thrice repeated test, and a number that runs into its message.
-_LATIN_WORD = rf"(?:{_by_first_letter(tuple(_LATIN.split('|')))})\b"
-_HINT = rf"(?:^|[^a-z0-9_])(?:{_by_first_letter(_HINT_WORDS)}|(?:{_LATIN_WORD}[\s,.;]+){{2}}{_LATIN_WORD}|test\W+test\b|9[a-z])"
 _NUMBER = r"\b[0-9a-f]*\d[0-9a-f]*\b"
 
 
@@ -188,29 +181,29 @@ def classify(message: Column, alone: Column) -> Column:
 
 
 def _steps(sents: Column) -> Column:
-    """The array of ``(s, alone)`` taken step by step to ``(hash, kind, signed, plain, message)``.
+    """The array of ``(s, alone)`` taken step by step to ``(h, h2, kind, signed, plain, message)``.
+
+    ``plain``: several words, no report, and not all that its document says.
 
     Each step is a pass over the array, so that its result is worked out once and not again wherever it is used.
     """
     words = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
     x = F.transform(sents, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), F.lower(e["s"]).alias("low")))
-    x = F.transform(x, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), e["low"].alias("low"), (e["low"].rlike(_HINT_MARKS) | e["low"].rlike(_HINT)).alias("hinted")))
-    x = F.transform(x, lambda e: F.struct(e["alone"].alias("alone"), F.when(e["hinted"], masked(e["s"])).alias("message"), F.when(~e["hinted"], masked_plain(e["low"])).alias("low")))
-    x = F.transform(x, lambda e: F.struct(e["message"].alias("message"), F.when(e["message"].isNotNull(), classify(e["message"], e["alone"])).alias("kind"), F.coalesce(e["low"], F.lower(e["message"])).alias("low")))
-    x = F.transform(x, lambda e: F.struct(e["message"].alias("message"), e["kind"].alias("kind"), e["low"].alias("low"), F.regexp_replace(e["low"], _LEAD, "").alias("led")))
-    x = F.transform(
-        x,
-        lambda e: F.struct(
-            e["message"].alias("message"), e["kind"].alias("kind"), F.coalesce(F.when(e["message"].isNotNull(), e["low"].rlike(_SIGNED)), F.lit(False)).alias("signed"), e["low"].alias("low"),
-            words(F.when(e["led"].contains("("), F.regexp_replace(e["led"], _CODE, "")).otherwise(e["led"])).alias("bare"),
-        ),
-    )
-    x = F.transform(x, lambda e: F.struct(e["message"].alias("message"), e["kind"].alias("kind"), e["signed"].alias("signed"), F.when(e["bare"] == "", words(e["low"])).otherwise(F.regexp_replace(e["bare"], _SUBJECT, "‹thing›")).alias("key")))
+    x = F.flatten(F.transform(F.array(x), lambda all_: F.transform(all_, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), e["low"].alias("low"), (F.size(all_) > 1).alias("part")))))
+    x = F.transform(x, lambda e: e.withField("tokens", F.split(words(e["low"]), " ")))
+    x = F.transform(x, lambda e: e.withField("hinted", hinted(e["low"], e["tokens"])).dropFields("tokens"))
+    x = F.transform(x, lambda e: F.struct(e["alone"].alias("alone"), e["part"].alias("part"), F.when(e["hinted"], masked(e["s"])).alias("message"), F.when(~e["hinted"], masked_plain(e["low"])).alias("low")))
+    x = F.transform(x, lambda e: e.withField("kind", F.when(e["message"].isNotNull(), classify(e["message"], e["alone"]))).withField("low", F.coalesce(e["low"], F.lower(e["message"]))))
+    x = F.transform(x, lambda e: e.withField("led", F.regexp_replace(e["low"], _LEAD, "")))
+    x = F.transform(x, lambda e: e.withField("bare", words(F.when(e["led"].contains("("), F.regexp_replace(e["led"], _CODE, "")).otherwise(e["led"]))))
+    x = F.transform(x, lambda e: e.withField("key", F.when(e["bare"] == "", words(e["low"])).otherwise(F.regexp_replace(e["bare"], _SUBJECT, "‹thing›"))))
+    yes = lambda c: F.coalesce(c, F.lit(False))
     return F.transform(
         x,
         lambda e: F.struct(
-            F.xxhash64(e["key"]).alias("h"), F.crc32(e["key"]).alias("h2"), e["kind"].alias("kind"), e["signed"].alias("signed"),
-            (e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT)).alias("plain"), F.coalesce(e["message"], e["key"]).alias("message"),
+            F.xxhash64(e["key"]).alias("h"), F.crc32(e["key"]).alias("h2"), e["kind"].alias("kind"), yes(F.when(e["message"].isNotNull(), e["low"].rlike(_SIGNED))).alias("signed"),
+            (e["part"] & e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT) & ~yes(F.when(e["message"].isNotNull(), e["low"].rlike(_TALK)))).alias("plain"),
+            F.coalesce(e["message"], e["key"]).alias("message"),
         ),
     )
 
@@ -232,10 +225,11 @@ def _told(said: DataFrame, dims: list[str]) -> DataFrame:
     Groups are reduced to counts per combination of their dimensions before anything else, so a message that a third of all
     documents bear is a few rows. Only groups of enough documents are then compared with the corpus.
     """
-    counts = said.groupBy("h", "h2", *dims).agg(F.count_distinct("doc_id").alias("n"), F.sum(F.col("signed").cast("int")).alias("signed"), F.min("plain").alias("plain"))
+    counts = said.where("plain").groupBy("h", "h2", *dims).agg(F.count_distinct("doc_id").alias("n"), F.sum(F.col("signed").cast("int")).alias("signed"))
+    counts = materialize(counts)
     sources = F.count_distinct(F.when(F.col("source") != "", F.col("source")))
-    groups = counts.groupBy("h", "h2").agg(F.sum("n").alias("docs"), F.sum("signed").alias("signed"), sources.alias("sources"), F.min("plain").alias("plain"))
-    groups = materialize(groups.where(F.col("plain") & (F.col("docs") >= SIGNED_DOCS)))
+    groups = counts.groupBy("h", "h2").agg(F.sum("n").alias("docs"), F.sum("signed").alias("signed"), sources.alias("sources"))
+    groups = materialize(groups.where(F.col("docs") >= SIGNED_DOCS))
     signed = groups.where((F.col("sources") >= 2) & (F.col("signed") >= F.greatest(F.lit(1.0), F.col("docs") * SIGNED_SHARE))).select("h", "h2", F.lit("error").alias("told"))
     if len(dims) < 2:
         return signed
@@ -256,7 +250,7 @@ def _hits(said: DataFrame, dims: list[str]) -> DataFrame:
     """The rows of ``said`` that are residue, with their kind."""
     told = bounded_broadcast(materialize(_told(said, dims)))
     by_rule = said.where(F.col("kind").isNotNull())
-    by_group = said.where(F.col("kind").isNull()).drop("kind").join(told, ["h", "h2"]).withColumnRenamed("told", "kind")
+    by_group = said.where(F.col("kind").isNull() & F.col("plain")).drop("kind").join(told, ["h", "h2"]).withColumnRenamed("told", "kind")
     return by_rule.unionByName(by_group)
 
 
