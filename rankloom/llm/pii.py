@@ -2,17 +2,19 @@
 
 A line is segmented into spans of the types EMAIL, PHONE, ID_NUMBER, ADDRESS and NAME and single characters of no type.
 Grammars propose every span that could be a value, with alternative boundaries and types; a span's score is the sum of
-the weights of features of the whole span (its shape, its length, the cue words to its left and right, dictionary
-hits) and of the type before it. A dynamic program over span ends finds the best segmentation, boundaries and
-types jointly. Spans no grammar proposes have a score below that of no type, so leaving them out changes nothing.
+the weights of features of the whole span (its shape, its length, the cue words to its left, dictionary hits) and of
+the type before it. The probability of a segmentation is its exponential over the sum of all (:func:`lattice`, forward and
+backward); a dynamic program over span ends finds the most probable one, boundaries and types jointly. The support of
+the model is what the grammars propose: a value of a form that no grammar knows is not found.
 
-The weights are fitted here (:func:`fit`) on invented labelled lines (``pii_training``); the dictionary of given names
-and surnames is counted over the whole name column of the collection (:func:`name_lookup`).
+The weights are fitted here (:func:`fit`, maximum likelihood) on invented labelled lines (``pii_training``); the dictionary
+of given names and surnames is counted over the whole name column of the collection (:func:`name_lookup`).
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -51,16 +53,21 @@ _STREET = (
     r"grove|gardens|mews|walk|quay|parade)\b\.?"
 )
 _UNIT = rf"(?:(?:apt|apartment|flat|unit|suite|room|no|plot|door)\b\.?{_S}*\d+[A-Z]?{_S}*,?{_S}*)"
+_UPPER = r"(?-i:[A-ZÀ-ÖØ-Þ])"
+#: After a street: a comma and a postal code and town, or a town, which starts with a capital or ends its part of the line.
 _TAIL = (
-    rf"(?:{_S}*,{_S}*\d{{4,6}}{_S}+[^\W\d_]\w*(?:{_S}+(?-i:[A-Z])[^\W\d_]+)?"
-    rf"|{_S}*,{_S}*(?!with\b|reducing\b|cutting\b|ahead\b|and\b)[^\W\d_]\w*(?:{_S}+(?-i:[A-Z])[^\W\d_]+)?(?:{_S}*-)?(?:{_S}+\d{{4,6}})?)?"
+    rf"(?:{_S}*,{_S}*\d{{4,6}}{_S}+[^\W\d_]\w*(?:{_S}+{_UPPER}[^\W\d_]+)?"
+    rf"|{_S}*,{_S}*(?:{_UPPER}\w*(?:{_S}+{_UPPER}[^\W\d_]+)?|[^\W\d_]\w*(?:{_S}+[^\W\d_]+)?(?={_S}*(?:$|[,;|/•(\n-]|\d))|[^\W\d_]\w*(?={_S}*(?:$|[,;|/•(\n-]|\d)))(?:{_S}*-)?(?:{_S}+\d{{4,6}})?)?"
 )
+_CAP = rf"{_UPPER}[\w'’-]*"
 _ADDRESS = {
     "street": rf"(?P<unit>{_UNIT})?\b\d+[A-Z]?(?:[-/]\d+[A-Z]?)?,?{_S}+{_WORDS3}{_STREET}",
     "house": rf"(?P<unit>{_UNIT}){_WORDS3}house\b",
     "layout": rf"(?P<unit>{_UNIT})(?:\d+(?:st|nd|rd|th){_S}+(?:cross|main|floor|block){_S}*,{_S}*)*{_WORDS3}(?:layout|nagar|colony|enclave|extension)\b",
     "sector": rf"\b\d+(?:/\d+)?{_S}*,{_S}*sector{_S}+\d+{_S}*,{_S}*{_WORDS3}{_STREET}",
-    "weg": rf"\b[^\W\d_][\w-]*(?:weg|stra(?:ß|ss)e|gasse|allee|platz)\b{_S}+\d+[a-z]?\b",
+    "weg": rf"\b[^\W\d_][\w-]*(?:weg|stra(?:ß|ss)e|gasse|allee|platz|markt|damm|ufer|chaussee|steig)\b{_S}+\d+[a-z]?\b",
+    "calle": rf"\b(?:calle|c/|avenida|avda\.?|paseo|plaza|via|viale|piazza|corso|rua|ulica|ul\.){_S}*(?:(?:de{_S}+la|de{_S}+los|del|de|da|do|dei|della){_S}+)?[^\W\d_][\w'’.-]*(?:{_S}+[^\W\d_][\w'’.-]*)?{_S}*,?{_S}+(?:n[.º°o]{_S}*)?\d+[a-z]?\b",
+    "code": rf"(?:\b\d{{1,4}}[A-Z]?{_S}+{_CAP}(?:{_S}+{_CAP}){{0,2}}|\b{_CAP}(?:{_S}+{_CAP}){{0,2}}{_S}+\d{{1,4}}[a-z]?)(?={_S}*,{_S}*\d{{4,6}}{_S}+{_UPPER})",
     "box": rf"\b(?:p\.?{_S}?o\.?{_S}?box|post(?:fach|box)|apartado)\b{_S}+\d+",
 }
 _ADDRESS = {k: re.compile(v + _TAIL, _I) for k, v in _ADDRESS.items()}
@@ -70,14 +77,15 @@ _ADDRESS["rue"] = re.compile(
 )
 _ADDRESS_WORDS = frozenset(
     """street st road rd avenue ave lane ln row close crescent cres terrace way drive boulevard blvd court place square grove gardens mews walk
-    quay parade house layout nagar colony enclave extension rue chemin impasse box postfach postbox apartado""".split()
+    quay parade house layout nagar colony enclave extension rue chemin impasse box postfach postbox apartado calle c avenida avda paseo plaza via viale piazza corso rua ulica ul""".split()
 )
-_ADDRESS_ENDS = ("weg", "straße", "strasse", "gasse", "allee", "platz")
-_EMAIL_SIGNS = ("@", "＠", "at)", "at]", "at}", "dot")
+_ADDRESS_ENDS = ("weg", "straße", "strasse", "gasse", "allee", "platz", "markt", "damm", "ufer", "chaussee", "steig")
+_ADDRESS_CODE = re.compile(r",\s*\d{4,6}\s+[A-ZÀ-ÖØ-Þ]")
+#: Two words that may be a name: both with a capital, the first perhaps an initial.
+_CAP_PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_'’]*['’\w]*\.?,?\s+(?:[A-ZÀ-ÖØ-Þ]\.\s+)?[A-ZÀ-ÖØ-Þ]")
 _SOME_DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d(?:[^\S\n]*[().-]{0,2}[^\S\n]*\d){5}|[A-Za-z]{1,5}[-.]?\d[\d.-]{3}", re.ASCII)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_NAME_CUES = frozenset("name reference references referee author coauthor shadowed mentored reported dr mr mrs ms prof".split())
 #: Words that a person's name does not contain.
 NOT_NAMES = frozenset(
     """a an and the of for to in on at by with from or as is was curriculum vitae resume cv profile scan applicant
@@ -88,23 +96,25 @@ NOT_NAMES = frozenset(
     terrace way house council group team desk i we he she they his her my our v""".split()
 )
 _CUES = {
-    "mail": "email e-mail mail write",
-    "phone": "phone mobile tel telephone call hotline rung cell fax on-call reach contact",
-    "id": "ssn social security ni n.i insurance passport national id identity card personalausweis dl driving licence license "
-    "aadhaar uid pan tax nif dni",
-    "paper": "papers badge cleared under against proven no number",
-    "address": "address residence postal living lives moved at to parcels visit",
-    "name": "name reference references referee by from co-author coauthor shadowed mentored reported to author",
+    "mail": "email e-mail mail write mailbox inbox",
+    "phone": "phone mobile tel telephone call cell fax hotline dial ring text reach contact on",
+    "id": "ssn social security ni n.i insurance passport national id identity card personalausweis dl driving licence license aadhaar uid pan tax nif dni",
+    "number": "no number nr as",
+    "address": "address residence postal home living lives live at to in",
+    "name": "name reference references referee guarantor person author coauthor co-author",
+    "by": "by with from under and beside followed shadowed mentored coached reported answered",
     "title": "dr mr mrs ms prof miss herr frau",
-    "thing": "ticket build code fault standard version pages rows read order invoice error iso lanes lit processed closed shipped",
+    "thing": "ticket parcel claim receipt build code fault alarm norm standard version model page pages letters rows lines read order invoice error iso part item firmware",
 }
+_AFTER_NAME = frozenset("and for on at in of about is was while who to had has used".split())
 _CUE_OF = {w: k for k, ws in _CUES.items() for w in ws.split()}
 _LEFT = re.compile(r"[\w.'-]*\w")
+_PART = re.compile(r"[,;|•·()\[\]\"“”«»，；、]|['’](?!\w)|\s{3,}")
 
 
 def _left_cues(text: str, start: int, bol: int) -> list[str]:
-    """Cue classes of the three words before a span, with their distance."""
-    words = _LEFT.findall(text[max(bol, start - 40) : start].lower())[-3:]
+    """Cue classes of the three words before a span in its part of the line, with their distance."""
+    words = _LEFT.findall(_PART.split(text[max(bol, start - 40) : start].lower())[-1])[-3:]
     out = []
     for k, w in enumerate(reversed(words)):
         c = _CUE_OF.get(w)
@@ -180,7 +190,18 @@ def _name_spans(text: str, bol: int, eol: int, given: frozenset, family: frozens
         feats.append(f"whole{int(start_of_line and not rest)}first{int(first)}field{int(field)}g{int(kg)}")
         if start_of_line and first:
             feats.append(f"head{int(field)}g{int(kg)}f{int(kf)}")
+        # the run of capitalised words that the pair stands in: firms and titles run on, names mostly do not
+        a = i
+        while a and _case(words[a - 1]) != "low" and text[toks[a - 1][1] : toks[a][0]].isspace():
+            a -= 1
+        z = j
+        while z + 1 < n and _case(words[z + 1]) != "low" and text[toks[z][1] : toks[z + 1][0]].isspace():
+            z += 1
+        if not (a == 0 and z == n - 1):
+            feats.append(f"run{min(i - a, 2)}{min(z - j, 2)}g{int(kg)}f{int(kf)}")
         nxt = low[j + 1] if j + 1 < n else ""
+        mark = text[tail : tail + 1].strip()
+        feats.append(f"right={nxt if nxt in _AFTER_NAME and not mark else ('digit' if mark.isalnum() else mark) if mark else 'word' if rest else 'end'}")
         if j + 1 < n and text[tail : toks[j + 1][0]].isspace():
             if nxt in NOT_NAMES and nxt not in ("and", "on", "at", "while", "i", "to", "for", "with"):
                 feats.append("next=notname")
@@ -237,19 +258,17 @@ def _candidates(text: str, bol: int, eol: int, given: frozenset, family: frozens
     ]
 
 
-def decode(spans: list, weights: dict[str, float], gold: set | None = None) -> list[tuple[int, int, str, list[str]]]:
-    """The best segmentation of a line: spans in order, no two overlapping.
+def decode(spans: list, weights: dict[str, float]) -> list[tuple[int, int, str, list[str]]]:
+    """The most probable segmentation of a line: spans in order, no two overlapping.
 
     ``best(end, type)`` is kept as a running maximum per last type while spans are taken in order of their start, so
-    the cost is that of sorting. With ``gold`` every span that is not gold gets a margin of 1 (for fitting).
+    the cost is that of sorting.
     """
     if not spans:
         return []
     scored = []
     for k, (s, e, t, fs) in enumerate(spans):
         sc = sum(weights.get(f, 0.0) for f in fs)
-        if gold is not None:
-            sc += -1.0 if (s, e, t) in gold else 1.0
         scored.append((s, e, t, sc, k))
     by_start = sorted(scored, key=lambda x: (x[0], x[1]))
     pending: list = []  # finished spans not yet passed, by end
@@ -276,52 +295,83 @@ def decode(spans: list, weights: dict[str, float], gold: set | None = None) -> l
     return out[::-1]
 
 
-def _features(path: list) -> dict[str, float]:
-    f: dict[str, float] = defaultdict(float)
-    last = ""
-    for _, _, t, fs in path:
-        for x in fs:
-            f[x] += 1
-        f[f"{last}>{t}"] += 1
-        last = t
-    return f
+def _lse(xs: list[float]) -> float:
+    m = max(xs)
+    return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def fit(lines: list[tuple[str, list[tuple[int, int, str]], bool, bool]], given: frozenset, family: frozenset, rounds: int = 12) -> dict[str, float]:
-    """Averaged max-margin perceptron on labelled lines ``(text, [(start, end, type)], first line?, name field?)``."""
-    w: dict[str, float] = defaultdict(float)
-    acc: dict[str, float] = defaultdict(float)
-    step = 1
+def lattice(spans: list[tuple[int, int, str]], scores: list[float], trans) -> tuple[float, list[float], dict[tuple[str, str], float]]:
+    """Forward and backward over all segmentations: log of their sum, the probability of each span, expected type changes.
+
+    ``trans(p, t)`` is the weight of type ``t`` after ``p`` ("" at the start). Text of no type scores 0.
+    """
+    n = len(spans)
+    order = sorted(range(n), key=lambda k: spans[k][:2])
+    fwd, bwd = [0.0] * n, [0.0] * n
+    ins: list[list[tuple[str, float]]] = [[] for _ in range(n)]
+    for k in order:
+        s, _, t = spans[k]
+        ins[k] = [("", trans("", t))] + [(spans[j][2], fwd[j] + trans(spans[j][2], t)) for j in order if spans[j][1] <= s]
+        fwd[k] = scores[k] + _lse([x for _, x in ins[k]])
+    for k in reversed(order):
+        _, e, t = spans[k]
+        bwd[k] = _lse([0.0] + [trans(t, spans[j][2]) + scores[j] + bwd[j] for j in order if spans[j][0] >= e])
+    z = _lse([0.0] + fwd)
+    changes: dict[tuple[str, str], float] = defaultdict(float)
+    for k in range(n):
+        for p, x in ins[k]:
+            changes[p, spans[k][2]] += math.exp(x + scores[k] + bwd[k] - z)
+    return z, [math.exp(fwd[k] + bwd[k] - z) for k in range(n)], changes
+
+
+def _gold_path(spans: list, gold: list[tuple[int, int, str]]) -> list[int]:
+    """Of the spans with the right start and type, the longest is the value."""
+    want = {(s, t) for s, _, t in gold}
+    chosen: dict = {}
+    for k, (s, e, t, _) in enumerate(spans):
+        if (s, t) in want and ((s, t) not in chosen or e > spans[chosen[s, t]][1]):
+            chosen[s, t] = k
+    path = sorted(chosen.values(), key=lambda k: spans[k][0])
+    return [k for i, k in enumerate(path) if not i or spans[path[i - 1]][1] <= spans[k][0]]
+
+
+def fit(lines: list[tuple[str, list[tuple[int, int, str]], bool, bool]], given: frozenset, family: frozenset, rounds: int = 10, ridge: float = 2e-3, rate: float = 0.5) -> dict[str, float]:
+    """Weights of greatest conditional likelihood, with a ridge, on lines ``(text, [(start, end, type)], first line?, name field?)``.
+
+    Stochastic gradient with a step per weight: what is seen of each feature less what the model expects of it.
+    """
     data = []
     for k, (text, gold, first, field) in enumerate(lines):
         # every third line is read without a dictionary, so that cues and shapes carry weight of their own
         g, f = (given, family) if k % 3 else (frozenset(), frozenset())
         spans = _candidates(text, 0, len(text), g, f, first, field, 15)
-        want = {(s, t) for s, _, t in gold}
-        right = [x for x in sorted(spans) if (x[0], x[2]) in want]
-        chosen: dict = {}
-        for x in right:  # of spans with the right start and type, the longest is the value
-            if (x[0], x[2]) not in chosen or x[1] > chosen[(x[0], x[2])][1]:
-                chosen[(x[0], x[2])] = x
-        data.append((spans, sorted(chosen.values())))
+        if spans:
+            data.append(([x[:3] for x in spans], [x[3] for x in spans], _gold_path(spans, gold)))
+    w: dict[str, float] = defaultdict(float)
+    seen: dict[str, float] = defaultdict(lambda: 1e-6)
     for _ in range(rounds):
-        for spans, right in data:
-            keys = {(s, e, t) for s, e, t, _ in right}
-            got = decode(spans, w, keys)
-            if [x[:3] for x in got] != [x[:3] for x in right]:
-                up, down = _features(right), _features(got)
-                for x in up.keys() | down.keys():
-                    d = up.get(x, 0.0) - down.get(x, 0.0)
-                    if d:
-                        w[x] += d
-                        acc[x] += step * d
-            step += 1
-    return {k: v - acc[k] / step for k, v in w.items() if v - acc[k] / step}
+        for spans, feats, path in data:
+            _, prob, changes = lattice(spans, [sum(w[x] for x in fs) for fs in feats], lambda p, t: w[f"{p}>{t}"])
+            up: dict[str, float] = defaultdict(float)
+            for k, fs in enumerate(feats):
+                d = (k in path) - prob[k]
+                if abs(d) > 1e-6:
+                    for x in fs:
+                        up[x] += d
+            for (p, t), v in changes.items():
+                up[f"{p}>{t}"] -= v
+            for i, k in enumerate(path):
+                up[f"{spans[path[i - 1]][2] if i else ''}>{spans[k][2]}"] += 1
+            for x, d in up.items():
+                d -= ridge * w[x]
+                seen[x] += d * d
+                w[x] += rate * d / math.sqrt(seen[x])
+    return {k: v for k, v in w.items() if v}
 
 
 @lru_cache(maxsize=1)
 def default_weights() -> tuple[tuple[str, float], ...]:
-    """Weights fitted on the invented lines; a second or so, once per driver."""
+    """Weights fitted on the invented lines; a few seconds, once per driver."""
     from rankloom.llm import pii_training as t
 
     return tuple(sorted(fit(t.lines(), t.GIVEN, t.FAMILY).items()))
@@ -341,13 +391,14 @@ def find(text: str | None, weights: dict[str, float], given: frozenset, family:
         low = text[bol:eol].lower()
         if low and not low.isspace():
             words = set(_WORD.findall(low))
-            hints = 1 if any(x in low for x in _EMAIL_SIGNS) else 0
+            # what a grammar needs is looked for before it is tried; a line that lacks it has no candidate of that grammar
+            hints = 1 if "@" in low or "＠" in low or ("at" in words and ("dot" in words or "(" in low or "[" in low or "{" in low)) else 0
             if _SOME_DIGIT.search(low):
                 if _DIGITS.search(low):
                     hints |= 2
-                if not words.isdisjoint(_ADDRESS_WORDS) or any(w.endswith(_ADDRESS_ENDS) for w in words):
+                if not words.isdisjoint(_ADDRESS_WORDS) or any(w.endswith(_ADDRESS_ENDS) for w in words) or _ADDRESS_CODE.search(text, bol, eol):
                     hints |= 4
-            if name_field or first or not (words.isdisjoint(given) and words.isdisjoint(family) and words.isdisjoint(_NAME_CUES)):
+            if name_field or first or not (words.isdisjoint(given) and words.isdisjoint(family)) or _CAP_PAIR.search(text, bol, eol):
                 hints |= 8
             if hints:
                 spans = _candidates(text, bol, eol, given, family, first, name_field, hints)

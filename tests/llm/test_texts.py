@@ -1,5 +1,10 @@
 """Personal values, window packing, mixing and residue."""
 
+import itertools
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,22 +28,51 @@ def found(text, weights, field=False):
     return [(text[s:e], t) for s, e, t in pii.find(text, weights, GIVEN, FAMILY, field)]
 
 
-def test_held_out_lines(weights):
-    lines = pii_training.lines(repeats=10, seed=99)
-    wrong = 0
+def scored(lines, weights, given, family):
+    """Recall and precision per type on labelled lines."""
+    want, got, both = Counter(), Counter(), Counter()
     for text, gold, first, field in lines:
-        spans = pii._candidates(text, 0, len(text), pii_training.GIVEN, pii_training.FAMILY, first, field, 15)
-        wrong += [(s, t) for s, _, t, _ in pii.decode(spans, weights)] != [(s, t) for s, _, t in gold]
-    assert wrong <= 0.01 * len(lines)
+        spans = pii._candidates(text, 0, len(text), given, family, first, field, 15)
+        w, g = {(s, t) for s, _, t in gold}, {(s, t) for s, _, t, _ in pii.decode(spans, weights)}
+        want.update(t for _, t in w), got.update(t for _, t in g), both.update(t for _, t in w & g)
+    return {t: (both[t] / want[t], both[t] / max(got[t], 1)) for t in want}
+
+
+def test_other_fillers_of_the_templates(weights):
+    for t, (recall, precision) in scored(pii_training.lines(repeats=10, seed=99), weights, pii_training.GIVEN, pii_training.FAMILY).items():
+        assert recall >= 0.98 and precision >= 0.98, t
 
 
-def test_unseen_carriers(weights):
+def test_carriers_held_out_whole(weights):
     assert not set(pii_training.OTHER_CARRIERS) & {*pii_training.LABELLED, *pii_training.PLAIN}
-    lines, right, found_n, gold_n = pii_training.other_lines(repeats=20, seed=99), 0, 0, 0
-    for text, gold, _, field in lines:
-        got = {(s, t) for s, _, t in pii.find(text, weights, pii_training.GIVEN, pii_training.FAMILY, field)}
-        right, found_n, gold_n = right + len(got & {(s, t) for s, _, t in gold}), found_n + len(got), gold_n + len(gold)
-    assert right >= 0.95 * gold_n and right >= 0.9 * found_n
+    lines = pii_training.other_lines(repeats=20, seed=99)
+    for t, (recall, precision) in scored(lines, weights, pii_training.GIVEN, pii_training.FAMILY).items():
+        assert recall >= 0.95 and precision >= 0.95, t
+    unknown = scored(lines, weights, frozenset(), frozenset())["NAME"]  # names that no dictionary has: told by cues only
+    assert unknown[0] >= 0.3 and unknown[1] >= 0.9
+
+
+def test_probabilities_are_those_of_all_segmentations():
+    r = random.Random(8)
+    for _ in range(40):
+        spans = sorted((s := r.randrange(20), s + r.randrange(1, 9), r.choice(pii.TYPES)) for _ in range(6))
+        scores, w = [r.uniform(-2, 2) for _ in spans], {f"{a}>{b}": r.uniform(-1, 1) for a in ("", *pii.TYPES) for b in pii.TYPES}
+        z, prob, changes = pii.lattice(spans, scores, lambda p, t: w[f"{p}>{t}"])
+        legal = [c for k in range(7) for c in itertools.combinations(range(6), k) if all(spans[a][1] <= spans[b][0] for a, b in itertools.pairwise(c))]
+        total = lambda c: math.exp(sum(scores[k] + w[f"{spans[c[i - 1]][2] if i else ''}>{spans[k][2]}"] for i, k in enumerate(c)))
+        assert abs(math.log(sum(map(total, legal))) - z) < 1e-9
+        for k in range(6):
+            assert abs(sum(total(c) for c in legal if k in c) / math.exp(z) - prob[k]) < 1e-9
+        assert abs(sum(v for (p, _), v in changes.items() if p == "") - (1 - 1 / math.exp(z))) < 1e-9
+
+
+def test_forms_of_other_places_and_typings(weights):
+    for text, value in [
+        ("Calle de Alcala 45, 28014 Madrid", "Calle"), ("Via Roma 12, 00184 Roma", "Via"), ("12 Hauptmarkt, 90403 Nuremberg", "12"), ("Address: Mühlenstraße 4, 04103 Brunnthal", "Mühlen"),
+    ]:
+        assert [(t, v[: len(value)]) for v, t in found(text, weights)] == [("ADDRESS", value)], text
+    assert found("Write to zoe.lee ( at ) example.org please", weights) == [("zoe.lee ( at ) example.org", "EMAIL")]
+    assert found("Reported to Dr. Ingrid Solberg on the map", weights) == [("Ingrid Solberg", "NAME")]
 
 
 def test_each_type(weights):
@@ -93,9 +127,6 @@ def test_names_beyond_the_dictionary(spark, weights):
 
 def test_decoder_is_exact(weights):
     """The running-maximum program against every subset of spans."""
-    import itertools
-    import random
-
     r = random.Random(5)
     for _ in range(60):
         spans = [(s := r.randrange(20), s + r.randrange(1, 8), r.choice(pii.TYPES), [f"f{r.randrange(9)}"]) for _ in range(6)]
@@ -299,6 +330,11 @@ def test_every_rule_passes_the_hint(spark):
     import random
     import re
 
+    def passes(low):
+        tokens = re.sub(r"[\W_]+", " ", low).strip().split(" ")
+        words = any(w in residue._HINT_WORDS or w.startswith("asdf") for w in tokens)
+        return bool(re.search(residue._HINT_MARKS, low) or words or tokens[0] in residue._HINT_FIRST or sum(w in residue._LATIN_WORDS for w in tokens) >= 5)
+
     r, tried = random.Random(4), 0
     for rule in (residue._UNDEFINED, residue._FILLER, residue._SCRIPT, residue._ERROR, residue._WEAK):
         tree = re._parser.parse(rule)
@@ -307,7 +343,7 @@ def test_every_rule_passes_the_hint(spark):
             if re.search(rule, text):
                 tried += 1
                 for x in (text, text.replace(" ", "  ")):
-                    assert re.search(residue._HINT, x.lower()) or re.search(residue._HINT_MARKS, x), (rule[:30], x)
+                    assert passes(x.lower()), (rule[:30], x)
     assert tried > 4_000
     lost = ["Dear None,", "Hello NaN", "Salary: None", "This is a sample paragraph.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum", "Page not  found"]
     df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(lost)], "doc_id long, source string, text string")
