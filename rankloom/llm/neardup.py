@@ -1,12 +1,13 @@
 """Near-duplicate records: exact set-similarity join by universe partition and pigeonhole.
 
 Records are sets of shingle hashes. For two sets of sizes n and s with Jaccard similarity of at least t, the symmetric
-difference is at most H = (1 - t) / (1 + t) * (n + s). The universe of shingles is cut into m segments by hash. If
+difference is at most H = (1 - t) / (1 + t) * (n + s). The universe of shingles is cut into m > H segments by hash. If
 segment i of the one set is given a threshold d_i of -1 (skip), 0 (equal) or 1 (equal up to one deletion), and
 sum(d_i + 1) >= H + c, then segments that match within their thresholds have a total of d_i + 1 of at least c, because
 every other one takes at least d_i + 1 of the difference. Each set indexes its segments whole and with one
 element deleted; each set probes the size bands of its possible partners with the cheapest thresholds that make
-the sum. Candidates are verified on whole sets, so no pair is lost and none is wrong.
+the sum. As m > H, a set has other segments to choose than its empty ones, which all small sets share. Sets of few shingles are keyed by
+their rarest elements instead. Candidates are verified on whole sets, so no pair is lost and none is wrong.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import materialize
+from rankloom.session import bounded_broadcast, materialize
 
 #: The thresholds taken add up to this much more than the budget needs, so a pair must match in segments of this total
 #: weight (threshold + 1) to be a candidate. Chance matches come singly; similar pairs match in many segments.
 LEAST_WEIGHT = 4
-#: The sizes of a band differ by at most this factor.
-BAND_RATIO = 1.25
+#: Sets of at most this many shingles are keyed by single elements.
+SHORT = 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,116 +43,168 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_word
     return w.select("id", F.array_sort(F.array_distinct(hs)).alias("hs"))
 
 
-def band_of(size: int) -> int:
-    return int(math.floor(math.log(max(size, 1)) / math.log(BAND_RATIO) + 1e-9))
+def band_ratio(t: float) -> float:
+    """The sizes of a band differ by at most this factor, so that a set has partners in two bands or three."""
+    return max(1.25, 1 / t)
 
 
-def band_limits(band: int) -> tuple[int, int]:
-    """The least and the greatest size of a band; every size belongs to the band of :func:`band_of`."""
-    lo = max(1, math.ceil(BAND_RATIO**band - 1e-6))
-    while band_of(lo) < band:
-        lo += 1
-    hi = max(lo, math.floor(BAND_RATIO ** (band + 1)) + 1)
-    while hi > lo and band_of(hi) > band:
+def band_of(size, t: float):
+    """The band of a size, or of an array of sizes."""
+    return np.floor(np.log(np.maximum(size, 1)) / math.log(band_ratio(t)) + 1e-9).astype(np.int64)
+
+
+def band_limit(band: int, t: float) -> int:
+    """The greatest size of a band."""
+    hi = math.floor(band_ratio(t) ** (band + 1)) + 2
+    while band_of(hi, t) > band:
         hi -= 1
-    return lo, hi
+    return hi
 
 
-def _budget(n: int, s: int, t: float) -> int:
+def _budget(n, s, t: float):
     """Greatest symmetric difference of sets of sizes n and s with similarity t."""
-    return int(math.floor((1 - t) / (1 + t) * (n + s) + 1e-9))
+    return np.floor((1 - t) / (1 + t) * (n + s) + 1e-9).astype(np.int64)
 
 
 def segments_of(band: int, t: float) -> int:
-    """How many segments a band's universe has; depends on the band and the threshold only."""
-    _, hi = band_limits(band)
-    return max(1, 2 * _budget(hi, math.ceil(hi / t), t) // 3 + 1)
+    """How many segments a band's universe has: more than the greatest budget, by band and threshold only."""
+    hi = band_limit(band, t)
+    return 9 * int(_budget(hi, math.ceil(hi / t), t)) // 8 + 1
 
 
 def _key(band: int, seg: np.ndarray, sig: np.ndarray, kind: int) -> np.ndarray:
-    x = sig ^ np.uint64(((band * 2 + kind + 1) * int(_MIX)) & 0xFFFFFFFFFFFFFFFF)
+    x = sig ^ np.uint64(((band * 3 + kind + 1) * int(_MIX)) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x + seg.astype(np.uint64) * _MIX) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _grouped(h: np.ndarray, d: np.ndarray, m: int):
-    """Elements by segment, rarest first: order, segment of each, start and length of each segment's run, signatures."""
-    seg = (h % np.uint64(m)).astype(np.int64)
-    order = np.lexsort((d, seg))
-    seg, h, d = seg[order], h[order], d[order]
-    segs, start, length = np.unique(seg, return_index=True, return_counts=True)
-    sig = np.add.reduceat(h, start) if len(h) else h[:0]
-    return seg, h, d, segs, start, length, sig
-
-
-def index_keys(h: np.ndarray, d: np.ndarray, band: int, t: float) -> np.ndarray:
-    """All segments of a set, whole (empty ones too) and with one element deleted."""
-    m = segments_of(band, t)
-    seg, h, d, segs, start, length, sig = _grouped(h, d, m)
-    whole = np.zeros(m, dtype=np.uint64)
-    whole[segs] = sig
-    less = _key(band, seg, np.repeat(sig, length) - h, 1)
-    return np.concatenate([_key(band, np.arange(m), whole, 0), less])
-
-
-def probe_keys(h: np.ndarray, d: np.ndarray, band: int, t: float, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and weights of the cheapest thresholds that add up to ``budget + LEAST_WEIGHT``.
+class _Cut:
+    """The elements of a batch of sets cut into m segments each, rarest element first in each segment."""
+
+    def __init__(self, rec: np.ndarray, h: np.ndarray, d: np.ndarray, m: int):
+        cell = rec * m + (h % np.uint64(m)).astype(np.int64)
+        order = np.lexsort((d, cell))
+        self.m, self.h, cell = m, h[order], cell[order]
+        d = d[order]
+        self.start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, dtype=np.int64)
+        self.length = np.diff(np.r_[self.start, len(cell)])
+        self.cell = cell[self.start]
+        self.sig = np.add.reduceat(self.h, self.start) if len(cell) else self.h[:0]
+        self.of = np.repeat(np.arange(len(self.start)), self.length)
+        self.first = d[self.start]
+        two = self.length >= 2
+        self.two = np.flatnonzero(two)
+        self.second = np.maximum(d[self.start[two] + 1] + (self.length[two] - 1) * self.first[two], self.first[two])
+
+
+def index_keys(n_rec: int, rec: np.ndarray, h: np.ndarray, d: np.ndarray, band: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """All segments of each set, whole (empty ones too) and, if they have two elements, with one deleted: record and key."""
+    c = _Cut(rec, h, d, segments_of(band, t))
+    whole = np.zeros(n_rec * c.m, dtype=np.uint64)
+    whole[c.cell] = c.sig
+    cells = np.arange(n_rec * c.m)
+    many = c.length[c.of] >= 2
+    less = c.sig[c.of[many]] - c.h[many]
+    at = c.cell[c.of[many]]
+    return np.concatenate([cells // c.m, at // c.m]), np.concatenate([_key(band, cells % c.m, whole, 0), _key(band, at % c.m, less, 1)])
+
+
+def probe_keys(budget: np.ndarray, rec: np.ndarray, h: np.ndarray, d: np.ndarray, band: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Record, key and weight of the cheapest thresholds that add up to ``budget + LEAST_WEIGHT`` in each set.
 
     A segment's cost is the number of sets that may share it: at most the document frequency of its rarest element.
-    An empty segment and a segment that one deletion would empty cost most and are taken last. A segment's keys have
-    its threshold + 1 as weight; of them, at most one is met by another set. If all thresholds together do not add up
-    to the total, the weights are raised by what is lacking, so that a single match is then enough.
+    Empty segments cost most and are taken last. A segment's keys have its threshold + 1 as weight; of them, at most one
+    is met by another set. If all thresholds together do not add up to the total, the weights are raised by what
+    is lacking, so that a single match is then enough.
     """
     m = segments_of(band, t)
-    seg, h, d, segs, start, length, sig = _grouped(h, d, m)
-    top = np.iinfo(np.int64).max // 4
-    first = np.full(m, top, dtype=np.int64)
-    first[segs] = d[start]
-    second = np.full(m, top, dtype=np.int64)
-    two = length >= 2
-    second[segs[two]] = d[start[two] + 1] + (length[two] - 1) * d[start[two]]
-    second = np.maximum(second, first)
-    cost = np.concatenate([first, second])
-    take = np.argsort(cost, kind="stable")[: budget + LEAST_WEIGHT]
-    lacking = max(0, budget + LEAST_WEIGHT - 2 * m)
-    whole = np.zeros(m, dtype=np.uint64)
-    whole[segs] = sig
-    take = np.union1d(take, take[take >= m] - m)  # deletion presupposes the whole segment
-    d0 = take[take < m]
-    d1 = take[take >= m] - m
-    mine = np.isin(seg, d1)
-    keys = [_key(band, d0, whole[d0], 0), _key(band, d1, whole[d1], 1), _key(band, seg[mine], whole[seg[mine]] - h[mine], 0)]
-    weights = [np.where(np.isin(d0, d1), 2, 1), np.full(len(d1), 2), np.full(int(mine.sum()), 2)]
-    return np.concatenate(keys), np.concatenate(weights) + lacking
+    c = _Cut(rec, h, d, m)
+    n_rec, top = len(budget), np.iinfo(np.int64).max // 4
+    empty = np.setdiff1d(np.arange(n_rec * m), c.cell, assume_unique=True)
+    # options: a cell at threshold 0, then cells of two elements at threshold 1
+    cell = np.concatenate([c.cell, empty, c.cell[c.two]])
+    one = np.concatenate([np.zeros(len(c.cell) + len(empty), dtype=bool), np.ones(len(c.two), dtype=bool)])
+    cost = np.concatenate([c.first, np.full(len(empty), top), c.second])
+    of = cell // m
+    order = np.lexsort((one, cost, of))
+    cell, one, of = cell[order], one[order], of[order]
+    begin = np.searchsorted(of, np.arange(n_rec))
+    rank = np.arange(len(of)) - begin[of]
+    taken = rank < (budget + LEAST_WEIGHT)[of]
+    lacking = np.maximum(0, budget + LEAST_WEIGHT - np.bincount(of, minlength=n_rec))
+    # threshold 1 presupposes threshold 0 of the cell, which never costs more
+    zero, ones = cell[taken & ~one], cell[taken & one]
+    sig = np.zeros(n_rec * m, dtype=np.uint64)
+    sig[c.cell] = c.sig
+    is_one = np.zeros(n_rec * m, dtype=bool)
+    is_one[ones] = True
+    mine = is_one[c.cell[c.of]]
+    at = c.cell[c.of[mine]]
+    where = np.concatenate([zero, ones, at])
+    keys = np.concatenate([_key(band, zero % m, sig[zero], 0), _key(band, ones % m, sig[ones], 1), _key(band, at % m, sig[at] - c.h[mine], 0)])
+    weights = np.concatenate([np.where(is_one[zero], 2, 1), np.full(len(ones) + len(at), 2)])
+    return where // m, keys, weights + lacking[where // m]
+
+
+def _flat(pdf: pd.DataFrame):
+    n = pdf["n"].to_numpy(dtype=np.int64)
+    size = pdf["hs"].map(len).to_numpy(dtype=np.int64)
+    h = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["hs"]]).view(np.uint64)
+    d = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["df"]])
+    return n, size, np.repeat(np.arange(len(n)), size), h, d
+
+
+def _part(mask: np.ndarray, rec: np.ndarray, h: np.ndarray, d: np.ndarray):
+    """The elements of the sets of a mask, these numbered anew."""
+    number = np.cumsum(mask) - 1
+    inside = mask[rec]
+    return np.flatnonzero(mask), number[rec[inside]], h[inside], d[inside]
 
 
 def _emit(t: float, index: bool):
+    """Rows (key, id, n[, w]) of a batch of sets, about a million elements at a time."""
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, size, rec, h, d = _flat(pdf)
+        out: list[tuple] = []
+        own = band_of(n, t)
+        least = np.ceil(t * n - 1e-9).astype(np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        if index:
+            small = n <= SHORT
+            ids, r, e, _ = _part(small, rec, h, d)
+            out.append((ids[r] if len(r) else none, _key(0, np.zeros(len(e)), e, 2), none))
+            for band in np.unique(own[~small]):
+                ids, r, e, f = _part(~small & (own == band), rec, h, d)
+                at, keys = index_keys(len(ids), r, e, f, int(band), t)
+                out.append((ids[at], keys, none))
+        else:
+            ids, r, e, f = _part(least <= SHORT, rec, h, d)
+            if len(r):
+                # the rarest elements, one more than may be missing from a partner
+                order = np.lexsort((e, f, r))
+                rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(ids)))[r]
+                keep = rank < (size - least + 1)[ids][r]
+                out.append((ids[r[order][keep]], _key(0, np.zeros(int(keep.sum())), e[order][keep], 2), np.full(int(keep.sum()), LEAST_WEIGHT)))
+            low = band_of(np.maximum(least, SHORT + 1), t)
+            for band in range(int(low.min()), int(own.max()) + 1):
+                budget = _budget(n, np.minimum(n, band_limit(band, t)), t) - (n - size)
+                mask = (n > SHORT) & (low <= band) & (band <= own) & (budget >= 0)
+                if mask.any():
+                    ids, r, e, f = _part(mask, rec, h, d)
+                    at, keys, w = probe_keys(budget[ids], r, e, f, band, t)
+                    out.append((ids[at], keys, w))
+        at = np.concatenate([x[0] for x in out]) if out else none
+        rows = {"key": (np.concatenate([x[1] for x in out]) if out else none.view(np.uint64)).view(np.int64), "id": pdf["id"].to_numpy()[at], "n": n[at].astype(np.int32)}
+        if not index:
+            rows["w"] = (np.concatenate([x[2] for x in out]) if out else none).astype(np.int16)
+        return pd.DataFrame(rows)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, sizes, keys, weights = [], [], [], []
-            for rid, n, hs, df in zip(pdf["id"], pdf["n"], pdf["hs"], pdf["df"]):
-                h = np.asarray(hs, dtype=np.int64).view(np.uint64)
-                d = np.asarray(df, dtype=np.int64)
-                own = band_of(n)
-                got, w = [], []
-                if index:
-                    got.append(index_keys(h, d, own, t))
-                else:
-                    for band in range(band_of(math.ceil(t * n - 1e-9)), own + 1):
-                        left = _budget(n, min(n, band_limits(band)[1]), t) - (n - len(h))
-                        if left >= 0:
-                            k, x = probe_keys(h, d, band, t, left)
-                            got.append(k)
-                            w.append(x)
-                    weights.append(np.concatenate(w).astype(np.int16) if w else np.empty(0, dtype=np.int16))
-                k = np.concatenate(got) if got else np.empty(0, dtype=np.uint64)
-                ids.append(np.full(len(k), rid, dtype=object))
-                sizes.append(np.full(len(k), n, dtype=np.int32))
-                keys.append(k.view(np.int64))
-            if ids:
-                out = {"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(sizes)}
-                yield pd.DataFrame(out if index else out | {"w": np.concatenate(weights)})
+            for k in range(0, len(pdf), 2_000):
+                yield some(pdf.iloc[k : k + 2_000])
 
     return run
 
@@ -174,29 +227,31 @@ def _residual(sets: DataFrame, t: float) -> DataFrame:
 
 
 def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, hs)`` of one record per distinct set (the smallest id) and the membership ``(id, rep)``."""
-    digest = F.md5(F.concat_ws(",", F.col("hs").cast("array<string>")))
-    marked = sets.withColumn("digest", digest)
-    reps = marked.groupBy("digest").agg(F.min_by("hs", "id").alias("hs"), F.min("id").alias("rep"))
-    reps = materialize(reps)
-    members = marked.select("id", "digest").join(reps.select("digest", "rep"), "digest").select("id", "rep").distinct()
-    return reps.select(F.col("rep").alias("id"), "hs"), members
+    """``(number, id, hs)`` of one record per distinct set (the smallest id) and the membership ``(id, rep)``.
+
+    Sets are told apart by a digest; only digests and ids are shuffled, and the sets of the chosen records are read again.
+    """
+    marked = materialize(sets.withColumn("digest", F.md5(F.concat_ws(",", F.col("hs").cast("array<string>")))))
+    reps = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    shared = reps.where("copies > 1").select("digest", "rep")
+    alone = marked.join(bounded_broadcast(shared), "digest", "left")
+    members = alone.select("id", F.coalesce("rep", F.col("id")).alias("rep")).distinct()
+    chosen = alone.where(F.col("rep").isNull() | (F.col("id") == F.col("rep"))).select(F.col("id"), "hs", F.col("rep").isNotNull().alias("_r"))
+    once = chosen.where("not _r").select("id", "hs").unionByName(chosen.where("_r").select("id", "hs").dropDuplicates(["id"]))
+    return materialize(once.select(F.monotonically_increasing_id().alias("number"), "id", "hs")), members
 
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
-    """All pairs of distinct sets ``(a, b, similarity)``, a < b, with a Jaccard similarity of at least ``t``.
+    """All pairs of distinct sets ``(a, b, similarity)`` with a Jaccard similarity of at least ``t``.
 
     ``sets(id, hs)`` with unique ids and no two equal sets. Empty sets have no partner. No partner or candidate is
     capped. Empty input gives an empty result.
     """
     kind = sets.schema["id"].dataType.simpleString()
     rest = materialize(_residual(sets, t))
-    # sets that may have partners are few and uneven among the read splits: spread them before the Python work
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rest.repartition(parts, "id")
     schema = f"key bigint, id {kind}, n int"
-    probes = spread.mapInPandas(_emit(t, False), schema + ", w smallint").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), "w")
-    index = spread.mapInPandas(_emit(t, True), schema).select("key", F.col("id").alias("s"), F.col("n").alias("sn"))
+    probes = rest.mapInPandas(_emit(t, False), schema + ", w smallint").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), "w")
+    index = rest.mapInPandas(_emit(t, True), schema).select("key", F.col("id").alias("s"), F.col("n").alias("sn"))
     found = (
         probes.join(index, "key")
         .where((F.col("sn") < F.col("pn")) | ((F.col("sn") == F.col("pn")) & (F.col("s") < F.col("p"))))
@@ -206,8 +261,11 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
         .where(F.col("weight") >= LEAST_WEIGHT)
         .select("p", "s")
     )
-    left = rest.select(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("hs").alias("ph"))
-    right = rest.select(F.col("id").alias("s"), F.col("n").alias("sn"), F.col("hs").alias("sh"))
+    found = materialize(found)
+    # only the sets of candidates are shuffled to be compared
+    wanted = rest.join(bounded_broadcast(materialize(found.select(F.explode(F.array("p", "s")).alias("id")).distinct())), "id")
+    left = wanted.select(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("hs").alias("ph"))
+    right = wanted.select(F.col("id").alias("s"), F.col("n").alias("sn"), F.col("hs").alias("sh"))
     both = found.join(left, "p").join(right, "s")
     shared = F.size(F.array_intersect("ph", "sh"))
     sim = F.col("_o") / (F.col("pn") + F.col("sn") - F.col("_o"))
@@ -221,15 +279,17 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
 def near_duplicates(
     df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, min_words: int = 20
 ) -> tuple[DataFrame, DataFrame]:
-    """Pairs of representatives ``(a, b, similarity)`` and the membership ``(id, rep)``.
+    """Pairs of representatives ``(a, b, similarity)``, a < b, and the membership ``(id, rep)``.
 
     Records with equal shingle sets share a representative; every pair of different sets that is similar enough is
     in the pairs. Records with null text, null id or fewer than ``min_words`` words are in neither result. Repeated
     rows count once. Other columns are ignored.
     """
-    sets = materialize(shingle_sets(df, id_col, text_col, width, min_words))
-    reps, members = representatives(sets)
-    return similar_sets(reps, threshold), members
+    reps, members = representatives(shingle_sets(df, id_col, text_col, width, min_words))
+    pairs = similar_sets(reps.select(F.col("number").alias("id"), "hs"), threshold)
+    names = reps.select("number", "id")
+    named = pairs.join(names.select(F.col("number").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("number").alias("b"), F.col("id").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"), members
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -240,3 +300,10 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     within = a.join(b, a["a"] == b["b"]).where("x < y").select("x", "y")
     both = across.unionByName(within)
     return both.select(F.least("x", "y").alias("cand_a"), F.greatest("x", "y").alias("cand_b"))
+
+
+def linked_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per record: ``(id, rep, copies, links)``, its class, the records of that class, and the similar other classes."""
+    copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(copies, "rep").join(links, "rep", "left").select("id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -75,9 +75,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.leaders(r, "run_id", "candidate_id", [F.col("mean_place").asc()], 3).select("run_id", "candidate_id")
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(load(spark, d, "candidates"), "id", "raw_text", width=3, threshold=0.6)
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Similar pairs of classes of equal texts, each named by its smallest id."""
+    return _near(spark, d)[0].select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every resume with its class, the size of the class and its number of links to other classes."""
+    return neardup.linked_members(*_near(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, members = neardup.near_duplicates(load(spark, d, "candidates"), "id", "raw_text", width=3, threshold=0.6)
-    return neardup.expand_pairs(pairs, members)
+    return neardup.expand_pairs(*_near(spark, d))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -227,5 +240,5 @@ SELECT cand_a, cand_b FROM o WHERE c / (na + nb - c) >= 0.6""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p6_found, p6_unmatched, p8_windows, p8_fill, p9_mixture, p9_shares, p10_found, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p5_found, p5_groups)
+    f.__name__: f for f in (p1_found, p1_redacted, p6_found, p6_unmatched, p8_windows, p8_fill, p9_mixture, p9_shares, p10_found, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p4_pairs, p4_members, p5_found, p5_groups)
 }

@@ -112,9 +112,36 @@ def test_pairs_against_all_with_all(spark):
 
 
 def test_bands_cover_every_size():
-    for n in range(1, 5_000):
-        lo, hi = neardup.band_limits(neardup.band_of(n))
-        assert lo <= n <= hi and neardup.band_of(lo) == neardup.band_of(hi) == neardup.band_of(n)
+    for t in (0.5, 0.6, 0.8):
+        for n in range(1, 5_000):
+            band = int(neardup.band_of(n, t))
+            hi = neardup.band_limit(band, t)
+            assert n <= hi and neardup.band_of(hi, t) == band and (band == 0 or n > neardup.band_limit(band - 1, t))
+            assert neardup.segments_of(band, t) > neardup._budget(hi, math.ceil(hi / t), t)
+
+
+def test_many_short_texts(spark):
+    """Texts of twenty words over a small vocabulary, and sizes around the bound of short sets: nothing is lost and no key is shared by all."""
+    r = random.Random(9)
+    base = [[f"w{r.randrange(300)}" for _ in range(r.choice([20, 21, 24, 40, 43, 46, 60, 70]))] for _ in range(150)]
+    docs = []
+    for k in range(700):
+        t = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 2])):
+            t[r.randrange(len(t))] = f"w{r.randrange(300)}"
+        docs.append((f"d{k:03d}", " ".join(t)))
+    sets = {i: shingle_set(t, 3) for i, t in docs}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    df = spark.createDataFrame(docs, "id string, body string")
+    pairs, members = neardup.near_duplicates(df, "id", "body", 3, 0.6)
+    assert set(map(tuple, neardup.expand_pairs(pairs, members).collect())) == want and len(want) > 300
+    rows_ = {x["id"]: x for x in neardup.linked_members(pairs, members).collect()}
+    for i in sets:
+        same = [j for j in sets if sets[j] == sets[i]]
+        linked = {frozenset(map(tuple, sets[j])) for a, b in want if i in (a, b) for j in ((b,) if a == i else (a,)) if sets[j] != sets[i]}
+        assert rows_[i]["rep"] == min(same) and rows_[i]["copies"] == len(same) and rows_[i]["links"] == len(linked)
+    emitted = next(neardup._emit(0.6, False)(iter([pd.DataFrame({"id": [1, 2], "n": [18, 18], "hs": [list(range(18)), list(range(50, 68))], "df": [[2] * 18] * 2})])))
+    assert len(emitted) == 2 * (18 - 11 + 1) and emitted["key"].is_unique
 
 
 # --- copies in other typing
