@@ -49,6 +49,9 @@ def _label_patterns(letter: str) -> tuple[str, str, str]:
 
 _JAVA_HEAD, _JAVA_JOIN, _JAVA_LABEL = _label_patterns(r"\p{L}")
 _HEAD, _JOIN, _LABEL = map(re.compile, _label_patterns(r"[^\W\d_]"))
+#: The first letters of all label words: tried first, as they are found or ruled out fast; a line without any of them has no label.
+_STEMS = "|".join(sorted({w[:4] for w in LABEL_WORDS}))
+_STEM = rf"(?:^|[^\p{{L}}])(?:{_STEMS})|{'|'.join(LABEL_ENDINGS)}"
 _LEADING = "  \t\r"
 _ANY_LABEL = re.compile(r"^[  \t\r]*[^\W\d_][\w&/  ]{0,40}?[  \t]*(?::|–|—|-(?=[  \t]))")
 _DELIM = re.compile(r"[,;|•·，；、\t]|[  ]{3,}|[  ]+[/&–—-][  ]+")
@@ -101,7 +104,7 @@ def is_label_line(line: Column) -> Column:
     """Whether a line starts with a skills, tools or languages label and a mark."""
     start = F.substring(F.regexp_replace(line, rf"^[{_LEADING}]+", ""), 1, LABEL_LENGTH + 40)
     head = F.lower(F.regexp_extract(start, _JAVA_HEAD, 1))
-    return F.regexp_replace(head, _JAVA_JOIN, " ").rlike(_JAVA_LABEL)
+    return F.lower(start).rlike(_STEM) & F.regexp_replace(head, _JAVA_JOIN, " ").rlike(_JAVA_LABEL)
 
 
 def parse_values(text: str | None, label: bool = True) -> list[tuple[int, str, str]]:

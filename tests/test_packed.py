@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankloom.operators.packed import is_label_line, label_end, label_lines, parse_values, unpack_values
+from rankloom.operators.packed import LABEL_ENDINGS, LABEL_WORDS, is_label_line, label_end, label_lines, parse_values, unpack_values
 from tests.conftest import rows
 
 
@@ -51,7 +51,7 @@ def test_lines_of_texts(spark):
     assert unpack_values(label_lines(df.limit(0), "id", "raw_text", "f")).count() == 0
 
 
-LABELS = ["Skills:", "Frameworks:", "Programming:", "Kenntnisse:", "Compétences :", "Proficient in:", "Sprachkenntnisse –", "Technical and professional skills -", "My main tools:", "Idiomas:", "Outils & logiciels:", "Tools I use daily:",
+LABELS = [*(f"My {w}:" for w in (*LABEL_WORDS, *LABEL_ENDINGS)), "Skills:", "Frameworks:", "Programming:", "Kenntnisse:", "Compétences :", "Proficient in:", "Sprachkenntnisse –", "Technical and professional skills -", "My main tools:", "Idiomas:", "Outils & logiciels:", "Tools I use daily:",
           "Other IT-skills:", "* Know-how:", "  - Core skills —", "LANGUAGES -x", "IT-Kenntnisse:", "Tools (daily use):"]
 NO_LABELS = ["Education:", "Experience 3: skills", "Skills", "skillful:", "Owned the river toolkit at Copper Field Works of Ashby: tuned", "At the firm we kept tools for the whole of the crew:", "Name: Skill Tools", "", ":", "-", "state-of-the-art tools"]
 
