@@ -103,7 +103,7 @@ class Engine:
                 raise KeyError(f"unknown brief {jd_id}")
             return self.briefs[jd_id]
         if isinstance(jd, str) and jd.strip():
-            return {**decompose(jd), "raw_text": jd}
+            return {**decompose(self.spark, jd), "raw_text": jd}
         if self.default is None:
             raise ValueError("no brief given and no default")
         return self.default

@@ -115,13 +115,16 @@ _SECTION = [(ci(p), s) for p, s in SECTION_RULES]
 _BULLET, _LABELLED, _DEGREE, _DATE = re.compile(BULLET), re.compile(LABELLED), ci(DEGREE), ci(DATE_ONLY)
 
 
-def section_of_py(line: str) -> str | None:
+def heading_py(line: str, longest: int = 45) -> str | None:
+    """The words of a line that has the shape of a heading: few, without an end mark, a bullet, a filled label or a degree."""
     t = re.sub(r"[:\s]+$", "", line.strip())
-    if not t or len(t) > 45 or len(t.split()) > 5 or t[-1] in ".!?,":
-        return None
-    if _BULLET.search(line) or _LABELLED.search(line) or _DEGREE.search(t):
-        return None
-    return next((s for p, s in _SECTION if p.search(t)), None)
+    shaped = t and len(t) <= longest and len(t.split()) <= 5 and t[-1] not in ".!?,"
+    return t if shaped and not any(p.search(x) for p, x in ((_BULLET, line), (_LABELLED, line), (_DEGREE, t))) else None
+
+
+def section_of_py(line: str) -> str | None:
+    t = heading_py(line)
+    return next((s for p, s in _SECTION if p.search(t)), None) if t else None
 
 
 def is_noise(x: Column, section: Column) -> Column:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import aliases, numbers
 from rankloom.functions import text as T
 from rankloom.operators import split
-from rankloom.operators.requirements import atomise, decompose
+from rankloom.operators.requirements import decompose, single_asks
 
 
 def one(spark, column, value, kind="string"):
@@ -68,14 +68,18 @@ def test_units_of_a_document(spark):
     assert got[0]["evidence_id"] == "c1::ev_001" and got[0]["scored_text"] is None
 
 
-def test_decompose():
-    assert atomise("SQL or NoSQL (MySQL, PostgreSQL, MongoDB)") == ["SQL or NoSQL (MySQL, PostgreSQL, MongoDB)"]
-    assert atomise("JavaScript and React") == ["JavaScript", "React"]
+def test_decompose(spark):
+    asks = {
+        "SQL or NoSQL (MySQL, PostgreSQL, MongoDB)": ["SQL or NoSQL (MySQL, PostgreSQL, MongoDB)"], "JavaScript and React": ["JavaScript", "React"], "Express and Koa": ["Express and Koa"],
+        "React (hooks, redux), git and a great attitude": ["React (hooks, redux)", "git", "a great attitude"], "Experience with React and a will to learn": ["Experience with React and a will to learn"],
+    }
+    df = spark.createDataFrame([(x,) for x in asks], "x string")
+    assert {r["x"]: r["y"] for r in df.select("x", single_asks(F.col("x")).alias("y")).collect()} == asks
     brief = "Backend Engineer at Acme Works, est. 1990\nPune, Hybrid | 2026\nRequirements\n- Python and Docker\n- Strong communication\nPreferred qualifications\n- React\nBenefits\n- Free Java"
-    got = decompose(brief)
+    got = decompose(spark, brief)
     assert got["title"] == "Backend Engineer" and got["company"] == "Acme Works"
     assert [(r["text"], r["kind"], r["category"], r["weight"]) for r in got["requirements"]] == [
         ("Python", "MUST", "skill", 1.2), ("Docker", "MUST", "skill", 1.0), ("Strong communication", "MUST", "soft", 0.3), ("React", "NICE", "skill", 0.5),
         ("Based in or able to work from Pune (Hybrid)", "MUST", "location", 0.8),
     ]
-    assert decompose(None)["requirements"] == []
+    assert decompose(spark, None)["requirements"] == []
