@@ -169,6 +169,23 @@ def fuzzy_table(texts: DataFrame, column: str) -> DataFrame:
     return words.mapInPandas(repair, "token string, alias string, canonical array<string>")
 
 
+def expand_repaired(texts: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``texts`` with ``expanded_text``: the normalised text, the terms its phrases imply, then those its misspelt words mean.
+
+    Misspelt words are repaired once per distinct word of the column (:func:`fuzzy_table`) and joined back by word; a text that has none is
+    expanded where it stands. ``id_col`` is unique.
+    """
+    fixed = fuzzy_table(texts, column).select("token", "canonical")
+    base = texts.select(id_col, normalize(F.col(column)).alias("_base"))
+    words = base.select(id_col, F.posexplode(F.split(F.replace("_base", F.lit("/"), F.lit(" ")), r"\s+")).alias("_at", "token"))
+    hits = words.join(fixed, "token").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "canonical"))).alias("_h"))
+    both = texts.join(hits.select(id_col, F.flatten(F.transform("_h", lambda h: h["canonical"])).alias("_meant")), id_col, "left")
+    padded = F.concat(F.lit(" "), normalize(F.col(column)), F.lit(" "))
+    terms = F.array_distinct(F.concat(implied(F.col(column)), F.coalesce("_meant", F.array().cast("array<string>"))))
+    extra = _bound(padded, lambda p: F.filter(terms, lambda c: ~p.contains(F.concat(F.lit(" "), c, F.lit(" ")))))
+    return both.select(*texts.columns, F.rtrim(F.concat_ws(" ", normalize(F.col(column)), F.array_join(extra, " "))).alias("expanded_text"))
+
+
 def alias_table(spark: SparkSession) -> DataFrame:
     """The dictionary as rows ``(alias, canonical, ord)``; under 200 rows."""
     rows = [(p, c, k) for k, (p, cs) in enumerate(reverse().items()) for c in cs]

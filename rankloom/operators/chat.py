@@ -102,14 +102,23 @@ class Shortlist:
             return Answer("Which skill is meant?", intent="whoHas")
         named = self.units.join(self.ranked.select("candidate_id", "name", "rank"), "candidate_id")
         first = F.min_by(F.struct("text", "name", "rank"), F.struct("ev_pos", "evidence_id")).alias("b")
-        hits = named.where(~F.col("negated") & F.col("expanded").contains(needle)).groupBy("candidate_id").agg(first).orderBy("b.rank").collect()
-        if hits:
-            lines = [f'{len(hits)} candidate(s) mention "{skill.strip()}":'] + [f'- #{h["b"]["rank"]} {h["b"]["name"]}: "{h["b"]["text"]}"' for h in hits[:SHOWN_HITS]]
-            if len(hits) > SHOWN_HITS:
-                lines.append(f"... and {len(hits) - SHOWN_HITS} more.")
+        def firsts(mentions: DataFrame) -> tuple[int, list]:
+            """How many candidates mention it, and the first of them by rank: no more than are shown reach the driver."""
+            by = mentions.groupBy("candidate_id").agg(first).persist()
+            n, shown = by.count(), by.orderBy("b.rank").limit(SHOWN_HITS).collect()
+            by.unpersist()
+            return n, shown
+
+        n, hits = firsts(named.where(~F.col("negated") & F.col("expanded").contains(needle)))
+        if n:
+            lines = [f'{n} candidate(s) mention "{skill.strip()}":'] + [f'- #{h["b"]["rank"]} {h["b"]["name"]}: "{h["b"]["text"]}"' for h in hits]
+            if n > len(hits):
+                lines.append(f"... and {n - len(hits)} more.")
             return Answer("\n".join(lines), [h["candidate_id"] for h in hits], "whoHas")
-        said = named.where(F.col("negated") & F.lower("text").contains(needle)).groupBy("candidate_id").agg(first).orderBy("b.rank").collect()
+        n, said = firsts(named.where(F.col("negated") & F.lower("text").contains(needle)))
         lines = [f'No candidate in this shortlist mentions "{skill.strip()}".'] + [f'{h["b"]["name"]} says: "{h["b"]["text"]}"' for h in said]
+        if n > len(said):
+            lines.append(f"... and {n - len(said)} more say so.")
         return Answer("\n".join(lines), intent="whoHas")
 
     def search(self, question: str, embed: match.Embedder = match.hashed) -> Answer:

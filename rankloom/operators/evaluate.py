@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.config import Config
-from rankloom.functions.numbers import quantile, stable
 from rankloom.operators import match
 
 # Role classes by file name, first pattern that fits.
@@ -36,23 +35,23 @@ def class_of(role: Column) -> Column:
 
 
 def labelled(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Ranked rows with role, class and pool size."""
+    """Ranked rows with role, class, pool size and percentile (rank over pool size)."""
     role = role_of(F.coalesce("source_file", F.lit("")))
     labels = candidates.select("candidate_id", role.alias("role"), class_of(role).alias("cls"))
     sizes = ranked.groupBy("jd_id").agg(F.count(F.lit(1)).alias("pool"))
-    return ranked.join(labels, "candidate_id").join(F.broadcast(sizes), "jd_id")
+    return ranked.join(labels, "candidate_id").join(F.broadcast(sizes), "jd_id").withColumn("percentile", F.col("rank") / F.col("pool"))
 
 
 def class_summary(rows: DataFrame, keys: tuple[str, ...] = ("jd_id",)) -> DataFrame:
     return rows.groupBy(*keys, "cls").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg("final_score"), 6).alias("mean_score"),
-        F.count_if(F.col("rank") <= F.col("pool") / 4).alias("in_top"), F.count_if(F.col("rank") > F.col("pool") * 3 / 4).alias("in_bottom"),
+        F.count_if(F.col("percentile") <= 0.25).alias("in_top"), F.count_if(F.col("percentile") > 0.75).alias("in_bottom"),
     )
 
 
 def precision_purity(rows: DataFrame, keys: tuple[str, ...] = ("jd_id",)) -> DataFrame:
     """Relevant share of the top quarter, irrelevant share of the bottom quarter, and the gap of their mean ranks."""
-    top, bottom = F.col("rank") <= F.col("pool") / 4, F.col("rank") > F.col("pool") * 3 / 4
+    top, bottom = F.col("percentile") <= 0.25, F.col("percentile") > 0.75
     share = lambda where, cls: F.count_if(where & (F.col("cls") == cls)) / F.greatest(F.count_if(where), F.lit(1))
     mean = lambda cls: F.coalesce(F.avg(F.when(F.col("cls") == cls, F.col("rank"))), F.lit(0.0))
     return rows.groupBy(*keys).agg(
@@ -67,66 +66,52 @@ def role_means(rows: DataFrame, keys: tuple[str, ...] = ("jd_id",)) -> DataFrame
 
 def misplaced(rows: DataFrame) -> DataFrame:
     """Irrelevant roles in the top quarter and relevant ones in the bottom quarter."""
-    bad = ((F.col("cls") == "IRRELEVANT") & (F.col("rank") <= F.col("pool") / 4)) | ((F.col("cls") == "RELEVANT") & (F.col("rank") > F.col("pool") * 3 / 4))
+    bad = ((F.col("cls") == "IRRELEVANT") & (F.col("percentile") <= 0.25)) | ((F.col("cls") == "RELEVANT") & (F.col("percentile") > 0.75))
     return rows.where(bad).select("jd_id", "candidate_id", "role", "cls", "rank", "final_score")
 
 
 def score_distribution(ranked: DataFrame, keys: tuple[str, ...] = ("jd_id",)) -> DataFrame:
-    """Spread of the final scores of each pool. Scores have one decimal, so a histogram of them is at most a thousand rows a pool."""
+    """Spread of the final scores of each pool. Scores have one decimal, so a histogram of them is at most a thousand rows a
+    pool; quantiles are read off its running counts."""
     bins = ranked.groupBy(*keys, "final_score").agg(F.count(F.lit(1)).alias("c"))
-    values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("final_score", "c"))), lambda x: F.array_repeat(x["final_score"], x["c"].cast("int"))))
+    upto = Window.partitionBy(*keys).orderBy("final_score").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("_upto", F.sum("c").over(upto)).withColumn("_n", F.sum("c").over(Window.partitionBy(*keys)))
+    q = lambda x: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * x), F.col("_n") - 1), F.col("final_score")))
+    at = lambda v: F.sum(F.when(F.col("final_score") == v, F.col("c")).otherwise(0))
     total = bins.groupBy(*keys).agg(
-        values.alias("v"), F.round(F.try_divide(F.sum(F.col("final_score") * F.col("c")), F.sum("c")), 6).alias("mean"),
-        F.count_if(F.lit(False)).alias("_z"), F.sum(F.when(F.col("final_score") == 0, F.col("c")).otherwise(0)).alias("zeros"),
-        F.sum(F.when(F.col("final_score") == 100, F.col("c")).otherwise(0)).alias("hundreds"),
+        F.min("final_score").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max("final_score").alias("max"),
+        F.round(F.try_divide(F.sum(F.col("final_score") * F.col("c")), F.sum("c")), 6).alias("mean"), at(0).alias("zeros"), at(100).alias("hundreds"),
     )
     sd = ranked.groupBy(*keys).agg(F.round(F.stddev_pop("final_score"), 6).alias("sd"))
-    q = lambda x: quantile(F.col("v"), x)
-    return total.join(F.broadcast(sd), list(keys)).select(
-        *keys, F.array_min("v").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.array_max("v").alias("max"), "mean", "sd", "zeros", "hundreds"
-    )
-
-
-def rank_with(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
-    return match.rank_candidates(match.candidate_scores(match.matrix(raw, cfg), requirements, cfg), candidates, cfg)
+    return total.join(F.broadcast(sd), list(keys)).select(*keys, "min", "p25", "median", "p75", "max", "mean", "sd", "zeros", "hundreds")
 
 
 def ablation(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
-    """Ranks under the four configurations, and how far the hybrid moves each candidate. All read one raw matrix."""
-    out = None
-    for name, alpha, field in CONFIGS:
-        c = cfg.tuned(alpha=alpha, lexical_field=field)
-        r = rank_with(raw, requirements, candidates, c).select("jd_id", "candidate_id", F.col("rank").alias(f"{name}_rank"))
-        out = r if out is None else out.join(r, ["jd_id", "candidate_id"])
-    return out.select("*", *[(F.col(f"{n}_rank") - F.col("hybrid_rank")).alias(f"{n}_to_hybrid") for n in ("literal", "lexical", "semantic")])
+    """Ranks under the four configurations, and how far the hybrid moves each candidate. One pass over one raw matrix."""
+    scores = match.setting_scores(raw, requirements, cfg, [(name, alpha, field, cfg.gate_threshold) for name, alpha, field in CONFIGS])
+    ranked = match.rank_candidates(scores, candidates, cfg, ("setting",))
+    wide = ranked.groupBy("jd_id", "candidate_id").agg(*[F.max(F.when(F.col("setting") == n, F.col("rank"))).alias(f"{n}_rank") for n, _, _ in CONFIGS])
+    return wide.select("*", *[(F.col(f"{n}_rank") - F.col("hybrid_rank")).alias(f"{n}_to_hybrid") for n in ("literal", "lexical", "semantic")])
 
 
 def sweep(raw: DataFrame, requirements: DataFrame, candidates: DataFrame, cfg: Config, name: str, values: tuple[float, ...]) -> DataFrame:
-    """Quality per brief for each value of ``alpha`` or ``gate_threshold``.
-
-    One pass over the normalised matrix: a candidate's totals under all settings are columns of one aggregate, and become
-    rows only afterwards, so the matrix is never multiplied by the settings.
-    """
+    """Quality per brief for each value of ``alpha`` or ``gate_threshold``."""
     if name not in ("alpha", "gate_threshold"):
         raise ValueError(f"no sweep over {name}")
-    w = F.when(F.col("weight").isNull() | (F.col("weight") == 0), F.lit(1.0)).otherwise(F.col("weight"))
-    cells = match.matrix(raw, cfg).join(F.broadcast(requirements.select("req_key", "kind", w.alias("_w"))), "req_key")
-    totals, settings = [], []
-    for k, v in enumerate(values):
-        fused = match.fuse(F.lit(float(v)), F.col("lexical_norm"), F.col("semantic_norm")) if name == "alpha" else F.col("fused")
-        gate = float(v) if name == "gate_threshold" else cfg.gate_threshold
-        totals += [F.sum(fused * F.col("_w")).alias(f"s{k}"), F.count_if((F.col("kind") == "MUST") & (fused < gate)).alias(f"m{k}")]
-        base = F.coalesce(F.try_divide(F.col(f"s{k}"), F.col("_ws")), F.lit(0.0))
-        settings.append(F.struct(F.lit(float(v)).alias("setting"), stable(base * F.pow(F.lit(cfg.gate_penalty), F.col(f"m{k}"))).alias("raw")))
-    summed = cells.groupBy("jd_id", "candidate_id").agg(F.sum("_w").alias("_ws"), *totals)
-    scores = summed.select("jd_id", "candidate_id", F.explode(F.array(*settings)).alias("x")).select("x.setting", "jd_id", "candidate_id", "x.raw")
-    ranked = match.rank_candidates(scores, candidates, cfg, ("setting",))
+    gated = name == "gate_threshold"
+    settings = [(float(v), cfg.alpha if gated else v, cfg.lexical_field, v if gated else cfg.gate_threshold) for v in values]
+    ranked = match.rank_candidates(match.setting_scores(raw, requirements, cfg, settings), candidates, cfg, ("setting",))
     labels = candidates.select("candidate_id", class_of(role_of(F.coalesce("source_file", F.lit("")))).alias("cls"))
     sizes = ranked.groupBy("setting", "jd_id").agg(F.count(F.lit(1)).alias("pool"))
-    rows = ranked.join(labels, "candidate_id").join(F.broadcast(sizes), ["setting", "jd_id"])
+    rows = ranked.join(labels, "candidate_id").join(F.broadcast(sizes), ["setting", "jd_id"]).withColumn("percentile", F.col("rank") / F.col("pool"))
     return precision_purity(rows, ("setting", "jd_id"))
 
 
+def first_candidates(candidates: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` candidates by id, for a quick look at a pool; all of them without a limit."""
+    return candidates if limit is None else candidates.orderBy("candidate_id").limit(limit)
+
+
 def best_setting(swept: DataFrame) -> DataFrame:
     """Per brief the setting with the greatest precision, then separation, then the smallest value."""
     best = F.max(F.struct("precision_top", "separation", (-F.col("setting")).alias("s"), "purity_bottom"))

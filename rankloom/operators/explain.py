@@ -61,13 +61,18 @@ def best_citations(cited: DataFrame, units: DataFrame, requirements: DataFrame)
     return cited.join(best, keys, "left").select(*keys, quote.alias("quote"))
 
 
-def disclaimers(cells: DataFrame, units: DataFrame, requirements: DataFrame) -> DataFrame:
-    """The first disclaimer of a candidate that names a requirement: ``(req_key, candidate_id, disclaimed_by)``."""
+def disclaimers(units: DataFrame, requirements: DataFrame) -> DataFrame:
+    """The first disclaimer of a candidate that names a requirement: ``(req_key, candidate_id, disclaimed_by)``.
+
+    The requirements' terms, a stated query set, are looked for in the distinct texts of all disclaimers; only what is found is joined back to
+    the candidates who said so.
+    """
     negated = units.where("negated").select("candidate_id", "ev_pos", "text")
-    pairs = _unit_terms(cells.select("req_key", "candidate_id"), negated, requirements, 4)
-    low = F.lower("text")
-    hits = pairs.where(F.exists("terms", lambda t: low.contains(t)))
-    return hits.groupBy("req_key", "candidate_id").agg(F.min_by("text", F.struct("ev_pos", "text")).alias("disclaimed_by"))
+    terms = informative_terms(requirement_words(F.col("text"), F.col("aliases")), 4)
+    asked = requirements.select(F.explode(terms).alias("term"), "req_key").groupBy("term").agg(F.collect_set("req_key").alias("keys"))
+    said = negated.select("text", F.lower("text").alias("low")).distinct()
+    named = said.join(F.broadcast(asked), F.col("low").contains(F.col("term"))).select("text", F.explode("keys").alias("req_key")).distinct()
+    return negated.join(named, "text").groupBy("req_key", "candidate_id").agg(F.min_by("text", F.struct("ev_pos", "text")).alias("disclaimed_by"))
 
 
 def matched_requirements(cells: DataFrame, units: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def missing_requirements(cells: DataFrame, units: DataFrame, requirements: DataF
     reqs = requirements.select("req_key", "req_pos", "kind", F.col("text").alias("requirement_text"))
     lacking = F.when(F.col("kind") == "MUST", F.col("fused") < gate).otherwise(~F.col("satisfied"))
     open_ = cells.join(F.broadcast(reqs), "req_key").where(lacking)
-    said = disclaimers(open_, units, requirements)
+    said = disclaimers(units, requirements)
     return open_.join(said, ["req_key", "candidate_id"], "left").select(
         "jd_id", "candidate_id", "req_key", "req_pos", "requirement_text", "kind", half_up(F.col("fused"), 2).alias("score"), "disclaimed_by"
     )

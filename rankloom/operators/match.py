@@ -16,12 +16,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.config import Config
 from rankloom.functions.numbers import half_up, sigmoid, stable, stable_np, z_score
 from rankloom.functions.text import TOKEN, filled, is_negated, tokenize
+from rankloom.session import places_in_groups
 
 #: Requirements scored together; more are taken in further blocks.
 REQUIREMENT_BLOCK = 1_000
@@ -208,11 +209,15 @@ def raw_matrix(best: DataFrame, candidates: DataFrame, requirements: DataFrame)
     return full.select("jd_id", "req_key", "candidate_id", *picked)
 
 
-def pool_stats(raw: DataFrame, lexical: str, keys: list[str]) -> DataFrame:
-    """Mean and sample deviation of each side per requirement over its pool. An aggregate, not a window: one row a requirement."""
-    return raw.groupBy(*keys).agg(
-        F.avg(f"{lexical}_raw").alias("_lm"), F.stddev_samp(f"{lexical}_raw").alias("_ls"), F.avg("semantic_raw").alias("_sm"), F.stddev_samp("semantic_raw").alias("_ss")
-    )
+def normalised(raw: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """``raw`` with ``{side}_norm``: the z-score of each side over its pool; 0 where a requirement's scores do not vary.
+
+    Mean and sample deviation are an aggregate of one row a requirement, joined back, not a window over the pool.
+    """
+    stats = raw.groupBy("jd_id", "req_key").agg(*[x for s in sides for x in (F.avg(f"{s}_raw").alias(f"_m_{s}"), F.stddev_samp(f"{s}_raw").alias(f"_d_{s}"))])
+    both = raw.join(F.broadcast(stats), ["jd_id", "req_key"])
+    z = [stable(z_score(F.col(f"{s}_raw"), F.col(f"_m_{s}"), F.col(f"_d_{s}"))).alias(f"{s}_norm") for s in sides]
+    return both.select(*raw.columns, *z)
 
 
 def fuse(alpha: Column, lexical_norm: Column, semantic_norm: Column) -> Column:
@@ -227,12 +232,9 @@ def matrix(raw: DataFrame, cfg: Config) -> DataFrame:
     """
     lexical = cfg.lexical_field
     keys = ["jd_id", "req_key"]
-    a = F.lit(cfg.alpha)
-    lz, sz = z_score(F.col(f"{lexical}_raw"), F.col("_lm"), F.col("_ls")), z_score(F.col("semantic_raw"), F.col("_sm"), F.col("_ss"))
-    joined = raw.join(F.broadcast(pool_stats(raw, lexical, keys)), keys)
-    cells = joined.select(
+    cells = normalised(raw, (lexical, "semantic")).select(
         *keys, "candidate_id", F.col(f"{lexical}_raw").alias("lexical_raw"), "semantic_raw", F.col(f"{lexical}_id").alias("_lid"), F.col("semantic_id").alias("_sid"),
-        stable(lz).alias("lexical_norm"), stable(sz).alias("semantic_norm"), a.alias("_a"),
+        F.col(f"{lexical}_norm").alias("lexical_norm"), "semantic_norm", F.lit(cfg.alpha).alias("_a"),
     )
     cells = cells.withColumn("fused", fuse(F.col("_a"), F.col("lexical_norm"), F.col("semantic_norm")))
     lexical_hit, semantic_hit = F.col("lexical_norm") > cfg.both_threshold, F.col("semantic_norm") > cfg.both_threshold
@@ -267,16 +269,35 @@ def candidate_scores(cells: DataFrame, requirements: DataFrame, cfg: Config) ->
 def rank_candidates(scores: DataFrame, candidates: DataFrame, cfg: Config, extra: tuple[str, ...] = ()) -> DataFrame:
     """Scaled to the pool's span (the middle of the scale where it has none) and ranked 1..n by the unrounded score.
 
-    Ties go by name in Unicode collation, then by candidate. The window holds one row per candidate of a pool, which
-    is what a ranked table is; everything larger was aggregated before.
+    Ties go by name in Unicode collation, then by candidate. Places come from ranges of (pool, score, name, candidate), so a
+    pool of any size spreads over tasks.
     """
     keys = [*extra, "jd_id"]
     span = scores.groupBy(*keys).agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
     scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-9, F.lit(0.5)).otherwise((F.col("raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     final = half_up(stable(F.lit(cfg.score_min) + scaled * (cfg.score_max - cfg.score_min)), 1)
-    named = scores.join(F.broadcast(span), keys).join(candidates.select("candidate_id", "name"), "candidate_id")
-    order = Window.partitionBy(*keys).orderBy(F.col("raw").desc(), F.collate(F.coalesce("name", F.lit("")), "UNICODE"), "candidate_id")
-    return named.withColumn("final_score", final).withColumn("rank", F.row_number().over(order)).drop("_lo", "_hi")
+    named = scores.join(F.broadcast(span), keys).join(candidates.select("candidate_id", "name"), "candidate_id").withColumn("final_score", final).drop("_lo", "_hi")
+    order = [F.col("raw").desc(), F.collate(F.coalesce("name", F.lit("")), "UNICODE"), F.col("candidate_id")]
+    return places_in_groups(named, keys, order, "rank")
+
+
+def setting_scores(raw: DataFrame, requirements: DataFrame, cfg: Config, settings: list[tuple[object, float, str, float]]) -> DataFrame:
+    """``(setting, jd_id, candidate_id, raw)``: gated scores under many settings ``(name, alpha, lexical field, gate)``.
+
+    One pass over the normalised matrix: a candidate's totals under all settings are columns of one aggregate, and become
+    rows only afterwards, so the matrix is never multiplied by the settings.
+    """
+    w = F.when(F.col("weight").isNull() | (F.col("weight") == 0), F.lit(1.0)).otherwise(F.col("weight"))
+    fields = tuple(dict.fromkeys(field for _, _, field, _ in settings))
+    cells = normalised(raw, (*fields, "semantic")).join(F.broadcast(requirements.select("req_key", "kind", w.alias("_w"))), "req_key")
+    totals, rows = [], []
+    for k, (name, alpha, field, gate) in enumerate(settings):
+        fused = fuse(F.lit(float(alpha)), F.col(f"{field}_norm"), F.col("semantic_norm"))
+        totals += [F.sum(fused * F.col("_w")).alias(f"s{k}"), F.count_if((F.col("kind") == "MUST") & (fused < gate)).alias(f"m{k}")]
+        base = F.coalesce(F.try_divide(F.col(f"s{k}"), F.col("_ws")), F.lit(0.0))
+        rows.append(F.struct(F.lit(name).alias("setting"), stable(base * F.pow(F.lit(cfg.gate_penalty), F.col(f"m{k}"))).alias("raw")))
+    summed = cells.groupBy("jd_id", "candidate_id").agg(F.sum("_w").alias("_ws"), *totals)
+    return summed.select("jd_id", "candidate_id", F.inline(F.array(*rows)))
 
 
 def why_not_top(cells: DataFrame, ranked: DataFrame, requirements: DataFrame) -> DataFrame:

@@ -91,14 +91,20 @@ def embed_texts(misses: DataFrame, embed) -> DataFrame:
 
 
 def update_cache(texts: DataFrame, text_col: str, path: str, model: str, embed) -> DataFrame:
-    """Embed what the Parquet cache at ``path`` lacks, append it, and give the whole cache. An unreadable cache starts anew."""
+    """Embed what the Parquet cache at ``path`` lacks, append it, and give the whole cache.
+
+    Only a path that does not exist is a fresh start; a cache that cannot be read is an error, and is never written over.
+    """
     spark = texts.sparkSession
-    empty = spark.createDataFrame([], "key string, vector array<float>")
-    try:
-        cache = spark.read.schema(empty.schema).parquet(path)
-        cache.limit(1).count()
-        mode = "append"
-    except Exception:  # noqa: BLE001 - missing or corrupt: both mean a fresh start
-        cache, mode = empty, "overwrite"
-    embed_texts(cache_misses(texts, text_col, cache, model), embed).write.mode(mode).parquet(path)
-    return spark.read.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    schema = "key string, vector array<float>"
+    cache = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    embed_texts(cache_misses(texts, text_col, cache, model), embed).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def cached_embedder(vectors: DataFrame, texts: DataFrame, text_col: str, model: str) -> DataFrame:
+    """``texts`` with the ``vector`` of each from the cache, joined by key; null where the cache lacks it."""
+    keyed = texts.withColumn("key", cache_key(model, F.col(text_col)))
+    return keyed.join(vectors, "key", "left").drop("key")

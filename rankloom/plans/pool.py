@@ -21,6 +21,7 @@ class Pool:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config | None = None):
         self.spark, self.dir, self.cfg = spark, sf_dir, cfg or Config()
+        self._ranked: dict[Config, DataFrame] = {}
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -56,7 +57,9 @@ class Pool:
 
     def ranked(self, cfg: Config | None = None) -> DataFrame:
         c = cfg or self.cfg
-        return match.rank_candidates(self.scores(c), self.candidates, c)
+        if c not in self._ranked:
+            self._ranked[c] = match.rank_candidates(self.scores(c), self.candidates, c)
+        return self._ranked[c]
 
 
 TABLES = ("candidates", "evidence", "requirements")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.config import ALPHA_SWEEP, GATE_SWEEP, Config, preset
 from rankloom.functions import text as T
 from rankloom.functions.numbers import shown, stable
-from rankloom.functions.aliases import detect_skills, expand_exact, fuzzy_table
+from rankloom.functions.aliases import detect_skills, expand_exact, expand_repaired, fuzzy_table
 from rankloom.operators import bias, evaluate, explain, match, requirements, semantic, split
 from rankloom.operators.packed import label_lines, unpack_values
 from rankloom.plans.pool import Pool, pool
@@ -106,6 +106,21 @@ def split_evidence(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(pool(spark, d).candidates, "candidate_id", "raw_text")
 
 
+def brief_header(spark: SparkSession, d: str) -> DataFrame:
+    """Title and company read from each brief's first lines."""
+    return requirements.brief_headers(load(spark, d, "jds"), "id", "raw_text")
+
+
+def rank_percentile(spark: SparkSession, d: str) -> DataFrame:
+    """Role, class and percentile of every ranked candidate."""
+    return _labelled(pool(spark, d)).select("jd_id", "candidate_id", "role", "cls", "rank", F.round("percentile", 9).alias("percentile"))
+
+
+def alias_expand(spark: SparkSession, d: str) -> DataFrame:
+    """Expansion with typo repair, over the whole column."""
+    return expand_repaired(pool(spark, d).units, "evidence_id", "text").select("evidence_id", "expanded_text")
+
+
 def decompose_jd(spark: SparkSession, d: str) -> DataFrame:
     return requirements.decompose_briefs(load(spark, d, "jds"), "id", "raw_text")
 
@@ -198,7 +213,7 @@ def explanation_missing(spark: SparkSession, d: str) -> DataFrame:
 
 def disclaimers(spark: SparkSession, d: str) -> DataFrame:
     p = pool(spark, d)
-    return explain.disclaimers(p.cells(), p.units, p.requirements)
+    return explain.disclaimers(p.units, p.requirements).join(p.candidates.select("candidate_id"), "candidate_id", "left_semi").select("req_key", "candidate_id", "disclaimed_by")
 
 
 def explanation_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -286,6 +301,15 @@ def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sweep(p.raw, p.requirements, p.candidates, CFG, "alpha", ALPHA_SWEEP)
 
 
+def best_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """The best alpha of each brief by precision, then separation, then the smaller value."""
+    return evaluate.best_setting(alpha_sweep(spark, d))
+
+
+def best_gate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_setting(gate_sweep(spark, d))
+
+
 def gate_sweep(spark: SparkSession, d: str) -> DataFrame:
     p = pool(spark, d)
     return evaluate.sweep(p.raw, p.requirements, p.candidates, CFG, "gate_threshold", GATE_SWEEP)
@@ -314,9 +338,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p7_found, p7_flags, normalize_text, tokenize_stats, term_freq, doc_freq, corpus_stats, negation_flag, noise_filter, section_classify, alias_expand_exact,
-        detect_skills_all, fuzzy_alias, section_pivot, parse_quality, split_evidence, decompose_jd, bm25_argmax, cosine_argmax, trace_top5, semantic_search_top5,
+        detect_skills_all, fuzzy_alias, section_pivot, parse_quality, split_evidence, alias_expand, decompose_jd, brief_header, bm25_argmax, cosine_argmax, trace_top5, semantic_search_top5,
         pool_zscore, fuse_matrix, must_have_gate, weighted_mean, final_rank, lexical_only_rank, ablation_ranks, why_not_top, explanation_matched, explanation_missing,
-        disclaimers, explanation_summary, who_has, compare_pair, why_not_candidate, bias_flags, seniority_overreach, role_class, class_summary, precision_purity,
-        role_means, misplaced, score_distribution, alpha_sweep, gate_sweep, institution_audit, embedding_cache_misses,
+        disclaimers, explanation_summary, who_has, compare_pair, why_not_candidate, bias_flags, seniority_overreach, role_class, rank_percentile, class_summary, precision_purity,
+        role_means, misplaced, score_distribution, alpha_sweep, gate_sweep, best_alpha, best_gate, institution_audit, embedding_cache_misses,
     )
 }

@@ -69,15 +69,22 @@ def latest(df: DataFrame, keys: list[str], columns: list[str], order: str | None
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
 
 
-def positions(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with the place (from 1) of each row in the order of ``column``, whose values are distinct.
+def places_in_groups(df: DataFrame, groups: list[str], order: list, name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in its group by ``order``, whose last column tells rows of a group apart.
 
-    Rows are range partitioned and numbered inside their range; only the ranges' row counts are added up in one task.
+    No group is held by one task, however large: rows are range partitioned by (groups, order) and numbered inside their range, and
+    each range adds the rows that its group has in the ranges before it (one number per range and group). Group columns are not null.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, column).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_m"))
-    offsets = sizes.select("_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
-    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before")
+    # kept first, as the bounds of the ranges are drawn from a pass of their own
+    ranged = materialize(materialize(df).repartitionByRange(n, *[F.col(g) for g in groups], *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range", *groups).agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", *groups, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order))
+    return ranged.join(offsets, ["_range", *groups]).withColumn(name, (F.col("_before") + inside).cast("int")).drop("_range", "_before")
+
+
+def positions(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in the order of ``column``, whose values are distinct."""
+    return places_in_groups(df, [], [F.col(column)], name)

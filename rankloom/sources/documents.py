@@ -136,7 +136,7 @@ def load_candidates(spark: SparkSession, path: str, formats: tuple[str, ...] = F
 def read_briefs(spark: SparkSession, path: str) -> DataFrame:
     """Brief templates from JSON files; files that do not parse or have no id and requirements are left out."""
     schema = "id string, title string, company string, rawText string, requirements array<struct<id:string,text:string,kind:string,category:string,aliases:array<string>,weight:double>>"
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path, multiLine=True).where("requirements is not null")
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path, multiLine=True).where("requirements is not null and id is not null and trim(id) <> ''")
 
 
 def read_candidate_fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -160,8 +160,8 @@ def write_candidates(candidates: DataFrame, units: DataFrame, path: str) -> None
 
 
 def write_ablation(rows: DataFrame, path: str, key: str) -> None:
-    """An ablation table kept for reuse, partitioned by the key of the brief it was made for."""
-    rows.withColumn("jd_key", F.lit(key)).write.mode("overwrite").partitionBy("jd_key").parquet(path)
+    """An ablation table kept for reuse, partitioned by the key of the brief it was made for; other briefs' tables stay."""
+    rows.withColumn("jd_key", F.lit(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("jd_key").parquet(path)
 
 
 def read_ablation(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_explanations(raw, shop):
     matched = explain.matched_requirements(cells, units, reqs)
     short = matched.where("candidate_id = 'a' and req_key = 'j::req_01'").first()
     assert short["evidence_text"] == "Built the billing service with python for a clinic"  # the short citation is upgraded
-    said = explain.disclaimers(cells, units, reqs)
+    said = explain.disclaimers(units, reqs)
     assert ("j::req_02", "b", "Never used docker at all") in rows(said)
     missing = explain.missing_requirements(cells, units, reqs, CFG.gate_threshold)
     ranked = match.rank_candidates(match.candidate_scores(cells, reqs, CFG), cands, CFG)
@@ -166,7 +166,7 @@ def test_evaluation(raw, shop):
     assert [tuple(r) for r in files.select(role, evaluate.class_of(role)).collect()] == [("sde", "RELEVANT"), ("resume", "UNKNOWN"), ("hr", "IRRELEVANT")]
     swept = evaluate.sweep(raw, reqs, cands, CFG, "alpha", (0.0, 0.5, 1.0))
     assert swept.count() == 3 and evaluate.best_setting(swept).count() == 1
-    one = evaluate.rank_with(raw, reqs, cands, CFG.tuned(alpha=1.0))
+    one = match.rank_candidates(match.candidate_scores(match.matrix(raw, CFG.tuned(alpha=1.0)), reqs, CFG), cands, CFG)
     table = evaluate.ablation(raw, reqs, cands, CFG)
     assert rows(table, "candidate_id", "lexical_rank") == rows(one, "candidate_id", "rank")
     dist = evaluate.score_distribution(one).first()

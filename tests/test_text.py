@@ -83,3 +83,11 @@ def test_decompose(spark):
         ("Based in or able to work from Pune (Hybrid)", "MUST", "location", 0.8),
     ]
     assert decompose(spark, None)["requirements"] == []
+
+
+def test_expansion_with_typo_repair_over_a_column(spark):
+    texts = ["Built with Pyhton and mongo", "Pyhton, python", "string theory", "kuberntes/dokcer on AWS", "", None, "no terms here", "djagno djagno flask", "node.js. Reactjs"]
+    df = spark.createDataFrame([(str(k), t, 7) for k, t in enumerate(texts)], "id string, body string, token int")
+    got = {int(r["id"]): r["expanded_text"] for r in aliases.expand_repaired(df, "id", "body").collect()}
+    assert {k: got[k] or "" for k in got} == {k: aliases.expand_py(t) for k, t in enumerate(texts)}
+    assert aliases.expand_repaired(df.limit(0), "id", "body").count() == 0
