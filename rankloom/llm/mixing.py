@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rankloom.session import materialize
 
-#: Languages and topics kept apart, the most frequent by tokens; the others are one value each. Bounds the cells.
-MAX_VALUES = 64
-#: Natural shares of languages and topics are flattened by this power to give their marginal targets.
+#: The cells (target source, language, topic) are raked on the driver. More of them are an error: name coarser topics.
+MAX_CELLS = 500_000
+#: Natural shares of languages and topics to this power are their marginal targets: below 1, rare ones gain.
 FLATTEN = 0.7
 ROUNDS = 200
 #: The sampling threshold of each source is searched in rounds of this many buckets.
@@ -59,23 +59,22 @@ def cap_within(total: np.ndarray, limit: np.ndarray, group: np.ndarray) -> np.nd
     return np.minimum(x, limit)
 
 
-def _common(df: DataFrame, col: str) -> list[str]:
-    rows = df.groupBy(col).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), col).limit(MAX_VALUES).collect()
-    return [r[col] for r in rows]
-
-
-def plan_cells(sized: DataFrame, targets: list[dict]) -> pd.DataFrame:
+def plan_cells(sized: DataFrame, targets: list[dict], flatten: float = FLATTEN) -> pd.DataFrame:
     """The expected repeats of each (source, lang, topic) cell, for sources that have a target and tokens."""
-    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy("source", "lang", "topic").toPandas()
+    counted = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
+    cells = counted.limit(MAX_CELLS + 1).toPandas().sort_values(["source", "lang", "topic"], ignore_index=True)
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
     if cells.empty:
         return cells.assign(repeats=pd.Series(dtype=float))
     share = {t["source"]: float(t["target_share"]) for t in targets}
-    most = {t["source"]: float(t["max_repeats"]) for t in targets}
+    # no document may come more often than max_repeats, so a cap above 1 counts in whole copies; one below 1 is a share of the source
+    most = {t["source"]: max(np.floor(t["max_repeats"]), min(float(t["max_repeats"]), 1.0)) for t in targets}
     dims, goals = [], []
     for col in ("source", "lang", "topic"):
         names, idx = np.unique(cells[col].to_numpy(dtype=str), return_inverse=True)
         natural = np.bincount(idx, weights=cells["tokens"])
-        g = np.array([share[s] for s in names]) if col == "source" else natural**FLATTEN
+        g = np.array([share[s] for s in names]) if col == "source" else natural**flatten
         dims.append(idx)
         goals.append(g / g.sum())
     tokens = cells["tokens"].to_numpy(dtype=float)
@@ -87,7 +86,7 @@ def plan_cells(sized: DataFrame, targets: list[dict]) -> pd.DataFrame:
     return cells
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 1, flatten: float = FLATTEN) -> DataFrame:
     """``sized(doc_id, source, lang, topic, tokens)`` to ``(doc_id, source, tokens, copies)``, copies > 0.
 
     ``targets(source, target_share, max_repeats)`` is a small list with one row per source, read whole.
@@ -96,7 +95,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     near to its share as whole documents allow, and no document is repeated more than max_repeats times. A null
     language or topic is a value of its own. Other columns are ignored; doc_id must be unique.
 
-    Plan: cells are a partial aggregate, at most (MAX_VALUES + 1)**2 a target source. Whole repeats come from the cell, the
+    Plan: cells are a partial aggregate, all of them counted, at most MAX_CELLS. Whole repeats come from the cell, the
     fraction by order sampling: the documents with the least u / fraction are taken, u being a hash of the id.
     The threshold per source is found from histograms (BUCKETS rows per source and round), so no source is sorted
     or collected, however large it is.
@@ -107,9 +106,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
         "doc_id", "source", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("topic", F.lit("none")).alias("topic"), "tokens"
     )
     named = materialize(named)
-    for col in ("lang", "topic"):
-        named = named.withColumn(col, F.when(F.col(col).isin(_common(named, col)), F.col(col)).otherwise("other"))
-    cells = plan_cells(named, goal)
+    cells = plan_cells(named, goal, flatten)
     out = "doc_id, source, tokens, copies"
     if cells.empty:
         return named.select("doc_id", "source", "tokens", F.lit(0).alias("copies")).where("copies > 0")
