@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.session import materialize
@@ -105,7 +105,10 @@ def pack_documents(
     n = max(1, math.ceil(pieces.count() / shard_pieces))
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
     kind = sized.schema[id_col].dataType.simpleString()
-    packed = sharded.groupBy("shard").applyInPandas(
+    # as many partitions as there are shards to fill, which small rows would else be merged into one
+    session = sized.sparkSession
+    parts = min(n, max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism))
+    packed = sharded.repartition(parts, "shard").groupBy("shard").applyInPandas(
         _pack_shard(np.array([capacity, segments, loss_limit], dtype=float)),
         f"shard int, window long, slot int, doc_id {kind}, piece int, start_token long, tokens long, loss_tokens long",
     )
@@ -114,12 +117,24 @@ def pack_documents(
     )
 
 
-def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: windows used, the least number that the tokens need, and the share of room filled."""
-    w = placed.groupBy("window_id").agg(F.sum("tokens").alias("tokens"), F.max("slot").alias("segments"))
+def fill_report(placed: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int = LOSS_TOKENS) -> DataFrame:
+    """One row: windows used, the least number that any limit needs, their ratio less 1, the room filled, and the greatest use of each limit."""
+    w = placed.groupBy("window_id").agg(F.sum("tokens").alias("t"), F.max("slot").alias("s"), F.sum("loss_tokens").alias("l"))
+    least = F.greatest(F.ceil(F.sum("t") / capacity), F.ceil(F.sum("s") / segments), F.ceil(F.sum("l") / loss_limit))
+    n = F.count(F.lit(1))
     return w.agg(
-        F.count(F.lit(1)).alias("windows"),
-        F.ceil(F.sum("tokens") / capacity).alias("least_windows"),
-        F.round(F.sum("tokens") / (F.count(F.lit(1)) * capacity), 4).alias("filled"),
-        F.max("segments").alias("most_segments"),
-    )
+        n.alias("windows"), least.alias("least_windows"), F.round(n / least - 1, 4).alias("over_least"), F.round(F.sum("t") / (n * capacity), 4).alias("filled"),
+        F.max("t").alias("most_tokens"), F.max("s").alias("most_segments"), F.max("l").alias("most_loss_tokens"),
+    )
+
+
+def kept_whole(placed: DataFrame, sized: DataFrame, id_col: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int = LOSS_TOKENS) -> DataFrame:
+    """``(id, kept)`` of each document with tokens: whether its pieces give it whole and in order, uncut if a window holds it, in windows within all limits."""
+    inside = Window.partitionBy("window_id")
+    fits = (F.sum("tokens").over(inside) <= capacity) & (F.count(F.lit(1)).over(inside) <= segments) & (F.sum("loss_tokens").over(inside) <= loss_limit)
+    follows = F.col("start_token") == 1 + F.coalesce(F.sum("tokens").over(Window.partitionBy(id_col).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = placed.select(id_col, "piece", "tokens", "loss_tokens", fits.alias("fits"), follows.alias("follows"))
+    got = by.groupBy(id_col).agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.min(F.col("fits") & F.col("follows")).alias("ok"))
+    held = (F.col("tokens") <= capacity) & (F.col("tokens") - F.least("head_tokens", "tokens") <= loss_limit)
+    kept = F.col("ok") & (F.col("got") == F.col("tokens")) & (~held | (F.col("pieces") == 1))
+    return sized.where("tokens > 0").join(got, id_col, "left").select(id_col, F.coalesce(kept, F.lit(False)).alias("kept"))
