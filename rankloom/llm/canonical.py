@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import bounded_broadcast, materialize
+
 #: Words and numbers that tell level, years or version and not which entry is meant.
 _LEVEL = (
     r"(?:^|(?<=[\s(,-]))(?:(?:good |basic |some |solid |strong )?(?:working )?knowledge of|(?:certified|experienced|proficient|fluent|skilled|expert) in|experience (?:with|in)|familiar with|"
@@ -20,6 +22,9 @@ EXACT_LENGTH = 3
 LONG_LENGTH = 6
 #: All tokens of a value together may differ by at most this many edits.
 MAX_EDITS = 2
+#: The least cover of a match: the cosine of value and entry over inverse-frequency weights of repaired tokens. A word that only one of them has is missing
+#: from it, one that no entry has at the greatest weight.
+LEAST_COVER = 0.9
 
 
 def value_key(value: Column) -> Column:
@@ -85,6 +90,9 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``tokens(token)`` and ``vocabulary(word)`` are distinct. An equi-join on deletion neighbourhoods, so neither
     side is broadcast by hint and none is compared with all of the other.
     """
+    # a token longer than every word by more than the edits allowed is near none of them: it is left out before its letters are
+    longest = vocabulary.agg(F.coalesce(F.max(F.length("word")), F.lit(0)).alias("_l"))
+    tokens = tokens.crossJoin(F.broadcast(longest)).where(F.length("token") <= F.col("_l") + MAX_EDITS).select("token")
     # words need one deletion more than short tokens allow, so that a lengthened token still meets them
     words = vocabulary.select(F.col("word").alias("token"))
     parts = tokens.mapInPandas(_neighbours, "token string, part string")
@@ -111,50 +119,52 @@ def _entries(reference: DataFrame, id_col: str, name_col: str, also_col: str) ->
 def map_values(values: DataFrame, reference: DataFrame, id_col: str, name_col: str, also_col: str) -> DataFrame:
     """The reference entry of each distinct value: ``(value, entry, score, edits)``; entry 0 if it means none.
 
-    ``values(value)`` may repeat; null and blank values have no row. An entry is meant if each token of the value is
-    one of the entry's tokens up to few edits and each of the entry's is met, in any order, all edits together being
-    at most MAX_EDITS; run-together spellings are matched alike. Among such entries the greatest soft TF-IDF wins,
-    then the fewest edits, then the smallest id. An empty reference maps everything to 0.
+    ``values(value)`` may repeat; null and blank values have no row. An entry is meant if the words of the value, repaired,
+    cover its words and are covered by them to LEAST_COVER, in any order, all edits together being at most MAX_EDITS;
+    run-together spellings are matched alike. Among such entries the greatest soft TF-IDF wins, then the fewest edits, then the
+    smallest id. An empty reference maps everything to 0. A value of any length is read; a word longer than all words of
+    the reference matches none.
 
-    Plan: values are reduced to distinct keys before anything else (partial aggregation, so a value that a third of
-    all rows have costs nothing); distinct tokens meet the vocabulary by an equi-join; no side is collected.
+    Plan: values are reduced to distinct ones before anything else (partial aggregation, so a value that a third of all
+    rows have costs nothing), and these are kept, as several steps read them; distinct tokens meet the vocabulary by an equi-join;
+    no side is collected.
     """
     keys = values.where(F.trim(F.regexp_replace("value", r"[\s\x{00a0}]+", " ")) != "").select("value").distinct()
-    keys = keys.withColumn("key", value_key(F.col("value")))
+    keys = materialize(keys.withColumn("key", value_key(F.col("value"))))
     distinct = keys.select("key").where("key <> ''").distinct()
-    split = F.split("key", " ")
-    forms = distinct.select("key", F.explode(F.array(F.lit("apart"), F.lit("glued"))).alias("form"))
-    tokens = forms.where("form = 'apart'").select(
-        "key", "form", F.size(F.array_distinct(split)).alias("m"), F.explode(F.array_distinct(split)).alias("token")
-    ).unionByName(
-        forms.where(F.col("form") == "glued").where(F.col("key").contains(" ")).select(
-            "key", "form", F.lit(1).alias("m"), F.replace("key", F.lit(" "), F.lit("")).alias("token")
-        )
-    )
-    entries = _entries(reference, id_col, name_col, also_col)
-    n_variants = entries.agg(F.count_distinct("entry", "variant").alias("total"))
-    weights = entries.groupBy("word").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n_variants)).select(
-        "word", F.log(1 + F.col("total") / F.col("_df")).alias("idf")
-    )
-    fixed = repairs(tokens.select("token").distinct(), entries.select("word").distinct())
-    matched = tokens.join(fixed, "token").join(entries.join(weights, "word"), "word")
-    per_token = matched.groupBy("key", "form", "m", "entry", "variant", "n", "token").agg(
-        F.min(F.struct("edits", "word", "idf")).alias("b")
-    )
-    alone = (F.col("m") == 1) & (F.length("token") <= EXACT_LENGTH) & (F.col("b.edits") > 0)
-    size = F.greatest(F.length("token"), F.length("b.word"))
-    scored = (
-        per_token.where(~alone)
-        .groupBy("key", "form", "m", "entry", "variant", "n")
-        .agg(
-            F.count(F.lit(1)).alias("met"),
-            F.count_distinct("b.word").alias("words"),
-            F.sum("b.edits").alias("edits"),
-            (F.sum(F.col("b.idf") * F.col("b.idf") * (1 - F.col("b.edits") / size)) / F.sum(F.col("b.idf") * F.col("b.idf"))).alias("score"),
-        )
-        .where((F.col("met") == F.col("m")) & (F.col("words") == F.col("n")) & (F.col("edits") <= MAX_EDITS))
-    )
-    best = scored.groupBy("key").agg(F.max(F.struct("score", -F.col("edits"), -F.col("entry"))).alias("b")).select(
-        "key", (-F.col("b.col3")).alias("entry"), F.col("b.score").alias("score"), (-F.col("b.col2")).alias("edits")
-    )
+    split = F.array_distinct(F.split("key", " "))
+    apart = distinct.select("key", F.lit("apart").alias("form"), F.explode(split).alias("token"))
+    glued = distinct.where(F.col("key").contains(" ")).select("key", F.lit("glued").alias("form"), F.replace("key", F.lit(" "), F.lit("")).alias("token"))
+    tokens = materialize(apart.unionByName(glued))
+    entries = materialize(_entries(reference, id_col, name_col, also_col))
+    total = entries.agg(F.count_distinct("entry", "variant").alias("total"))
+    weights = entries.groupBy("word").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("_df")).alias("idf"))
+    size = entries.join(weights, "word").groupBy("entry", "variant").agg(F.sum(F.col("idf") * F.col("idf")).alias("esize"))
+    words = entries.select("entry", "variant", "word").join(weights, "word").join(size, ["entry", "variant"])
+    fixed = materialize(repairs(tokens.select("token").distinct(), weights.select("word")))
+    # a token's weight is that of the nearest word it can be; without one, that of a word of one entry only
+    near = fixed.join(weights, "word").groupBy("token").agg(F.min(F.struct("edits", "idf")).alias("n")).select("token", F.col("n.idf").alias("tidf"))
+    weighed = tokens.join(near, "token", "left").crossJoin(F.broadcast(total)).select("key", "form", "token", F.coalesce("tidf", F.log(1 + F.col("total"))).alias("tidf"))
+    sizes = weighed.groupBy("key", "form").agg(F.sum(F.col("tidf") * F.col("tidf")).alias("vsize"), F.count(F.lit(1)).alias("m"))
+    met = tokens.join(fixed, "token").join(words, "word").groupBy("key", "form", "entry", "variant", "esize", "token").agg(F.min(F.struct("edits", "word", "idf")).alias("b"))
+    longer = F.greatest(F.length("token"), F.length("b.word"))
+    square = F.col("b.idf") * F.col("b.idf")
+    paired = met.groupBy("key", "form", "entry", "variant", "esize").agg(
+        F.sum("b.edits").alias("edits"), F.sum(square).alias("both"), F.sum(square * (1 - F.col("b.edits") / longer)).alias("soft"), F.count(F.lit(1)).alias("met"),
+        F.count_distinct("b.word").alias("words"), F.max(F.when(F.length("token") <= EXACT_LENGTH, F.col("b.edits"))).alias("short"),
+    )
+    root = F.sqrt(F.col("esize") * F.col("vsize"))
+    alone = (F.col("m") == 1) & (F.coalesce("short", F.lit(0)) > 0)  # a short value of one word must be met exactly
+    scored = paired.join(sizes, ["key", "form"]).where((F.col("edits") <= MAX_EDITS) & ~alone & (F.col("words") == F.col("met")) & (F.col("both") / root >= LEAST_COVER - 1e-9))
+    best = scored.groupBy("key").agg(F.max(F.struct((F.col("soft") / root).alias("score"), (-F.col("edits")).alias("e"), (-F.col("entry")).alias("i"))).alias("b"))
+    best = best.select("key", (-F.col("b.i")).alias("entry"), F.col("b.score").alias("score"), (-F.col("b.e")).alias("edits"))
     return keys.join(best, "key", "left").select("value", F.coalesce("entry", F.lit(0)).cast("int").alias("entry"), "score", F.col("edits").cast("int").alias("edits"))
+
+
+def mapped_rows(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """``values`` with the ``entry`` of each row's value. Joined by two hashes of the value, so that what is broadcast, if the
+    distinct values are few, is numbers of a known size, and a value of a third of all rows is no hot key; else by the value."""
+    kept = materialize(entries.select("value", "entry"))
+    h = lambda c: (F.xxhash64(c).alias("_h"), F.xxhash64(F.reverse(c), F.lit(1)).alias("_g"))
+    small = bounded_broadcast(kept.select(*h(F.col("value")), "entry"))
+    return values.select("*", *h(F.col("value"))).join(small, ["_h", "_g"]).drop("_h", "_g")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import canonical, distinctive, formatdup, fusion, mixing, neardup, packing, pii, residue
 from rankloom.llm.tokens import token_sizes
 from rankloom.session import latest, load, materialize
 
+#: The limit of loss-bearing tokens of the packing in which it binds.
+LOSS_LIMIT = 1536
 RUN_SCORES = ["fused", "final_score", "lexical_total", "semantic_mean", "weight_met"]
 
 
@@ -126,7 +128,7 @@ def _typed_values(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     values = _typed_values(spark, d)
     entries = canonical.map_values(values, load(spark, d, "skill_catalog"), "skill_id", "canonical", "also_known")
-    return values.join(entries, "value").select("field", "record_id", "value_pos", F.col("entry").alias("skill_id"))
+    return canonical.mapped_rows(values, entries).select("field", "record_id", "value_pos", F.col("entry").alias("skill_id"))
 
 
 def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
@@ -137,15 +139,33 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).join(none, "value")
 
 
+def _doc_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return token_sizes(load(spark, d, "documents"), "text", ["doc_id"])
+
+
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     """Every document placed in a window of 2,048 tokens."""
-    return packing.pack_documents(token_sizes(load(spark, d, "documents"), "text", ["doc_id"]), "doc_id")
+    return packing.pack_documents(_doc_sizes(spark, d), "doc_id")
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many windows are used against the least number that the limits need."""
     return packing.fill_report(p8_windows(spark, d))
 
 
+def p8_loss_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same under a limit of loss-bearing tokens that binds: at most 1,536 a window."""
+    return packing.pack_documents(_doc_sizes(spark, d), "doc_id", loss_limit=LOSS_LIMIT)
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with tokens, and whether it is whole, in order and within all limits in both packings."""
+    sized = materialize(_doc_sizes(spark, d))
+    one = packing.kept_whole(packing.pack_documents(sized, "doc_id"), sized, "doc_id")
+    two = packing.kept_whole(packing.pack_documents(sized, "doc_id", loss_limit=LOSS_LIMIT), sized, "doc_id", loss_limit=LOSS_LIMIT)
+    return one.join(two.withColumnRenamed("kept", "kept_too"), "doc_id").select("doc_id", (F.col("kept") & F.col("kept_too")).alias("kept"))
+
+
 def _mix_sizes(spark: SparkSession, d: str) -> DataFrame:
     sized = token_sizes(load(spark, d, "documents"), "text", ["doc_id", "source", "lang", "doc_type"])
     return sized.select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"), F.col("doc_type").alias("topic"), "tokens")
@@ -163,6 +183,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(sized, targets, mixing.mix(sized, targets))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Each target source that has documents with tokens: whether no document comes more often than allowed, and whether its share is within a hundredth of its target."""
+    r = p9_shares(spark, d).where("target_share > 0 and tokens > 0")
+    goal = F.col("target_share") / F.sum("target_share").over(Window.partitionBy())
+    capped = F.col("most_copies") <= F.ceil(F.least("max_repeats", F.greatest(F.floor("max_repeats"), F.lit(1))))
+    return r.select("source", capped.alias("within_cap"), (F.abs(F.col("actual_share") - goal) < 0.01).alias("on_target"))
+
+
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The mapped rows whose value is, letter case aside, a name or other name of the catalogue."""
+    c = load(spark, d, "skill_catalog")
+    names = c.select(F.explode(F.concat(F.array("canonical"), F.coalesce("also_known", F.array().cast("array<string>")))).alias("n")).select(F.lower(F.trim("n")).alias("n")).distinct()
+    plain = _typed_values(spark, d).withColumn("n", F.lower(F.trim("value"))).join(F.broadcast(names), "n", "left_semi").select("field", "record_id", "value_pos")
+    return p6_found(spark, d).join(plain, ["field", "record_id", "value_pos"], "left_semi")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(load(spark, d, "documents"), "doc_id", "text", "source", ("doc_type", "lang")).select("doc_id").distinct()
 
@@ -205,6 +241,21 @@ pl AS (
 m AS (SELECT run_id, candidate_id, sum(1.0 / (60 + place)) AS rrf, avg(place) AS mean_place FROM pl GROUP BY ALL)
 """
 _WORDS = "list_filter(regexp_split_to_array(lower(raw_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_P4_CLASSES = f"""
+WITH w AS (SELECT id, {_WORDS} AS w FROM candidates WHERE raw_text IS NOT NULL),
+s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 20),
+m AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS r, count(*) OVER (PARTITION BY s) AS copies FROM s),
+e AS (SELECT id, len(s) AS n, unnest(s) AS h FROM m WHERE id = r),
+p AS (SELECT a.id AS ra, b.id AS rb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id),
+o AS (SELECT * FROM p WHERE c / (na + nb - c) >= 0.6)
+"""
+_VALUES = """
+WITH v AS (
+  SELECT 'candidates.skills_declared' AS field, id AS record_id, CAST(generate_subscripts(skills_declared, 1) AS INTEGER) AS value_pos, unnest(skills_declared) AS value FROM candidates
+  UNION ALL SELECT 'requirements.aliases', req_key, CAST(generate_subscripts(aliases, 1) AS INTEGER), unnest(aliases) FROM requirements
+  UNION ALL SELECT 'evidence.normalized', id, 1, any_value(normalized) FROM evidence WHERE unit_kind = 'claim' GROUP BY id),
+n AS (SELECT DISTINCT skill_id, lower(trim(unnest(list_concat([canonical], coalesce(also_known, []))))) AS n FROM skill_catalog)
+"""
 _P5_KEYS = f"""
 WITH c AS (
   SELECT id, regexp_replace(lower(coalesce(source_file, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') || chr(10) ||
@@ -233,6 +284,15 @@ e AS (SELECT id, len(s) AS n, unnest(s) AS h FROM s),
 o AS (SELECT a.id AS cand_a, b.id AS cand_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
       FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id)
 SELECT cand_a, cand_b FROM o WHERE c / (na + nb - c) >= 0.6""",
+    "p4_pairs": _P4_CLASSES + "SELECT ra AS a, rb AS b, round(c / (na + nb - c), 9) AS similarity FROM o",
+    "p4_members": _P4_CLASSES
+    + """, k AS (SELECT r, count(*) AS links FROM (SELECT ra AS r FROM o UNION ALL SELECT rb FROM o) GROUP BY r)
+SELECT id, r AS rep, copies, coalesce(links, 0) AS links FROM m LEFT JOIN k USING (r)""",
+    "p6_exact": _VALUES
+    + """SELECT field, record_id, value_pos, min(skill_id) AS skill_id FROM v JOIN n ON n.n = lower(trim(value, ' ')) GROUP BY ALL""",
+    "p8_kept": "SELECT doc_id, true AS kept FROM documents WHERE text IS NOT NULL AND text <> ''",
+    "p9_kept": """SELECT source, true AS within_cap, true AS on_target FROM mix_targets
+    WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text IS NOT NULL AND text <> '')""",
     "p5_groups": _P5_KEYS
     + """SELECT keep_id, copies FROM g WHERE id = keep_id
     UNION ALL SELECT id, 1 FROM candidates WHERE id NOT IN (SELECT id FROM c)""",
@@ -240,5 +300,5 @@ SELECT cand_a, cand_b FROM o WHERE c / (na + nb - c) >= 0.6""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p6_found, p6_unmatched, p8_windows, p8_fill, p9_mixture, p9_shares, p10_found, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p4_pairs, p4_members, p5_found, p5_groups)
+    f.__name__: f for f in (p1_found, p1_redacted, p6_found, p6_exact, p6_unmatched, p8_windows, p8_fill, p8_loss_windows, p8_kept, p9_mixture, p9_shares, p9_kept, p10_found, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p4_pairs, p4_members, p5_found, p5_groups)
 }

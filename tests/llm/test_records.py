@@ -198,6 +198,17 @@ def test_every_single_edit_of_a_long_word_is_repaired(spark):
     assert set(got.values()) == {2} and len(got) == len(edits)
 
 
+def test_cover_of_entries_and_values(spark):
+    names = "amber birch cobalt dune ember fjord grove heath".split()
+    ref = spark.createDataFrame([(k, f"{n} tools", None) for k, n in enumerate(names, 1)] + [(20, "river gate keeping", None)], "skill_id int, canonical string, also_known array<string>")
+    want = {"amber": 1, "Tools amber": 1, "ambre toolz": 1, "tools": 0, "amber birch tools": 0, "amber lantern": 0, "river gate": 0, "gate river keeping": 20, "amber " * 3_000: 1}
+    df = spark.createDataFrame([(v,) for v in [*want, "q" * 60_000, "amber " + "x" * 60_000, " ".join(f"w{k}" for k in range(5_000))]], "value string")
+    got = {r["value"]: r["entry"] for r in canonical.map_values(df, ref, "skill_id", "canonical", "also_known").collect()}
+    assert {v: got[v] for v in want} == want and sum(got.values()) == sum(want.values())  # a common word may be missing, a rare one not; long words match none
+    rows_ = spark.createDataFrame([(k, "amber" if k % 3 else "Tools amber") for k in range(90)], "id int, value string")
+    assert {r["entry"] for r in canonical.mapped_rows(rows_, canonical.map_values(rows_, ref, "skill_id", "canonical", "also_known")).collect()} == {1}
+
+
 def test_no_reference(spark):
     ref = spark.createDataFrame([], "skill_id int, canonical string, also_known array<string>")
     df = spark.createDataFrame([("x",)], "value string")

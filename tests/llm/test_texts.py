@@ -182,6 +182,18 @@ def test_cut_only_what_no_window_holds(spark):
     assert all((got.id == k).sum() == 1 for k in (0, 1, 5))
 
 
+def test_waste_and_wholeness(spark):
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(k, int(n), int(n) // 3) for k, n in enumerate(r.integers(1, 700, 600))] + [(900, 5_000, 0), (901, 0, 0)], "id int, tokens long, head_tokens long")
+    for loss in (512, 340):
+        placed = packing.pack_documents(df, "id", capacity=512, segments=16, loss_limit=loss, shard_pieces=300)
+        kept = packing.kept_whole(placed, df, "id", 512, 16, loss).collect()
+        assert len(kept) == 601 and all(x["kept"] for x in kept)
+        assert packing.fill_report(placed, 512, 16, loss).first()["over_least"] <= 0.05
+    broken = placed.where("piece = 1")
+    assert {x["id"] for x in packing.kept_whole(broken, df, "id", 512, 16, 340).where("not kept").collect()} >= {900}
+
+
 def test_tokens_round_trip(spark):
     texts = ["Hello wörld  \n\n x", None, "", "<|endoftext|> is text"]
     df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "id int, body string, tokens int")
@@ -219,10 +231,25 @@ def test_shares_and_caps(spark):
     assert mixing.mix(sized.limit(0), targets).count() == 0 and mixing.mix(sized, targets.limit(0)).count() == 0
 
 
-def test_many_target_sources(spark):
-    sized = spark.createDataFrame([(k, f"s{k % 90:02}", "en", "a", 10) for k in range(900)], "doc_id long, source string, lang string, topic string, tokens long")
+def test_many_sources_languages_and_topics(spark):
+    sized = spark.createDataFrame([(k, f"s{k % 90:02}", f"l{k % 100}", f"t{k % 81}", 10) for k in range(8_100)], "doc_id long, source string, lang string, topic string, tokens long")
     targets = spark.createDataFrame([(f"s{k:02}", 1 / 90, 1.0) for k in range(90)], "source string, target_share double, max_repeats double")
-    assert mixing.mix(sized, targets).count() == 900
+    assert mixing.mix(sized, targets).count() == 8_100
+
+
+def test_too_many_cells_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 50)
+    sized = spark.createDataFrame([(k, "s", "en", f"t{k}", 10) for k in range(60)], "doc_id long, source string, lang string, topic string, tokens long")
+    with pytest.raises(ValueError):
+        mixing.mix(sized, spark.createDataFrame([("s", 1.0, 1.0)], "source string, target_share double, max_repeats double"))
+
+
+def test_fractional_caps(spark):
+    sized = spark.createDataFrame([(k, "ab"[k % 2], "en", "x", 10) for k in range(1_000)], "doc_id long, source string, lang string, topic string, tokens long")
+    for cap, most in ((2.5, 2), (0.4, 1)):
+        targets = spark.createDataFrame([("a", 0.8, cap), ("b", 0.2, 9.0)], "source string, target_share double, max_repeats double")
+        got = {r["source"]: r for r in mixing.share_report(sized, targets, mixing.mix(sized, targets)).collect()}
+        assert got["a"]["most_copies"] <= most and got["a"]["repeats"] <= cap + 0.01 and abs(got["a"]["actual_share"] - 0.8) < 0.01
 
 
 # --- residue
