@@ -154,30 +154,34 @@ def expand_py(text: str | None) -> str:
     return " ".join([base, *found]) if found else base
 
 
-def fuzzy_table(texts: DataFrame, column: str) -> DataFrame:
-    """Distinct misspelt tokens of a column with the dictionary word and canonical terms meant.
-
-    Runs over the distinct vocabulary, blocked by first letter and length, never over the texts.
-    """
-    words = texts.select(F.explode(F.array_distinct(tokenize(F.col(column)))).alias("token")).where(F.length("token") >= FUZZY_LENGTH).distinct()
+def repaired_words(words: DataFrame) -> DataFrame:
+    """``words(token)``, distinct, to the misspelt ones with the dictionary word and the canonical terms meant."""
 
     def repair(batches):
         for pdf in batches:
             hits = [(t, fuzzy_alias(t)) for t in pdf["token"]]
             yield pd.DataFrame([(t, h, list(reverse()[h])) for t, h in hits if h], columns=["token", "alias", "canonical"])
 
-    return words.mapInPandas(repair, "token string, alias string, canonical array<string>")
+    return words.where(F.length("token") >= FUZZY_LENGTH).mapInPandas(repair, "token string, alias string, canonical array<string>")
+
+
+def fuzzy_table(texts: DataFrame, column: str) -> DataFrame:
+    """Distinct misspelt tokens of a column with the dictionary word and canonical terms meant.
+
+    Runs over the distinct vocabulary, blocked by first letter and length, never over the texts.
+    """
+    return repaired_words(texts.select(F.explode(F.array_distinct(tokenize(F.col(column)))).alias("token")).distinct())
 
 
 def expand_repaired(texts: DataFrame, id_col: str, column: str) -> DataFrame:
     """``texts`` with ``expanded_text``: the normalised text, the terms its phrases imply, then those its misspelt words mean.
 
-    Misspelt words are repaired once per distinct word of the column (:func:`fuzzy_table`) and joined back by word; a text that has none is
+    Misspelt words are repaired once per distinct word of the column (:func:`repaired_words`) and joined back by word; a text that has none is
     expanded where it stands. ``id_col`` is unique.
     """
-    fixed = fuzzy_table(texts, column).select("token", "canonical")
     base = texts.select(id_col, normalize(F.col(column)).alias("_base"))
     words = base.select(id_col, F.posexplode(F.split(F.replace("_base", F.lit("/"), F.lit(" ")), r"\s+")).alias("_at", "token"))
+    fixed = repaired_words(words.select("token").distinct()).select("token", "canonical")
     hits = words.join(fixed, "token").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "canonical"))).alias("_h"))
     both = texts.join(hits.select(id_col, F.flatten(F.transform("_h", lambda h: h["canonical"])).alias("_meant")), id_col, "left")
     padded = F.concat(F.lit(" "), normalize(F.col(column)), F.lit(" "))

@@ -35,6 +35,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed_values(spark, d).drop("flag")
 
 
+def p7_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The values of the packed evidence units that have neither quotes nor brackets."""
+    plain = latest(load(spark, d, "evidence").where(F.col("unit_kind") == "packed"), ["id"], ["text"]).where(~F.col("text").rlike("[\"'“”‘’«»()]"))
+    return p7_found(spark, d).where("field = 'evidence.text'").join(plain.select(F.col("id").alias("record_id")), "record_id", "left_semi").select("record_id", "item_pos", "item")
+
+
 def p7_flags(spark: SparkSession, d: str) -> DataFrame:
     """The values with a malformed quote or bracket, and which it is."""
     return _packed_values(spark, d).where("flag <> ''")
@@ -113,7 +119,7 @@ def brief_header(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_percentile(spark: SparkSession, d: str) -> DataFrame:
     """Role, class and percentile of every ranked candidate."""
-    return _labelled(pool(spark, d)).select("jd_id", "candidate_id", "role", "cls", "rank", F.round("percentile", 9).alias("percentile"))
+    return _labelled(pool(spark, d)).select("jd_id", "candidate_id", "role", "cls", "rank", shown(F.col("percentile")).alias("percentile"))
 
 
 def alias_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +343,7 @@ def embedding_cache_misses(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p7_found, p7_flags, normalize_text, tokenize_stats, term_freq, doc_freq, corpus_stats, negation_flag, noise_filter, section_classify, alias_expand_exact,
+        p7_found, p7_flags, p7_plain, normalize_text, tokenize_stats, term_freq, doc_freq, corpus_stats, negation_flag, noise_filter, section_classify, alias_expand_exact,
         detect_skills_all, fuzzy_alias, section_pivot, parse_quality, split_evidence, alias_expand, decompose_jd, brief_header, bm25_argmax, cosine_argmax, trace_top5, semantic_search_top5,
         pool_zscore, fuse_matrix, must_have_gate, weighted_mean, final_rank, lexical_only_rank, ablation_ranks, why_not_top, explanation_matched, explanation_missing,
         disclaimers, explanation_summary, who_has, compare_pair, why_not_candidate, bias_flags, seniority_overreach, role_class, rank_percentile, class_summary, precision_purity,

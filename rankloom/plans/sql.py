@@ -259,7 +259,44 @@ _FUZZY = f"""WITH {UNITS}, al AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_q(p
  tk AS (SELECT DISTINCT token FROM (SELECT unnest({TOK.format("text")}) AS token FROM u) WHERE len(token) >= 5 AND token NOT IN ({", ".join(_q(p) for p in reverse())})),
  nr AS (SELECT token, min({{'d': damerau_levenshtein(token, alias), 'o': ord, 'a': alias, 'c': canonical}}) AS b FROM tk JOIN al ON token[1] = alias[1] AND abs(len(token) - len(alias)) <= 2 GROUP BY token)
  SELECT token, b.a AS alias, b.c AS canonical FROM nr WHERE b.d <= CASE WHEN len(token) >= 8 THEN 2 ELSE 1 END"""
-SQL |= {"explanation_matched": _MATCHED, "trace_top5": _TRACE, "fuzzy_alias": _FUZZY}
+_SHORT = "concat(lower(regexp_replace({0}, " + _q(T.REQ_LEAD) + ", '', 'i')[1]), regexp_replace({0}, " + _q(T.REQ_LEAD) + ", '', 'i')[2:])"
+_CITED = _MATCHED[_MATCHED.index(" kept AS (") : _MATCHED.rindex(" SELECT jd_id, candidate_id, CAST(position")]
+_SUMMARY = f"""WITH {FULL}, tm AS ({_terms(3)}), {_CITED},
+ mt AS (SELECT jd_id, candidate_id, min_by(requirement_text, position) AS req, min_by(evidence_text, position) AS quote, min_by(CASE WHEN matched_by = 'semantic' AND gap THEN 'found by meaning; the evidence never uses the requirement''s wording'
+   WHEN matched_by = 'semantic' THEN 'matched on meaning' WHEN matched_by = 'both' THEN 'matched on both the exact term and its meaning' WHEN matched_by = 'lexical' THEN 'matched on the exact term' ELSE 'no supporting evidence found' END, position) AS how,
+   count(*) FILTER (WHERE matched_by = 'semantic' AND gap) AS gaps FROM gp GROUP BY ALL),
+ tn AS ({_terms(4)}),
+ di AS (SELECT req_key, candidate_id, min({{'p': ev_pos, 't': text}}).t AS d FROM tn JOIN u ON negated AND len(list_filter(terms, lambda w: contains(lower(text), w))) > 0 GROUP BY ALL),
+ ms AS (SELECT jd_id, candidate_id, count(*) AS n, string_agg({_SHORT.replace("{0}", "text")}, '; ' ORDER BY req_pos) AS list, arg_min(d, req_pos) FILTER (WHERE d IS NOT NULL) AS said
+   FROM (SELECT cells.jd_id, cells.candidate_id, req_pos, text, d FROM cells JOIN (SELECT req_key, req_pos, kind, text FROM r) USING (req_key) LEFT JOIN di ON di.req_key = cells.req_key AND di.candidate_id = cells.candidate_id WHERE kind = 'MUST' AND fused < 0.45) GROUP BY ALL),
+ pl AS (SELECT jd_id, count(*) AS pool FROM ranked GROUP BY jd_id)
+ SELECT jd_id, candidate_id, CAST(rank AS INTEGER) AS rank, concat_ws(' ', 'Ranked #' || rank || ' of ' || pool || ' with a score of ' || CAST(round(final_score, 1) AS VARCHAR) || '. Meets ' || requirements_met || ' of ' || requirements_total
+   || ' requirements, including ' || musts_met || ' of ' || musts_total || ' must-haves.',
+  CASE WHEN req IS NOT NULL THEN 'Strongest match: "' || {_SHORT.replace("{0}", "req")} || '": "' || quote || '" (' || how || ').' END,
+  CASE WHEN gaps = 1 THEN 'One requirement was matched by meaning alone; a keyword search would have missed it.' WHEN gaps > 1 THEN 'Several requirements were matched by meaning alone; a keyword search would have missed them.' END,
+  CASE WHEN n = 1 THEN 'Missing 1 must-have: ' || list || '.' WHEN n > 1 THEN 'Missing ' || n || ' must-haves: ' || list || '.' ELSE 'No must-have requirements are missing.' END,
+  CASE WHEN said IS NOT NULL THEN 'The candidate states this directly: "' || said || '"' END) AS summary
+ FROM ranked JOIN pl USING (jd_id) LEFT JOIN mt USING (jd_id, candidate_id) LEFT JOIN ms USING (jd_id, candidate_id)"""
+_EXPAND = f"""WITH {UNITS}, src AS (SELECT evidence_id, text FROM u), h AS ({_implied("text")}),
+ al AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_q(p)}, {_q(','.join(cs))})" for k, p, cs in _SINGLE)}) t(ord, alias, canonical)),
+ wd AS (SELECT evidence_id, unnest(w) AS token, generate_subscripts(w, 1) AS nth FROM (SELECT evidence_id, string_split_regex(replace(base, '/', ' '), '\\s+') AS w FROM h)),
+ nr AS (SELECT token, min({{'d': damerau_levenshtein(token, alias), 'o': ord, 'c': canonical}}) AS b FROM (SELECT DISTINCT token FROM wd WHERE len(token) >= 5 AND token NOT IN ({", ".join(_q(p) for p in reverse())})) tk
+   JOIN al ON token[1] = alias[1] AND abs(len(token) - len(alias)) <= 2 GROUP BY token),
+ fz AS (SELECT evidence_id, flatten(list(string_split(b.c, ',') ORDER BY nth)) AS meant FROM wd JOIN nr USING (token) WHERE b.d <= CASE WHEN len(token) >= 8 THEN 2 ELSE 1 END GROUP BY evidence_id),
+ al2 AS (SELECT evidence_id, base, list_concat(hits, coalesce(meant, [])) AS every FROM h LEFT JOIN fz USING (evidence_id))
+ SELECT evidence_id, CASE WHEN len(extra) > 0 THEN base || ' ' || array_to_string(extra, ' ') ELSE base END AS expanded_text
+ FROM (SELECT *, list_filter({_keep_first("every")}, lambda c: NOT contains(' ' || base || ' ', ' ' || c || ' ')) AS extra FROM al2)"""
+_BEST = "SELECT jd_id, -b.s AS setting, b.precision_top AS precision_top, b.purity_bottom AS purity_bottom, b.separation AS separation FROM (SELECT jd_id, max({{'precision_top': precision_top, 'separation': separation, 's': -setting, 'purity_bottom': purity_bottom}}) AS b FROM ({0}) GROUP BY jd_id)"
+_PACKED = r"""WITH p AS (SELECT id, any_value(text) AS text FROM evidence WHERE unit_kind = 'packed' GROUP BY id),
+ s AS (SELECT id, string_split_regex(regexp_replace(text, '^[  	]*[\p{L}][\p{L}\p{N}_&/  ]{0,40}?[  	]*(:|–|—|-[  	])', ''), '[,;|•·，；、	]|[  ]{3,}|[  ]+[/&–—-][  ]+') AS x FROM p WHERE NOT regexp_matches(text, '["''“”‘’«»()]')),
+ t AS (SELECT id, list_filter(list_transform(x, lambda v: trim(v, E'  	
+')), lambda v: v <> '') AS x FROM s)
+ SELECT id AS record_id, CAST(generate_subscripts(x, 1) AS INTEGER) AS item_pos, unnest(x) AS item FROM t"""
+SQL |= {
+    "explanation_matched": _MATCHED, "trace_top5": _TRACE, "fuzzy_alias": _FUZZY, "explanation_summary": _SUMMARY, "alias_expand": _EXPAND, "p7_plain": _PACKED,
+    "best_alpha": _BEST.format(_sweep("alpha", ALPHA_SWEEP)), "best_gate": _BEST.format(_sweep("gate", GATE_SWEEP)),
+    "rank_percentile": f"WITH {LABELLED} SELECT jd_id, candidate_id, role, cls, CAST(rank AS INTEGER) AS rank, floor(rank / pool * 1e6 + 0.5001) / 1e6 AS percentile FROM rows_",
+}
 
 
 def _tie_safe(sql: str) -> str:
