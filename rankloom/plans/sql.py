@@ -167,7 +167,7 @@ def _keep_first(xs: str) -> str:
 
 
 _PHRASES = " UNION ALL ".join(
-    f"SELECT doc_id, '{c}' AS category, trim(unnest(regexp_extract_all(low, {_q(p.replace('(?!' + chr(92) + 's*/)', ''))}))) AS phrase FROM low" for c, p, _ in RULES
+    f"SELECT doc_id, '{c}' AS category, trim(unnest(regexp_extract_all(low, {_q(p.replace('(?!' + chr(92) + 's*/)', ''))}))) AS phrase FROM low" for c, p in RULES
 )
 _TIER = "CASE " + " ".join(f"WHEN regexp_matches(low, {_q(p)}) THEN '{n}'" for n, p, _ in SENIORITY) + " END"
 _MOST = "CASE label " + " ".join(f"WHEN '{n}' THEN {m}" for n, _, m in SENIORITY) + " END"
@@ -288,8 +288,9 @@ _EXPAND = f"""WITH {UNITS}, src AS (SELECT evidence_id, text FROM u), h AS ({_im
  FROM (SELECT *, list_filter({_keep_first("every")}, lambda c: NOT contains(' ' || base || ' ', ' ' || c || ' ')) AS extra FROM al2)"""
 _BEST = "SELECT jd_id, -b.s AS setting, b.precision_top AS precision_top, b.purity_bottom AS purity_bottom, b.separation AS separation FROM (SELECT jd_id, max({{'precision_top': precision_top, 'separation': separation, 's': -setting, 'purity_bottom': purity_bottom}}) AS b FROM ({0}) GROUP BY jd_id)"
 _PACKED = r"""WITH p AS (SELECT id, any_value(text) AS text FROM evidence WHERE unit_kind = 'packed' GROUP BY id),
- s AS (SELECT id, string_split_regex(regexp_replace(text, '^[  	]*[\p{L}][\p{L}\p{N}_&/  ]{0,40}?[  	]*(:|–|—|-[  	])', ''), '[,;|•·，；、	]|[  ]{3,}|[  ]+[/&–—-][  ]+') AS x FROM p WHERE NOT regexp_matches(text, '["''“”‘’«»()]')),
- t AS (SELECT id, list_filter(list_transform(x, lambda v: trim(v, E'  	
+ s AS (SELECT id, string_split_regex(regexp_replace(text, '^[  	
+]*[\p{L}][\p{L}\p{N}_&/  ]{0,40}?[  	]*(:|–|—|-[  	])', ''), '[,;|•·，；、	]|[  ]{3,}|[  ]+[/&–—-][  ]+') AS x FROM p WHERE NOT regexp_matches(text, '["''“”‘’«»()]')),
+ t AS (SELECT id, list_filter(list_transform(x, lambda v: trim(v, E'  	
 ')), lambda v: v <> '') AS x FROM s)
  SELECT id AS record_id, CAST(generate_subscripts(x, 1) AS INTEGER) AS item_pos, unnest(x) AS item FROM t"""
 SQL |= {
