@@ -124,13 +124,13 @@ _HINT_MARKS = r"[\[\](){}<>%$@#_*«]"
 #: Words one of which every message of a phrase rule has, unless it has a mark, opens with one of _HINT_FIRST or holds five words of the filler's
 #: list. They only save trying the rules: a message with none of these is masked, grouped and classified by its spread like all else.
 _HINT_WORDS = tuple(
-    """xx undefined null nan none here goes sample dummy example placeholder filler test ignore replace publish box field this todo tbd fixme determined completed added blindtext ejemplo exemple relleno sustituya factice bullet blah action
+    """xx undefined null nan none here goes sample dummy example placeholder filler test ignore replace publish todo tbd fixme determined completed added blindtext ejemplo exemple relleno sustituya factice bullet blah action
     content java javascript javascripts script scripts scripting js browser found gateway forbidden unauthorized unauthorised internal unavailable requests gone status http error erreur fehler fatal exception
     shown converted loaded opened reached displayed exist disponible moved deleted removed wandered blocked failed timed responding empty available accessible reachable expired existiert verfügbar verfugbar entfernt gelöscht geloscht
     existe indisponible encontrada gefunden introuvable denied verweigert denegado refusé refuse request allowed authorized authorised permitted unable schief schiefgelaufen mal maintenance again engineers reloading incident
-    permission session proxy traceback line keyerror valueerror typeerror indexerror attributeerror nameerror runtimeerror damaged robot human wrong quote whoops oops hmm uh sorry désolé désolée sentimos siento entschuldigung""".split()
+    permission proxy traceback keyerror valueerror typeerror indexerror attributeerror nameerror runtimeerror damaged robot human wrong quote whoops oops hmm uh sorry désolé désolée sentimos siento entschuldigung""".split()
 )
-_HINT_FIRST = ("add", "enter", "write", "paste", "put", "insert", "type", "describe", "asdf")
+_HINT_FIRST = ("file", "add", "enter", "write", "paste", "put", "insert", "type", "describe", "asdf")
 _LATIN_WORDS = tuple(_LATIN.split("|"))
 
 
@@ -149,35 +149,30 @@ def sentences(text: Column) -> Column:
 
 
 def masked(sentence: Column) -> Column:
-    """Template fields, mail and web addresses, dates and numbers made equal; blanks collapsed."""
-    s = F.regexp_replace(sentence, PLACEHOLDER, FIELD)
-    s = F.regexp_replace(s, _UNDEFINED, FIELD)
-    s = F.regexp_replace(s, r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "‹mail›")
-    s = F.regexp_replace(s, r"(?:https?://|www\.)\S+", "‹url›")
-    s = F.regexp_replace(s, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", "‹date›")
-    s = F.regexp_replace(s, _NUMBER, "9")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
-
-
-def masked_plain(low: Column) -> Column:
-    """:func:`masked` of a lower-case sentence without a mark of a field or a mail sign: only what it can hold is looked for."""
-    linked = F.when(low.contains("://") | low.contains("www."), F.regexp_replace(low, r"(?:https?://|www\.)\S+", "‹url›")).otherwise(low)
+    """Template fields, mail and web addresses, dates and numbers made equal; blanks collapsed. What a sentence cannot hold is not looked for."""
+    fields = F.when(sentence.rlike(_HINT_MARKS + "|(?i:XX/)"), F.regexp_replace(sentence, PLACEHOLDER, FIELD)).otherwise(sentence)
+    named = _once(fields, lambda s: F.when(s.rlike("(?i:undefined|null|nan|none)"), F.regexp_replace(s, _UNDEFINED, FIELD)).otherwise(s))
+    mailed = _once(named, lambda s: F.when(s.contains("@"), F.regexp_replace(s, r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "‹mail›")).otherwise(s))
+    return _once(mailed, lambda s: F.trim(F.regexp_replace(_numbered(s), r"\s+", " ")))
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _numbered(s: Column) -> Column:
+    """Web addresses, dates and numbers made equal."""
+    linked = F.when(s.contains("://") | s.contains("www."), F.regexp_replace(s, r"(?:https?://|www\.)\S+", "‹url›")).otherwise(s)
     dated = F.regexp_replace(linked, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", "‹date›")
-    return F.when(low.rlike(r"\d"), F.regexp_replace(dated, _NUMBER, "9")).otherwise(linked)
-
-
-def classify(message: Column, alone: Column) -> Column:
-    """``field``, ``filler``, ``script`` or ``error``; null if no rule names the message. ``alone``: it is its whole line."""
-    left = F.regexp_replace(message, _MENTION, "")
-    low = F.lower(message)
-    content = low.rlike(_TALK)
-    return (
-        F.when(left.contains(FIELD), "field")
-        .when(~content & low.rlike(_FILLER), "filler")
-        .when(~content & low.rlike(_SCRIPT), "script")
-        .when(~content & low.rlike(_ERROR), "error")
-        .when(alone & low.rlike(_WEAK), "error")
-    )
+    return F.when(s.rlike(r"\d"), F.regexp_replace(dated, _NUMBER, "9")).otherwise(linked)
+
+
+def classify(message: Column, low: Column, alone: Column) -> Column:
+    """``field``, ``filler``, ``script`` or ``error``; null if no rule names the message. ``low``: it in lower case; ``alone``: it is its whole line."""
+    by_word = F.when(low.rlike(_TALK), F.lit(None).cast("string")).when(low.rlike(_FILLER), "filler").when(low.rlike(_SCRIPT), "script").when(low.rlike(_ERROR), "error")
+    named = F.when(message.contains(FIELD) & F.regexp_replace(message, _MENTION, "").contains(FIELD), "field").otherwise(by_word)
+    return F.coalesce(named, F.when(alone & low.rlike(_WEAK), "error"))
 
 
 def _steps(sents: Column) -> Column:
@@ -192,8 +187,9 @@ def _steps(sents: Column) -> Column:
     x = F.flatten(F.transform(F.array(x), lambda all_: F.transform(all_, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), e["low"].alias("low"), (F.size(all_) > 1).alias("part")))))
     x = F.transform(x, lambda e: e.withField("tokens", F.split(words(e["low"]), " ")))
     x = F.transform(x, lambda e: e.withField("hinted", hinted(e["low"], e["tokens"])).dropFields("tokens"))
-    x = F.transform(x, lambda e: F.struct(e["alone"].alias("alone"), e["part"].alias("part"), F.when(e["hinted"], masked(e["s"])).alias("message"), F.when(~e["hinted"], masked_plain(e["low"])).alias("low")))
-    x = F.transform(x, lambda e: e.withField("kind", F.when(e["message"].isNotNull(), classify(e["message"], e["alone"]))).withField("low", F.coalesce(e["low"], F.lower(e["message"]))))
+    x = F.transform(x, lambda e: F.struct(e["alone"].alias("alone"), e["part"].alias("part"), F.when(e["hinted"], masked(e["s"])).alias("message"), F.when(~e["hinted"], _numbered(e["low"])).alias("low")))
+    x = F.transform(x, lambda e: e.withField("low", F.coalesce(e["low"], F.lower(e["message"]))))
+    x = F.transform(x, lambda e: e.withField("kind", F.when(e["message"].isNotNull(), classify(e["message"], e["low"], e["alone"]))))
     x = F.transform(x, lambda e: e.withField("led", F.regexp_replace(e["low"], _LEAD, "")))
     x = F.transform(x, lambda e: e.withField("bare", words(F.when(e["led"].contains("("), F.regexp_replace(e["led"], _CODE, "")).otherwise(e["led"]))))
     x = F.transform(x, lambda e: e.withField("key", F.when(e["bare"] == "", words(e["low"])).otherwise(F.regexp_replace(e["bare"], _SUBJECT, "‹thing›"))))
