@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import materialize
+from rankloom.session import bounded_broadcast, materialize
 
 _OTHER = r"[^\p{L}\p{N}]+"
 
@@ -43,14 +43,15 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["range", "digest", "key_hash", "id"]].assign(first=firsts)[keep]
 
 
-def collapse(df: DataFrame, id_col: str, name_col: str, text_col: str, min_words: int = 20) -> DataFrame:
-    """One row per record: id, keep_id (smallest id of its group) and copies (records of the group).
+def representatives(df: DataFrame, id_col: str, name_col: str, text_col: str, min_words: int = 20) -> DataFrame:
+    """``(id, keep_id)`` of each record, keep_id being the smallest id of its group of copies.
 
     Two records are copies if name and text agree once reduced to letters and digits, line order aside. Records
     whose text is null or has fewer than ``min_words`` words are alone. A null name equals an empty one. Rows with a
     null id are left out; equal ids with equal content count once. Other columns are ignored.
 
-    Plan: records are range partitioned by (digest of the full key, id) and sorted there by (digest, full key, id)
+    Plan: canonical records are kept once, as the bounds of the ranges are drawn from a pass of their own that then reads digests
+    and ids only. They are range partitioned by (digest of the full key, id) and sorted there by (digest, full key, id)
     (Spark's external sort); a scan compares full keys of neighbours. As the id is part of the range, a group holding
     a third of all rows spreads over many tasks. Only a run at the edge of a range can go on in another range: the
     table of those runs has about two rows per range, whatever the input, and is joined by broadcast.
@@ -60,7 +61,7 @@ def collapse(df: DataFrame, id_col: str, name_col: str, text_col: str, min_words
     rows = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.when(word_count(text) >= min_words, canonical(F.col(name_col), text)).alias("key")
     )
-    rows = rows.withColumn("digest", F.coalesce(F.md5("key"), F.lit("")))
+    rows = materialize(rows.withColumn("digest", F.coalesce(F.md5("key"), F.lit(""))))
     ordered = (
         rows.repartitionByRange(n, "digest", "id")
         .withColumn("range", F.spark_partition_id())
@@ -82,8 +83,16 @@ def collapse(df: DataFrame, id_col: str, name_col: str, text_col: str, min_words
         .groupBy("digest", "key_hash")
         .agg(F.min("first").alias("_first"))
     )
-    kept = scanned.join(F.broadcast(at_edge), ["digest", "key_hash"], "left").select(
-        "id", F.coalesce("_first", "first").alias("keep_id")
-    )
-    counts = kept.groupBy("keep_id").agg(F.count(F.lit(1)).alias("copies"))
-    return kept.join(counts, "keep_id").select("id", "keep_id", "copies")
+    return scanned.join(F.broadcast(at_edge), ["digest", "key_hash"], "left").select("id", F.coalesce("_first", "first").alias("keep_id"))
+
+
+def copy_counts(kept: DataFrame) -> DataFrame:
+    """``(keep_id, copies)``: one row per group of :func:`representatives` with the number of its records. Counted before the shuffle."""
+    return kept.groupBy("keep_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def collapse(df: DataFrame, id_col: str, name_col: str, text_col: str, min_words: int = 20) -> DataFrame:
+    """One row per record: id, keep_id and copies (records of the group); see :func:`representatives`."""
+    kept = materialize(representatives(df, id_col, name_col, text_col, min_words))
+    many = materialize(copy_counts(kept).where("copies > 1"))
+    return kept.join(bounded_broadcast(many), "keep_id", "left").select("id", "keep_id", F.coalesce("copies", F.lit(1)).alias("copies"))

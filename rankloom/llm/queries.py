@@ -95,15 +95,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand_pairs(*_near(spark, d))
 
 
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    return formatdup.representatives(load(spark, d, "candidates"), "id", "source_file", "raw_text")
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One record per group of copies with its number of copies."""
-    g = formatdup.collapse(load(spark, d, "candidates"), "id", "source_file", "raw_text")
-    return g.where(F.col("id") == F.col("keep_id")).select("keep_id", "copies")
+    return formatdup.copy_counts(_copies(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    g = formatdup.collapse(load(spark, d, "candidates"), "id", "source_file", "raw_text")
-    return g.where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))
+    return _copies(spark, d).where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))
 
 
 def _typed_values(spark: SparkSession, d: str) -> DataFrame:
