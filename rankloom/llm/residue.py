@@ -110,10 +110,12 @@ _IRREGULAR = (
     "became began bent bought bound brought built came caught chose cut did drew drove fed fell felt fought found gave grew had heard held hid hit kept knew laid led left lent let lit lost made meant met "
     "paid put ran read rode rose said sat saw sent set shot shut sold sought spent split spoke spread stood stuck swept taught thought threw told took tore typeset understood went withdrew woke won wore wove wrote"
 )
-#: Opened by a verb of work (past, or third person), or by someone speaking of themselves.
-_REPORT = r"^(?:9 )?(?:\w+ed|\w+[^s\W]s|" + _IRREGULAR.replace(" ", "|") + r")\b|\b(?:i|my|me|mine|we|our|us|he|his|she|her)\b"
+#: Opened by a verb of work (past, or third person); or by someone speaking of themselves.
+_REPORT = r"^(?:9 )?(?:\w+ed|\w+[^s\W]s|" + _IRREGULAR.replace(" ", "|") + r")\b"
+_SPEAKER = ("i", "my", "me", "mine", "we", "our", "us", "he", "his", "she", "her")
+_SPOKEN = r"\b(?:" + "|".join(_SPEAKER) + r")\b"
 #: At least two words of three letters.
-_WORDY = r"\p{L}{3}.* (?:.* )?[^ ]*\p{L}{3}"
+_WORDY = r"^(?:\S{1,2} )*\S{3,} (?:\S{1,2} )*\S{3,}"
 #: Words before a message that are no part of it, and those of them that only an apology has.
 _SORRY = r"(?:sorry|whoops|oops|hmm|uh-oh|désolée?|lo sentimos|lo siento|entschuldigung)"
 _LEAD = r"^\W*(?:(?:notice|note|warning|attention|alert|hinweis|achtung|aviso|" + _SORRY + r")\W*[:,.!–-]\W*)+"
@@ -134,10 +136,10 @@ _HINT_FIRST = ("file", "add", "enter", "write", "paste", "put", "insert", "type"
 _LATIN_WORDS = tuple(_LATIN.split("|"))
 
 
-def hinted(low: Column, tokens: Column) -> Column:
-    """Whether a phrase or placeholder rule can match a lower-case sentence, told by its marks and words."""
+def worded(tokens: Column) -> Column:
+    """Whether a phrase rule can match a sentence, told by its words."""
     some = F.exists(tokens, lambda w: w.isin(*_HINT_WORDS) | w.startswith("asdf"))
-    return low.rlike(_HINT_MARKS) | some | F.get(tokens, F.lit(0)).isin(*_HINT_FIRST) | (F.size(F.filter(tokens, lambda w: w.isin(*_LATIN_WORDS))) >= 5)
+    return some | F.get(tokens, F.lit(0)).isin(*_HINT_FIRST) | (F.size(F.filter(tokens, lambda w: w.isin(*_LATIN_WORDS))) >= 5)
 
 
 _NUMBER = r"\b[0-9a-f]*\d[0-9a-f]*\b"
@@ -168,11 +170,14 @@ def _numbered(s: Column) -> Column:
     return F.when(s.rlike(r"\d"), F.regexp_replace(dated, _NUMBER, "9")).otherwise(linked)
 
 
-def classify(message: Column, low: Column, alone: Column) -> Column:
-    """``field``, ``filler``, ``script`` or ``error``; null if no rule names the message. ``low``: it in lower case; ``alone``: it is its whole line."""
-    by_word = F.when(low.rlike(_TALK), F.lit(None).cast("string")).when(low.rlike(_FILLER), "filler").when(low.rlike(_SCRIPT), "script").when(low.rlike(_ERROR), "error")
+def classify(message: Column, low: Column, words: Column, alone: Column) -> Column:
+    """``field``, ``filler``, ``script`` or ``error``; null if no rule names the message.
+
+    ``low``: it in lower case; ``words``: a phrase rule can match it; ``alone``: it is its whole line.
+    """
+    by_word = F.when(~words | low.rlike(_TALK), F.lit(None).cast("string")).when(low.rlike(_FILLER), "filler").when(low.rlike(_SCRIPT), "script").when(low.rlike(_ERROR), "error")
     named = F.when(message.contains(FIELD) & F.regexp_replace(message, _MENTION, "").contains(FIELD), "field").otherwise(by_word)
-    return F.coalesce(named, F.when(alone & low.rlike(_WEAK), "error"))
+    return F.coalesce(named, F.when(words & alone & low.rlike(_WEAK), "error"))
 
 
 def _steps(sents: Column) -> Column:
@@ -185,20 +190,20 @@ def _steps(sents: Column) -> Column:
     words = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
     x = F.transform(sents, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), F.lower(e["s"]).alias("low")))
     x = F.flatten(F.transform(F.array(x), lambda all_: F.transform(all_, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), e["low"].alias("low"), (F.size(all_) > 1).alias("part")))))
-    x = F.transform(x, lambda e: e.withField("tokens", F.split(words(e["low"]), " ")))
-    x = F.transform(x, lambda e: e.withField("hinted", hinted(e["low"], e["tokens"])).dropFields("tokens"))
-    x = F.transform(x, lambda e: F.struct(e["alone"].alias("alone"), e["part"].alias("part"), F.when(e["hinted"], masked(e["s"])).alias("message"), F.when(~e["hinted"], _numbered(e["low"])).alias("low")))
-    x = F.transform(x, lambda e: e.withField("low", F.coalesce(e["low"], F.lower(e["message"]))))
-    x = F.transform(x, lambda e: e.withField("kind", F.when(e["message"].isNotNull(), classify(e["message"], e["low"], e["alone"]))))
-    x = F.transform(x, lambda e: e.withField("led", F.regexp_replace(e["low"], _LEAD, "")))
-    x = F.transform(x, lambda e: e.withField("bare", words(F.when(e["led"].contains("("), F.regexp_replace(e["led"], _CODE, "")).otherwise(e["led"]))))
-    x = F.transform(x, lambda e: e.withField("key", F.when(e["bare"] == "", words(e["low"])).otherwise(F.regexp_replace(e["bare"], _SUBJECT, "‹thing›"))))
+    x = F.transform(x, lambda e: e.withField("norm", words(e["low"])))
+    x = F.transform(x, lambda e: e.withField("told", _once(F.split(e["norm"], " "), lambda ts: F.struct(worded(ts).alias("words"), F.exists(ts, lambda w: w.isin(*_SPEAKER)).alias("speaker")))))
+    x = F.transform(x, lambda e: e.withField("message", F.when(e["told"]["words"] | e["low"].rlike(_HINT_MARKS), masked(e["s"]))))
+    x = F.transform(x, lambda e: e.withField("text", F.coalesce(F.lower(e["message"]), _numbered(e["low"]))))
+    x = F.transform(x, lambda e: e.withField("kind", F.when(e["message"].isNotNull(), classify(e["message"], e["text"], e["told"]["words"], e["alone"]))).withField("led", F.regexp_replace(e["text"], _LEAD, "")))
+    # most sentences are already bare
+    x = F.transform(x, lambda e: e.withField("bare", F.when(e["led"] == e["low"], e["norm"]).otherwise(words(F.when(e["led"].contains("("), F.regexp_replace(e["led"], _CODE, "")).otherwise(e["led"])))))
+    x = F.transform(x, lambda e: e.withField("key", F.when(e["bare"] == "", words(e["text"])).otherwise(F.regexp_replace(e["bare"], _SUBJECT, "‹thing›"))))
     yes = lambda c: F.coalesce(c, F.lit(False))
     return F.transform(
         x,
         lambda e: F.struct(
-            F.xxhash64(e["key"]).alias("h"), F.crc32(e["key"]).alias("h2"), e["kind"].alias("kind"), yes(F.when(e["message"].isNotNull(), e["low"].rlike(_SIGNED))).alias("signed"),
-            (e["part"] & e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT) & ~yes(F.when(e["message"].isNotNull(), e["low"].rlike(_TALK)))).alias("plain"),
+            F.xxhash64(e["key"]).alias("h"), F.crc32(e["key"]).alias("h2"), e["kind"].alias("kind"), yes(F.when(e["message"].isNotNull(), e["text"].rlike(_SIGNED))).alias("signed"),
+            (e["part"] & ~(e["told"]["speaker"] & e["key"].rlike(_SPOKEN)) & e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT) & ~yes(F.when(e["message"].isNotNull(), e["text"].rlike(_TALK)))).alias("plain"),
             F.coalesce(e["message"], e["key"]).alias("message"),
         ),
     )
