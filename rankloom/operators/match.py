@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rankloom.config import Config
 from rankloom.functions.numbers import half_up, sigmoid, stable, stable_np, z_score
 from rankloom.functions.text import TOKEN, filled, is_negated, tokenize
-from rankloom.session import places_in_groups
+from rankloom.session import materialize, places_in_groups
 
 #: Requirements scored together; more are taken in further blocks.
 REQUIREMENT_BLOCK = 1_000
@@ -273,12 +273,13 @@ def rank_candidates(scores: DataFrame, candidates: DataFrame, cfg: Config, extra
     pool of any size spreads over tasks.
     """
     keys = [*extra, "jd_id"]
+    scores = materialize(scores)
     span = scores.groupBy(*keys).agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
     scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-9, F.lit(0.5)).otherwise((F.col("raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     final = half_up(stable(F.lit(cfg.score_min) + scaled * (cfg.score_max - cfg.score_min)), 1)
     named = scores.join(F.broadcast(span), keys).join(candidates.select("candidate_id", "name"), "candidate_id").withColumn("final_score", final).drop("_lo", "_hi")
     order = [F.col("raw").desc(), F.collate(F.coalesce("name", F.lit("")), "UNICODE"), F.col("candidate_id")]
-    return places_in_groups(named, keys, order, "rank")
+    return places_in_groups(named, keys, order, "rank", kept=True)
 
 
 def setting_scores(raw: DataFrame, requirements: DataFrame, cfg: Config, settings: list[tuple[object, float, str, float]]) -> DataFrame:

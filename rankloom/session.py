@@ -49,12 +49,15 @@ def spread(df: DataFrame) -> DataFrame:
     Only for frames without a shuffle behind them. A large input has splits enough and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df``, a materialised table of narrow rows, marked for broadcast if it has at most ``rows`` rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = 500_000, letters: int = 50_000_000) -> DataFrame:
+    """``df``, a materialised table, marked for broadcast if it has at most ``rows`` rows and ``letters`` bytes in its strings; else as it
+    is, to be shuffled."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    size = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(strings, F.lit(0))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["b"] <= letters else df
 
 
 def latest(df: DataFrame, keys: list[str], columns: list[str], order: str | None = "ingested_at") -> DataFrame:
@@ -69,20 +72,22 @@ def latest(df: DataFrame, keys: list[str], columns: list[str], order: str | None
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
 
 
-def places_in_groups(df: DataFrame, groups: list[str], order: list, name: str) -> DataFrame:
+def places_in_groups(df: DataFrame, groups: list[str], order: list, name: str, kept: bool = False) -> DataFrame:
     """``df`` with the place (from 1) of each row in its group by ``order``, whose last column tells rows of a group apart.
 
-    No group is held by one task, however large: rows are range partitioned by (groups, order) and numbered inside their range, and
-    each range adds the rows that its group has in the ranges before it (one number per range and group). Group columns are not null.
+    No group is held by one task, however large: rows are range partitioned by (groups, order), sorted and numbered as they lie, and
+    each range adds the rows that its group has in the ranges before it (one number per range and group). The numbered rows
+    are not shuffled again. Group columns are not null. The bounds of the ranges are drawn from a pass of their own, so ``df`` is
+    written first unless it is ``kept`` (cheap to read twice).
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # kept first, as the bounds of the ranges are drawn from a pass of their own
-    ranged = materialize(materialize(df).repartitionByRange(n, *[F.col(g) for g in groups], *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range", *groups).agg(F.count(F.lit(1)).alias("_m"))
+    by = [*[F.col(g) for g in groups], *order]
+    lying = (df if kept else materialize(df)).repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    lying = materialize(lying).withColumn("_range", F.shiftright("_id", 33))
+    sizes = lying.groupBy("_range", *groups).agg(F.count(F.lit(1)).alias("_m"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", *groups, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order))
-    return ranged.join(offsets, ["_range", *groups]).withColumn(name, (F.col("_before") + inside).cast("int")).drop("_range", "_before")
+    offsets = sizes.select("_range", *groups, (F.coalesce(F.sum("_m").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return lying.join(offsets, ["_range", *groups]).withColumn(name, (F.col("_id") + F.col("_shift")).cast("int")).drop("_range", "_id", "_shift")
 
 
 def positions(df: DataFrame, column: str, name: str) -> DataFrame:
