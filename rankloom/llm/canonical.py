@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.aliases import edit_distance
 from rankloom.session import bounded_broadcast, materialize
 
 #: Words and numbers that tell level, years or version and not which entry is meant.
@@ -36,25 +37,6 @@ def value_key(value: Column) -> Column:
     return F.trim(v)
 
 
-def osa(a: str, b: str, most: int) -> int:
-    """Edit distance with adjacent swaps; ``most + 1`` if greater than ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    prev2: list[int] = []
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, prev2[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        prev2, prev = prev, row
-    return min(prev[-1], most + 1)
-
-
 def allowed(token: str) -> int:
     return 0 if len(token) < 3 else 1 if len(token) < LONG_LENGTH else 2
 
@@ -78,7 +60,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for t, w in zip(pdf["token"], pdf["word"]):
             most = min(allowed(t) if len(t) >= LONG_LENGTH else max(allowed(t), min(allowed(w), 1)), MAX_EDITS)
-            d = osa(t, w, most)
+            d = edit_distance(t, w, most)
             if d <= most:
                 rows.append((t, w, d))
         yield pd.DataFrame(rows, columns=["token", "word", "edits"])

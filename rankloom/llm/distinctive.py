@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import bounded_broadcast, materialize
+
 K1 = 1.5
 B = 0.75
 #: A term of more than N / HOT_SHARE records is hot. There are at most HOT_SHARE * (mean distinct terms per record) of
-#: them however large the collection is, so their statistics may be broadcast; the others never make a large join group.
+#: them however large the collection is, so their statistics may be broadcast (their size is checked); the others never make a large join group.
 HOT_SHARE = 1_000
 
 
@@ -48,7 +50,7 @@ def term_weights(units: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         .join(F.broadcast(stats), "record_kind")
     )
     is_hot = F.col("df") * HOT_SHARE > F.col("_n")
-    hot = F.broadcast(df.where(is_hot).select("record_kind", "term", F.col("df").alias("_hot"), "_n", "_avgdl"))
+    hot = bounded_broadcast(materialize(df.where(is_hot).select("record_kind", "term", F.col("df").alias("_hot"), "_n", "_avgdl")))
     marked = tf.join(hot, ["record_kind", "term"], "left")
     common = marked.where(F.col("_hot").isNotNull()).select(*keys, "term", "tf", F.col("_hot").alias("df"), "_n", "_avgdl")
     rare = (
