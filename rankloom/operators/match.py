@@ -111,6 +111,16 @@ class _Lexicon:
         return stable_np(out)
 
 
+def _given(vectors: pd.Series, width: int) -> np.ndarray:
+    """Kept vectors as rows of unit length; a missing one, or one of another width, is a zero row."""
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors):
+        if v is not None and len(v) == width:
+            row[:] = v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
 def _best_runner(lexicons: dict[str, _Lexicon], vectors: np.ndarray, keys: list[str], embed: Embedder, trace: int):
     names = np.array(keys, dtype=object)
 
@@ -129,7 +139,7 @@ def _best_runner(lexicons: dict[str, _Lexicon], vectors: np.ndarray, keys: list[
                 a, b = starts[k], ends[j - 1]
                 part = pdf.iloc[a:b]
                 sides = {f: lex.scores(list(part[f])) for f, lex in lexicons.items()}
-                sides["semantic"] = stable_np(embed(list(part["embedded"])) @ vectors.T)
+                sides["semantic"] = stable_np(_given(part["vector"], vectors.shape[1]) @ vectors.T if "vector" in part else embed(list(part["embedded"])) @ vectors.T)
                 pos, ids = part["ev_pos"].to_numpy(), part["evidence_id"].to_numpy()
                 spans = list(zip(starts[k:j] - a, ends[k:j] - a))
                 cols = {"candidate_id": np.repeat(cand[starts[k:j]], len(names)), "req_key": np.tile(names, len(spans))}
@@ -157,7 +167,8 @@ def best_units(
     ``units``: candidate_id, evidence_id, ev_pos, text, embedded, negated and the lexical fields. ``requirements``:
     req_key, text, aliases. Output: candidate_id, req_key and per side (the fields and ``semantic``) a struct (score,
     pos, id); the first unit wins ties, so a candidate whose units all score 0 cites the first. With ``trace`` each
-    side is an array of the best ``trace`` units. Disclaimers count in the corpus statistics but are never matched.
+    side is an array of the best ``trace`` units. If ``units`` have a column ``vector`` (:func:`semantic.cached_embedder`), it is read
+    and only the requirements are embedded. Disclaimers count in the corpus statistics but are never matched.
 
     Plan: statistics of the query terms only are collected (bounded by the requirements' words); units are
     partitioned by candidate (a candidate of very many units over several tasks) and reduced batch by batch, so that
@@ -172,7 +183,7 @@ def best_units(
     each = units.select(F.explode(held).alias("h")).select("h.field", F.explode("h.terms").alias("term"))
     counts = each.join(F.broadcast(terms), "term").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).collect()
     stats = {f: ({r["term"]: r["df"] for r in counts if r["field"] == f}, total["n"], total[f]) for f in fields}
-    usable = units.where(~F.coalesce("negated", F.lit(False))).select("candidate_id", "evidence_id", F.col("ev_pos").cast("int").alias("ev_pos"), "embedded", *fields)
+    usable = units.where(~F.coalesce("negated", F.lit(False))).select("candidate_id", "evidence_id", F.col("ev_pos").cast("int").alias("ev_pos"), "embedded", *fields, *(["vector"] if "vector" in units.columns else []))
     parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.sparkSession.sparkContext.defaultParallelism)
     part_of = F.when(F.col("ev_pos") > 0, F.floor(F.col("ev_pos") / CANDIDATE_UNITS)).otherwise(F.pmod(F.xxhash64("evidence_id"), F.lit(8)))
     usable = usable.repartition(parts, "candidate_id", part_of)

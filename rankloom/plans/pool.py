@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import Config
 from rankloom.operators import match
+from rankloom.operators.evaluate import first_candidates
 from rankloom.session import latest, load, materialize
 
 
@@ -19,20 +20,23 @@ class Pool:
     copy; both are written to the shared folder when first needed.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config | None = None, limit: int | None = None):
+        """``limit``: rank the first so many candidates by id only, for a quick look."""
+        self.limit = limit
         self.spark, self.dir, self.cfg = spark, sf_dir, cfg or Config()
         self._ranked: dict[Config, DataFrame] = {}
 
     @cached_property
     def candidates(self) -> DataFrame:
         c = load(self.spark, self.dir, "candidates")
-        return c.select(F.col("id").alias("candidate_id"), "name", "source_file", "raw_text", "skills_declared", "fit_label")
+        return first_candidates(c.select(F.col("id").alias("candidate_id"), "name", "source_file", "raw_text", "skills_declared", "fit_label"), self.limit)
 
     @cached_property
     def units(self) -> DataFrame:
         """Evidence, one row per id (the latest), as scoring reads it; kept, as every question reads it."""
         columns = ["candidate_id", "section", "text", "normalized", "expanded", "negated"]
-        return materialize(match.prepare_units(latest(load(self.spark, self.dir, "evidence"), ["id"], columns)))
+        units = match.prepare_units(latest(load(self.spark, self.dir, "evidence"), ["id"], columns))
+        return materialize(units if self.limit is None else units.join(self.candidates.select("candidate_id"), "candidate_id", "left_semi"))
 
     @cached_property
     def requirements(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -70,12 +71,67 @@ def docx_text(content: bytes) -> str:
     return repair_run_together("\n\n".join(paragraphs))
 
 
+_PDF_STREAM = re.compile(rb"<<(?P<head>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.S)
+#: A string, an array of strings, or an operator of a content stream.
+_PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
+_PDF_ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+#: A move between strings of an array by more than this (thousandths of the letter size) stands for a blank.
+_PDF_GAP = -200
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        return bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", token[1:-1])) % 2)).decode("cp1252", "replace")
+    plain = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else _PDF_ESCAPE.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return plain.decode("cp1252", "replace")
+
+
+def _pdf_page(content: bytes) -> str:
+    """The shown strings of a content stream; a move to another line is a line end."""
+    out, line, inside, numbers = [], "", False, []
+    for t in _PDF_TOKEN.findall(content):
+        if t[:1] in b"(<":
+            line += _pdf_string(t)
+        elif t in (b"[", b"]"):
+            inside = t == b"["
+        elif re.fullmatch(rb"-?\d*\.?\d+", t):
+            numbers.append(float(t))
+            if inside and numbers[-1] < _PDF_GAP:
+                line += " "
+        else:
+            down = t in (b"T*", b"'", b'"', b"ET", b"Tm") or (t in (b"Td", b"TD") and len(numbers) >= 2 and numbers[-1] != 0)
+            if down and line.strip():
+                out.append(line.strip())
+            line = "" if down else line + (" " if t in (b"Td", b"TD") and line else "")
+            numbers = []
+    return "\n".join([*out, line.strip()] if line.strip() else out)
+
+
+def simple_pdf_text(content: bytes) -> str:
+    """The text of a PDF whose streams are plain or deflated and whose fonts have single-byte codes; an error if none is found."""
+    pages = []
+    for m in _PDF_STREAM.finditer(content):
+        body = m["body"]
+        if b"/FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m["head"]:
+            continue
+        if re.search(rb"\bBT\b.*?\bE?T[jJ]?\b", body, re.S):
+            pages.append(_pdf_page(body))
+    if not any(p.strip() for p in pages):
+        raise ValueError("no text that can be read in this PDF")
+    return "\n".join(pages)
+
+
 def pdf_text(content: bytes) -> str:
-    """The text of a PDF by whichever reader is installed; none is an error of the row."""
+    """The text of a PDF by an installed reader, else by :func:`simple_pdf_text`; page furniture is left out."""
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("no PDF reader installed") from e
+    except ImportError:
+        return strip_furniture(simple_pdf_text(content))
     return strip_furniture("\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages))
 
 

@@ -2,6 +2,10 @@ import io
 import json
 import zipfile
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from rankloom.config import Config
 from rankloom.operators.audit import institution_spread, verdict
 from rankloom.operators.split import split_documents
@@ -95,3 +99,81 @@ def test_pool_is_made_anew_when_a_table_changes(spark, tmp_path):
     assert pool(spark, str(tmp_path)) is first and rows(first.candidates, "name") == [("Zoe Lee",)]
     write(["Ann Oak", "Bob Elm"])
     assert rows(pool(spark, str(tmp_path)).candidates, "name") == [("Ann Oak",), ("Bob Elm",)]
+
+
+def _pdf(streams, deflate):
+    """A small document with one content stream per page."""
+    import zlib
+
+    out = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"
+    for k, s in enumerate(streams, 3):
+        body = zlib.compress(s) if deflate else s
+        out += b"%d 0 obj\n<< /Length %d %s>>\nstream\n%s\nendstream\nendobj\n" % (k, len(body), b"/Filter /FlateDecode " if deflate else b"", body)
+    return out + b"%%EOF"
+
+
+def test_simple_pdf():
+    page = b"BT /F1 12 Tf 72 720 Td (Asha Rao) Tj 0 -14 Td (asha@x.co \\(home\\)) Tj T* [(Py) 20 (thon) -300 (and) -250 <476F>] TJ 0 -14 Td (caf\\351 \\\\ \\101) Tj ET"
+    for deflate in (False, True):
+        got = D.simple_pdf_text(_pdf([page, b"BT (Page 2) Tj ET", b"BT 1 0 0 1 0 0 Tm (Skills) Tj 30 0 Td (Go) Tj ET"], deflate))
+        assert got == "Asha Rao\nasha@x.co (home)\nPython and Go\ncafé \\ A\nPage 2\nSkills Go"
+        assert "Page 2" not in D.pdf_text(_pdf([page, b"BT (Page 2) Tj ET"], deflate))  # furniture
+    for bad in (b"not a pdf", _pdf([b"0 0 m 10 10 l S"], True), b"%PDF stream\n" + b"(" * 20_000):
+        assert D.read_any(bad, "pdf")[1] is False
+
+
+def test_given_vectors_are_read(spark):
+    from rankloom.config import Config
+    from rankloom.operators import match, semantic
+    from tests.test_truth import meanings
+
+    ev = [("a::ev_001", "a", "x", "Kept a Node service running"), ("a::ev_002", "a", "x", "Sang in a choir"), ("b::ev_001", "b", "x", "Answered requests on the backend server")]
+    units = match.prepare_units(spark.createDataFrame([(*e, e[3].lower(), None, False) for e in ev], "id string, candidate_id string, section string, text string, normalized string, expanded string, negated boolean"))
+    reqs = spark.createDataFrame([("j", "r", 1, "Node", "MUST", [], 1.0)], "jd_id string, req_key string, req_pos int, text string, kind string, aliases array<string>, weight double")
+    misses = semantic.cache_misses(units, "embedded", spark.createDataFrame([], "key string, vector array<float>"), "m")
+    kept = semantic.cached_embedder(semantic.embed_texts(misses, meanings), units, "embedded", "m")
+    one = {r["candidate_id"]: (round(r["semantic"]["score"], 5), r["semantic"]["id"]) for r in match.best_units(kept, reqs, Config(), embed=meanings).collect()}
+    two = {r["candidate_id"]: (round(r["semantic"]["score"], 5), r["semantic"]["id"]) for r in match.best_units(units, reqs, Config(), embed=meanings).collect()}
+    assert one == two and one["b"][0] > 0.9
+    lost = match.best_units(kept.withColumn("vector", F.when(F.col("candidate_id") == "a", F.col("vector"))), reqs, Config(), embed=meanings)
+    assert {r["candidate_id"]: r["semantic"]["score"] for r in lost.collect()}["b"] == 0.0
+
+
+def test_a_limited_pool(spark):
+    from rankloom.plans.pool import Pool
+
+    p = Pool(spark, "/root/testdata/sf0.001", limit=5)
+    assert p.candidates.count() == 5 and p.ranked().where("rank <= 5").select("candidate_id").distinct().count() == 5
+
+
+def test_cache_is_never_written_over(spark, tmp_path):
+    import pytest as pt
+    from rankloom.operators import semantic
+
+    path = str(tmp_path / "cache")
+    embed = lambda ts: np.ones((len(ts), 4))
+    texts = spark.createDataFrame([("a",), ("b",), (None,)], "t string")
+    assert semantic.update_cache(texts, "t", path, "m", embed).count() == 2
+    assert semantic.update_cache(texts.unionAll(spark.createDataFrame([("c",)], "t string")), "t", path, "m", embed).count() == 3
+    part = next((tmp_path / "cache").glob("*.parquet"))
+    part.write_bytes(b"broken")
+    (tmp_path / "cache" / f".{part.name}.crc").unlink(missing_ok=True)
+    before = sorted(x.name for x in (tmp_path / "cache").iterdir())
+    with pytest.raises(Exception):  # noqa: B017
+        semantic.update_cache(spark.createDataFrame([("d",)], "t string"), "t", path, "m", embed)
+    assert set(before) - {x.name for x in (tmp_path / "cache").iterdir()} == set()
+
+
+def test_ablations_of_other_briefs_stay(spark, tmp_path):
+    path = str(tmp_path / "ab")
+    one = spark.createDataFrame([("c1", 1)], "candidate_id string, hybrid_rank int")
+    D.write_ablation(one, path, "k1")
+    D.write_ablation(one, path, "k2")
+    D.write_ablation(one.unionAll(one), path, "k2")
+    assert D.read_ablation(spark, path, "k1").count() == 1 and D.read_ablation(spark, path, "k2").count() == 2
+
+
+def test_briefs_without_an_id_are_left_out(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "a", "title": "T", "requirements": [{"id": "r", "text": "x"}]}')
+    (tmp_path / "b.json").write_text('{"title": "T", "requirements": [{"id": "r", "text": "x"}]}')
+    assert [r["id"] for r in D.read_briefs(spark, str(tmp_path)).collect()] == ["a"]
