@@ -229,9 +229,10 @@ def _residual(sets: DataFrame, t: float) -> DataFrame:
 def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(number, id, hs)`` of one record per distinct set (the smallest id) and the membership ``(id, rep)``.
 
-    Sets are told apart by a digest; only digests and ids are shuffled, and the sets of the chosen records are read again.
+    Sets are told apart by two 64-bit hashes and their size; only digests and ids are shuffled, and the sets of the chosen records are read again.
     """
-    marked = materialize(sets.withColumn("digest", F.md5(F.concat_ws(",", F.col("hs").cast("array<string>")))))
+    digest = F.concat(F.hex(F.xxhash64("hs")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "hs")), F.lit("-"), F.size("hs").cast("string"))
+    marked = materialize(sets.withColumn("digest", digest))
     reps = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     shared = reps.where("copies > 1").select("digest", "rep")
     alone = marked.join(bounded_broadcast(shared), "digest", "left")
