@@ -15,8 +15,10 @@ from rankloom.session import bounded_broadcast, materialize
 #: Words and numbers that tell level, years or version and not which entry is meant.
 _LEVEL = (
     r"(?:^|(?<=[\s(,-]))(?:(?:good |basic |some |solid |strong )?(?:working )?knowledge of|(?:certified|experienced|proficient|fluent|skilled|expert) in|experience (?:with|in)|familiar with|"
+    r"(?:gute |sehr gute )?(?:grund)?kenntnisse in|erfahrung (?:mit|in)|(?:buenos )?conocimientos? de|experiencia (?:con|en)|(?:bonnes )?connaissances? (?:de|en)|maîtrise de|exp[ée]rience (?:en|avec)|"
+    r"grundkenntnisse|fortgeschritten|anfänger|sehr gut|b[áa]sico|intermedio|avanzado|experto|d[ée]butant|interm[ée]diaire|avanc[ée]|confirm[ée]|courant|"
     r"basics? of|basic|basics|beginner|elementary|intermediate|advanced|adv\.?|expert|proficient|certified|senior|junior|v(?:er(?:sion)?)?\.? ?\d+(?:\.\d+)*|"
-    r"\d+(?:\.\d+)? ?\+? ?(?:years?|yrs?|y)\.?(?: (?:of )?experience)?|\d+(?:\.\d+)+|\d+\+?)(?=$|[\s),;-])"
+    r"\d+(?:\.\d+)? ?\+? ?(?:years?|yrs?|y|jahre?n?|años?|ans?)\.?(?: (?:of )?experience)?|\d+(?:\.\d+)+|\d+\+?)(?=$|[\s),;-])"
 )
 #: Edits allowed in a token: none up to EXACT_LENGTH letters alone in a value, one below LONG_LENGTH, else two.
 EXACT_LENGTH = 3

@@ -182,7 +182,7 @@ def mapped(spark, values):
 
 def test_spellings(spark):
     want = {
-        "Python": 1, "PYHTON": 1, "pythons": 1, "* py3": 1, "working knowledge of python": 1, "python 3.10": 1, "python (5+ years)": 1, "pythn - intermediate": 1,
+        "Python": 1, "PYHTON": 1, "pythons": 1, "* py3": 1, "working knowledge of python": 1, "python 3.10": 1, "python (5+ years)": 1, "Grundkenntnisse in Python": 1, "python, 5 Jahre": 1, "conocimientos de python": 1, "Python (avancé)": 1, "expérience avec python 3 ans": 1, "pythn - intermediate": 1,
         "balancing, load": 2, "load_balancing": 2, "loadbalancing": 2, "lod balancin": 2, "adv. LB tuning": 2, "load & balancing.": 2,
         "C++": 3, "cpp": 3, "c#": 0, "c": 0, "A/B Testing, 4 yrs": 4, "a b tesitng": 4, "scala": 5, "scalar fields": 0, "Pythons And Boas": 0, "load carrying": 0,
         "wbe accessibility": 6, "search engine optimization": 7, "seo": 7, "sea": 0, "advanced": 0, "!!": 0, "python load balancing": 0, "web": 0,
