@@ -13,6 +13,14 @@ from rankloom.session import latest, load, materialize
 
 #: The limit of loss-bearing tokens of the packing in which it binds.
 LOSS_LIMIT = 1536
+#: Other ways to write an at-sign.
+_OTHER_AT = r"＠|[(\[{] *at *[)\]}]|\bat\b[^\n]*\bdot\b"
+#: Messages that are residue wherever they are a sentence of their own.
+_KNOWN = (
+    r"(?i)(^|\n|[.!?] )(- )?(404 Not Found|Access denied|Bad gateway|Page not found|Your session has expired|Too many requests|Body copy goes here|Heading goes here|Your text here|"
+    r"JavaScript seems to be turned off|If nothing happens, allow scripts for this page|Please enable JavaScript to view this job posting|This site needs scripts to run|Our engineers have been told|"
+    r"Seite nicht gefunden|P[áa]gina no encontrada|We are down for planned maintenance|Please go back and try again|Unsupported or damaged file)\.( |\n|$)"
+)
 RUN_SCORES = ["fused", "final_score", "lexical_total", "semantic_mean", "weight_met"]
 
 
@@ -51,6 +59,12 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_personal_texts(spark, d).distinct(), given, family, rest=rest)
 
 
+def p1_mails(spark: SparkSession, d: str) -> DataFrame:
+    """The e-mails found in texts with one plain at-sign between letters or digits."""
+    plain = _personal_texts(spark, d).where(F.col("text").rlike("[A-Za-z0-9]@[A-Za-z0-9]") & (F.length("text") - F.length(F.replace("text", F.lit("@"), F.lit(""))) == 1) & ~F.lower("text").rlike(_OTHER_AT))
+    return p1_found(spark, d).where("pii_type = 'EMAIL'").join(plain.select("field", "record_id").distinct(), ["field", "record_id"], "left_semi").select("field", "record_id", "start_pos")
+
+
 def p2_weights(spark: SparkSession, d: str) -> DataFrame:
     """Every term of every record with its relevance weight, rounded."""
     w = distinctive.term_weights(_term_units(spark, d))
@@ -205,6 +219,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(load(spark, d, "documents"), "doc_id", "text", "source", ("doc_type", "lang")).select("doc_id").distinct()
 
 
+def p10_known(spark: SparkSession, d: str) -> DataFrame:
+    """The found documents that have one of a few fixed messages as a sentence of its own."""
+    said = load(spark, d, "documents").where(F.col("text").rlike(_KNOWN)).select("doc_id").distinct()
+    return p10_found(spark, d).join(said, "doc_id", "left_semi")
+
+
 def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     """The residue messages of the corpus, with their kind and spread."""
     return residue.residue_messages(load(spark, d, "documents"), "doc_id", "text", "source", ("doc_type", "lang"))
@@ -268,6 +288,13 @@ g AS (SELECT id, min(id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTIT
 """
 
 SQL: dict[str, str] = {
+    "p1_mails": f"""
+WITH t AS (
+  SELECT 'candidates.raw_text' AS field, id AS record_id, raw_text AS text FROM candidates UNION SELECT 'candidates.name', id, name FROM candidates UNION SELECT 'evidence.text', id, text FROM evidence),
+m AS (SELECT *, regexp_extract(text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.+%-]*@[A-Za-z0-9][A-Za-z0-9_-]*([.][A-Za-z][A-Za-z0-9_-]*)+') AS mail FROM t
+      WHERE regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9]') AND len(text) - len(replace(text, '@', '')) = 1 AND NOT regexp_matches(lower(text), '{_OTHER_AT}'))
+SELECT field, record_id, CAST(strpos(text, mail) AS INTEGER) AS start_pos FROM m WHERE mail <> ''""",
+    "p10_known": f"SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '{_KNOWN}')",
     "p2_weights": _P2_UNITS
     + """SELECT record_kind, record_id, term, tf, df, CAST(dl AS BIGINT) AS dl,
     round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS weight
@@ -302,5 +329,5 @@ SELECT id, r AS rep, copies, coalesce(links, 0) AS links FROM m LEFT JOIN k USIN
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p6_found, p6_exact, p6_unmatched, p8_windows, p8_fill, p8_loss_windows, p8_kept, p9_mixture, p9_shares, p9_kept, p10_found, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p4_pairs, p4_members, p5_found, p5_groups)
+    f.__name__: f for f in (p1_found, p1_mails, p1_redacted, p6_found, p6_exact, p6_unmatched, p8_windows, p8_fill, p8_loss_windows, p8_kept, p9_mixture, p9_shares, p9_kept, p10_found, p10_known, p10_messages, p10_clean, p2_found, p2_weights, p3_found, p3_fused, p4_found, p4_pairs, p4_members, p5_found, p5_groups)
 }
