@@ -465,7 +465,7 @@ def _runner(weights: dict, given: frozenset, family: frozenset, redact: bool):
     def values(pdf: pd.DataFrame) -> Iterator[list]:
         none = [None] * len(pdf)
         for f, x, g, n in zip(pdf["field"], pdf["text"], pdf.get("rest_given", none), pdf.get("rest_family", none)):
-            yield find(x, weights, known(x, given, g), known(x, family, n), f.endswith(".name"))
+            yield find(x, weights, known(x, given, g), known(x, family, n), (f or "").endswith(".name"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -23,6 +23,8 @@ MOST_BOUND = 0.4
 #: A group whose messages bear an apology or a code, in at least this share of its documents, needs fewer documents and two sources.
 SIGNED_SHARE = 0.05
 SIGNED_DOCS = 3
+#: Lines of a document that are worked on together; a longer document is taken in blocks.
+BLOCK_LINES = 2_000
 FIELD = "⟦field⟧"
 
 _FIELD_WORDS = (
@@ -180,16 +182,15 @@ def classify(message: Column, low: Column, words: Column, alone: Column) -> Colu
     return F.coalesce(named, F.when(words & alone & low.rlike(_WEAK), "error"))
 
 
-def _steps(sents: Column) -> Column:
+def _steps(sents: Column, part: Column) -> Column:
     """The array of ``(s, alone)`` taken step by step to ``(h, h2, kind, signed, plain, message)``.
 
-    ``plain``: several words, no report, and not all that its document says.
+    ``plain``: several words, no report, and not all that its document says (``part``).
 
     Each step is a pass over the array, so that its result is worked out once and not again wherever it is used.
     """
     words = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
     x = F.transform(sents, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), F.lower(e["s"]).alias("low")))
-    x = F.flatten(F.transform(F.array(x), lambda all_: F.transform(all_, lambda e: F.struct(e["s"].alias("s"), e["alone"].alias("alone"), e["low"].alias("low"), (F.size(all_) > 1).alias("part")))))
     x = F.transform(x, lambda e: e.withField("norm", words(e["low"])))
     x = F.transform(x, lambda e: e.withField("told", _once(F.split(e["norm"], " "), lambda ts: F.struct(worded(ts).alias("words"), F.exists(ts, lambda w: w.isin(*_SPEAKER)).alias("speaker")))))
     x = F.transform(x, lambda e: e.withField("message", F.when(e["told"]["words"] | e["low"].rlike(_HINT_MARKS), masked(e["s"]))))
@@ -203,7 +204,7 @@ def _steps(sents: Column) -> Column:
         x,
         lambda e: F.struct(
             F.xxhash64(e["key"]).alias("h"), F.crc32(e["key"]).alias("h2"), e["kind"].alias("kind"), yes(F.when(e["message"].isNotNull(), e["text"].rlike(_SIGNED))).alias("signed"),
-            (e["part"] & ~(e["told"]["speaker"] & e["key"].rlike(_SPOKEN)) & e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT) & ~yes(F.when(e["message"].isNotNull(), e["text"].rlike(_TALK)))).alias("plain"),
+            (part & ~(e["told"]["speaker"] & e["key"].rlike(_SPOKEN)) & e["key"].rlike(_WORDY) & ~e["key"].rlike(_REPORT) & ~yes(F.when(e["message"].isNotNull(), e["text"].rlike(_TALK)))).alias("plain"),
             F.coalesce(e["message"], e["key"]).alias("message"),
         ),
     )
@@ -212,11 +213,15 @@ def _steps(sents: Column) -> Column:
 def _sentences(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, str], with_text: bool) -> DataFrame:
     """One row per sentence of each document: its hashes, its kind by rule, and the document's dimensions."""
     lines = F.filter(F.split(text_col, r"\n+"), lambda x: x != "")
-    parted = F.transform(lines, lambda x: F.struct(sentences(x).alias("ss")))
-    flat = F.flatten(F.transform(parted, lambda p: F.transform(p["ss"], lambda s: F.struct(s.alias("s"), (F.size(p["ss"]) == 1).alias("alone")))))
-    every = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), *[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")).alias(k) for k, c in dims.items()], F.inline(_steps(flat))
+    whole = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), *[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")).alias(k) for k, c in dims.items()], lines.alias("lines")
     )
+    part = (F.size("lines") > 1) | (F.size(sentences(F.get("lines", F.lit(0)))) > 1)
+    last = F.greatest(F.ceil(F.size("lines") / BLOCK_LINES).cast("int") - 1, F.lit(0))
+    blocks = whole.select("doc_id", *dims, "lines", part.alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    parted = F.transform(F.slice("lines", F.col("block") * BLOCK_LINES + 1, BLOCK_LINES), lambda x: F.struct(sentences(x).alias("ss")))
+    flat = F.flatten(F.transform(parted, lambda p: F.transform(p["ss"], lambda s: F.struct(s.alias("s"), (F.size(p["ss"]) == 1).alias("alone")))))
+    every = blocks.select("doc_id", *dims, F.inline(_steps(flat, F.col("part"))))
     return every if with_text else every.drop("message")
 
 
@@ -277,7 +282,7 @@ def residue_documents(docs: DataFrame, id_col: str, text_col: str, source_col: s
     dimension is a value of its own, but a null source is no source; repeated rows count once; sentences of any length are
     read; other columns are ignored; an empty table gives an empty result.
 
-    Plan: splitting, masking, rules and keys stay in the JVM and run once, as passes over one array a document. Rows of
+    Plan: splitting, masking, rules and keys stay in the JVM and run once, as passes over one array a block of lines. Rows of
     hashes, without text, are written to the shared folder and shuffled once by hash, dimensions and document with partial
     aggregation, then once by hash as counts; the residue groups join back by broadcast if they are few.
     """
