@@ -53,7 +53,9 @@ _STREET = (
     r"grove|gardens|mews|walk|quay|parade)\b\.?"
 )
 _UNIT = rf"(?:(?:apt|apartment|flat|unit|suite|room|no|plot|door)\b\.?{_S}*\d+[A-Z]?{_S}*,?{_S}*)"
-_UPPER = r"(?-i:[A-ZÀ-ÖØ-Þ])"
+#: A letter that is no small Latin one: every capital, in any script.
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿ]"
+_UPPER = rf"(?-i:{_CAPITAL})"
 #: After a street: a comma and a postal code and town, or a town, which starts with a capital or ends its part of the line.
 _TAIL = (
     rf"(?:{_S}*,{_S}*\d{{4,6}}{_S}+[^\W\d_]\w*(?:{_S}+{_UPPER}[^\W\d_]+)?"
@@ -80,9 +82,9 @@ _ADDRESS_WORDS = frozenset(
     quay parade house layout nagar colony enclave extension rue chemin impasse box postfach postbox apartado calle c avenida avda paseo plaza via viale piazza corso rua ulica ul""".split()
 )
 _ADDRESS_ENDS = ("weg", "straße", "strasse", "gasse", "allee", "platz", "markt", "damm", "ufer", "chaussee", "steig")
-_ADDRESS_CODE = re.compile(r",\s*\d{4,6}\s+[A-ZÀ-ÖØ-Þ]")
+_ADDRESS_CODE = re.compile(rf",\s*\d{{4,6}}\s+{_CAPITAL}")
 #: Two words that may be a name: both with a capital, the first perhaps an initial.
-_CAP_PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_'’]*['’\w]*\.?,?\s+(?:[A-ZÀ-ÖØ-Þ]\.\s+)?[A-ZÀ-ÖØ-Þ]")
+_CAP_PAIR = re.compile(rf"{_CAPITAL}(?:[^\W\d_]|['’])*\.?,?\s+(?:[^\W\d_]\.\s+)?{_CAPITAL}")
 _SOME_DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d(?:[^\S\n]*[().-]{0,2}[^\S\n]*\d){5}|[A-Za-z]{1,5}[-.]?\d[\d.-]{3}", re.ASCII)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")

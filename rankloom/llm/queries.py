@@ -36,9 +36,11 @@ def _term_units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
+def _personal_texts(spark: SparkSession, d: str, once: bool = False) -> DataFrame:
+    """The three fields; ``once``: repeated rows of evidence taken out (candidates have none), which shuffles its texts."""
     candidates = load(spark, d, "candidates")
     evidence = load(spark, d, "evidence")
+    evidence = latest(evidence, ["id"], ["text"]) if once else evidence
     columns = lambda df, field, text: df.select(F.lit(field).alias("field"), F.col("id").alias("record_id"), F.col(text).alias("text"))
     return (
         columns(candidates, "candidates.raw_text", "raw_text")
@@ -56,7 +58,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """All texts with each personal value replaced by its type."""
     given, family, rest = pii.name_lookup(load(spark, d, "candidates"), "name")
-    return pii.redacted(_personal_texts(spark, d).distinct(), given, family, rest=rest)
+    return pii.redacted(_personal_texts(spark, d, once=True), given, family, rest=rest)
 
 
 def p1_mails(spark: SparkSession, d: str) -> DataFrame:
