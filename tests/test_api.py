@@ -55,3 +55,21 @@ def test_reports(engine):
     assert "hybrid_rank" in report.ablation(engine.ablation()) and "1 flag(s)" in report.bias("a rockstar")
     quality = parse_report(engine.candidates.selectExpr("*", "array('python') AS known"), engine.units, "candidate_id", "raw_text", "known")
     assert "3 documents" in report.parse_quality(quality)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from rankloom.__main__ import main
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.txt").write_text("Zoe Lee\nSKILLS\n- Python, Docker\nEXPERIENCE\n- Built a billing service in Python for a clinic")
+    (folder / "b.txt").write_text("Ann Oak\nSKILLS\n- Painting, Fences. No Python experience.\nEXPERIENCE\n- Painted fences and walls for the town")
+    brief = tmp_path / "brief.txt"
+    brief.write_text("Backend Engineer at Acme\nRequirements\n- Python and Docker\nA rockstar")
+    said = {}
+    for command in (["quality", str(folder)], ["rank", str(folder), str(brief), "--mode", "lexical_only"], ["ablation", str(folder), str(brief)], ["ask", str(folder), str(brief), "who knows docker?"], ["bias", str(brief)],
+                    ["tune", "/root/testdata/sf0.001", "--limit", "12", "--rows", "2"], ["validate", "/root/testdata/sf0.001", "--limit", "12", "--rows", "3"]):
+        main(command)
+        said[command[0]] = capsys.readouterr().out
+    assert "2 documents" in said["quality"] and said["rank"].startswith("#1  Zoe Lee") and "MISSING (required)" in said["rank"] and "hybrid_rank" in said["ablation"]
+    assert "1 candidate(s)" in said["ask"] and "1 flag(s)" in said["bias"] and "best by brief" in said["tune"] and "precision_top" in said["validate"] and said["validate"].count("\n") == 5
