@@ -34,13 +34,14 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_word
     """``(id, hs)`` of each record with at least ``min_words`` words; ``hs`` is its sorted set of shingle hashes."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     w = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("w"))
-    w = w.where(F.size("w") >= max(min_words, width))
+    # a word is hashed once, a shingle from the hashes of its words
+    w = w.where(F.size("w") >= max(min_words, width)).select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
 
     def run(i: Column) -> Column:
         return F.xxhash64(*[F.element_at("w", i + k) for k in range(width)])
 
     hs = F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), run)
-    return w.select("id", F.array_sort(F.array_distinct(hs)).alias("hs"))
+    return w.select("id", F.sort_array(F.array_distinct(hs)).alias("hs"))
 
 
 def band_ratio(t: float) -> float:
