@@ -27,6 +27,8 @@ from rankloom.session import bounded_broadcast, materialize
 LEAST_WEIGHT = 4
 #: Sets of at most this many shingles are keyed by single elements.
 SHORT = 40
+#: Elements worked on together in a task.
+BLOCK_ELEMENTS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,7 +166,7 @@ def _part(mask: np.ndarray, rec: np.ndarray, h: np.ndarray, d: np.ndarray):
 
 
 def _emit(t: float, index: bool):
-    """Rows (key, id, n[, w]) of a batch of sets, about a million elements at a time."""
+    """Rows (key, id, n[, w]) of a batch of sets, so many at a time that they have about BLOCK_ELEMENTS elements."""
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
         n, size, rec, h, d = _flat(pdf)
@@ -204,8 +206,10 @@ def _emit(t: float, index: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k in range(0, len(pdf), 2_000):
-                yield some(pdf.iloc[k : k + 2_000])
+            block = (pdf["hs"].map(len).cumsum() // BLOCK_ELEMENTS).to_numpy()
+            for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(block)) + 1):
+                if len(at):
+                    yield some(pdf.iloc[at])
 
     return run
 
