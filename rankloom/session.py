@@ -77,7 +77,7 @@ def places_in_groups(df: DataFrame, groups: list[str], order: list, name: str, k
 
     No group is held by one task, however large: rows are range partitioned by (groups, order), sorted and numbered as they lie, and
     each range adds the rows that its group has in the ranges before it (one number per range and group). The numbered rows
-    are not shuffled again. Group columns are not null. The bounds of the ranges are drawn from a pass of their own, so ``df`` is
+    are not shuffled again. Nulls of a group column are a group. The bounds of the ranges are drawn from a pass of their own, so ``df`` is
     written first unless it is ``kept`` (cheap to read twice).
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -86,8 +86,13 @@ def places_in_groups(df: DataFrame, groups: list[str], order: list, name: str, k
     lying = materialize(lying).withColumn("_range", F.shiftright("_id", 33))
     sizes = lying.groupBy("_range", *groups).agg(F.count(F.lit(1)).alias("_m"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", *groups, (F.coalesce(F.sum("_m").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return lying.join(offsets, ["_range", *groups]).withColumn(name, (F.col("_id") + F.col("_shift")).cast("int")).drop("_range", "_id", "_shift")
+    shift = (F.coalesce(F.sum("_m").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")
+    offsets = sizes.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], shift)
+    same = F.col("_range") == F.col("_r")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    numbered = lying.join(offsets, same).withColumn(name, (F.col("_id") + F.col("_shift")).cast("int"))
+    return numbered.drop("_range", "_id", "_shift", "_r", *[f"_g{k}" for k in range(len(groups))])
 
 
 def positions(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -169,3 +169,15 @@ def test_an_institution_moves_nobody(spark):
     got = audit.institution_spread(cands, brief, CFG)
     assert {(r["candidate_id"], r["spread"], r["moved"], r["swapped"]) for r in got.collect()} == {("a", 0.0, False, True), ("b", 0.0, False, True), ("c", 0.0, False, False)}
     assert tuple(audit.verdict(got).select("tested", "moved", "tier_blind").first()) == (2, 0, True)
+
+
+def test_places_in_groups(spark):
+    from rankloom.session import places_in_groups, positions
+
+    data = [("big" if k % 3 else None if k % 2 else "small", k % 7, k) for k in range(500)]
+    df = spark.createDataFrame(data, "g string, v int, k int")
+    got = {r["k"]: r["place"] for r in places_in_groups(df, ["g"], [F.col("v").desc(), F.col("k")], "place").collect()}
+    for g in ("big", "small", None):
+        own = sorted((-v, k) for x, v, k in data if x == g)
+        assert [got[k] for _, k in own] == list(range(1, len(own) + 1))
+    assert sorted(r["p"] for r in positions(df, "k", "p").collect()) == list(range(1, 501)) and places_in_groups(df.limit(0), ["g"], [F.col("k")], "place").count() == 0
