@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import bounded_broadcast, materialize
+from rankloom.session import bounded_broadcast, materialize, spread
 
 #: Documents that a group needs before its spread says anything.
 LEAST_DOCS = 8
@@ -212,10 +212,10 @@ def _steps(sents: Column, part: Column) -> Column:
 
 def _sentences(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, str], with_text: bool) -> DataFrame:
     """One row per sentence of each document: its hashes, its kind by rule, and the document's dimensions."""
-    lines = F.filter(F.split(text_col, r"\n+"), lambda x: x != "")
-    whole = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), *[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")).alias(k) for k, c in dims.items()], lines.alias("lines")
+    named = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), *[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")).alias(k) for k, c in dims.items()], F.col(text_col).alias("_text")
     )
+    whole = spread(named).select("doc_id", *dims, F.filter(F.split("_text", r"\n+"), lambda x: x != "").alias("lines"))
     part = (F.size("lines") > 1) | (F.size(sentences(F.get("lines", F.lit(0)))) > 1)
     last = F.greatest(F.ceil(F.size("lines") / BLOCK_LINES).cast("int") - 1, F.lit(0))
     blocks = whole.select("doc_id", *dims, "lines", part.alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("block"))
