@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a scale-factor directory (a file or a folder of files)."""
@@ -29,18 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The files outlive a lost executor; they are deleted when the driver's JVM ends.
+    The files outlive a lost executor; they are deleted when the driver's JVM ends, or by ``discard``. If ``tidy``, the shuffle files of the
+    write are deleted as soon as it ends, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     target = f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(target)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true" if tidy else before)
+    try:
+        df.write.mode("error").parquet(target)
+    finally:
+        spark.conf.set(_TIDY, before)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(target)
+    kept = spark.read.schema(df.schema).parquet(target)
+    kept.kept_at = target
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` gave and that nothing reads any more."""
+    path = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

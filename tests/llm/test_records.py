@@ -3,11 +3,13 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from rankloom import session
 from rankloom.llm import canonical, distinctive, formatdup, fusion, neardup
 from tests.conftest import rows
 
@@ -144,6 +146,49 @@ def test_many_short_texts(spark):
     assert len(emitted) == 2 * (18 - 11 + 1) and emitted["key"].is_unique
 
 
+def test_passes_find_all_on_little_disk(spark, tmp_path, monkeypatch):
+    """Texts of shared sentences, in several passes: all pairs, and never more on disk than four times the texts, shuffle files included."""
+    r = random.Random(5)
+    words = [f"word{k}" for k in range(2_000)]
+    pool = [[r.choice(words) for _ in range(10)] for _ in range(400)]
+    base = [[w for x in r.sample(pool, r.randrange(5, 30)) for w in x] for _ in range(700)]
+    docs = []
+    for k in range(1_000):
+        t = list(base[k] if k < 700 else r.choice(base))
+        for _ in range(len(t) // r.choice([8, 16, 40])):
+            t[r.randrange(len(t))] = r.choice(words)
+        docs.append((f"d{k:04d}", " ".join(t)))
+    path = str(tmp_path / "in")
+    spark.createDataFrame(docs, "id string, body string").coalesce(1).write.parquet(path)
+    size = lambda at: sum(x.stat().st_size for x in at.rglob("*.parquet"))
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        each = files.getAllFiles()
+        return {x.getName(): x.length() for x in (each.apply(i) for i in range(each.size())) if x.getName().startswith("shuffle_")}
+
+    kept, used, old = neardup.materialize, [], shuffled()
+
+    def watched(df, *args, **more):
+        out = kept(df, *args, **more)
+        deadline = time.time() + 5  # files are deleted in the background
+        while (own := sum(v for k, v in shuffled().items() if k not in old)) > 50_000 and time.time() < deadline:
+            time.sleep(0.1)
+        used.append(own + size(tmp_path / "shared"))
+        return out
+
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "shared"))
+    monkeypatch.setattr(neardup, "materialize", watched)
+    for name, value in (("KEYS_A_PASS", 15_000), ("PAIRS_A_PASS", 100)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    pairs, members = neardup.near_duplicates(spark.read.parquet(path), "id", "body", 3, 0.6)
+    got = set(map(tuple, neardup.expand_pairs(pairs, members).collect()))
+    sets = {i: shingle_set(t, 3) for i, t in docs}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])} and len(got) > 100
+    assert max(used) <= 4 * size(tmp_path / "in"), [x / size(tmp_path / "in") for x in used]
+
+
 # --- copies in other typing
 
 
