@@ -67,6 +67,15 @@ def reverse() -> dict[str, tuple[str, ...]]:
     return {p: tuple(table[p]) for p in order}
 
 
+@lru_cache(maxsize=1)
+def _phrases_by_word() -> dict[str, list[tuple[int, str, tuple[str, ...]]]]:
+    """The dictionary's places, phrases and terms by the phrases' first words."""
+    out: dict[str, list] = {}
+    for k, (p, canonicals) in enumerate(reverse().items()):
+        out.setdefault(p.split()[0], []).append((k, p, canonicals))
+    return out
+
+
 def _literal_pairs() -> Column:
     """The dictionary as a constant array: the phrase between blanks and the terms it implies."""
     return F.array(*[F.struct(F.lit(f" {p} ").alias("p"), F.array(*[F.lit(c) for c in cs]).alias("c")) for p, cs in reverse().items()])
@@ -138,15 +147,21 @@ def fuzzy_alias(token: str) -> str | None:
 
 def expand_py(text: str | None) -> str:
     """Expansion with typo repair, for the splitter."""
-    base = normalize_py(text)
+    return expand_normalized(normalize_py(text))
+
+
+def expand_normalized(base: str) -> str:
+    """The same of a text that is normalised already."""
     padded, slashed = f" {base} ", f" {base.replace('/', ' ')} "
     found: dict[str, None] = {}
-    for p, canonicals in reverse().items():
+    words, phrases = slashed.split(), _phrases_by_word()
+    # a phrase is looked for only where its first word stands
+    for _, p, canonicals in sorted({x for w in {*words, *base.split()} if w in phrases for x in phrases[w]}):
         if f" {p} " in padded or f" {p} " in slashed:
             for c in canonicals:
                 if f" {c} " not in padded:
                     found[c] = None
-    for t in base.replace("/", " ").split():
+    for t in words:
         hit = fuzzy_alias(t)
         for c in reverse()[hit] if hit else ():
             if f" {c} " not in padded:

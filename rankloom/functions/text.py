@@ -7,12 +7,15 @@ plain Python twins serve the line splitter, where one line's reading depends on
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists and patterns that must agree with published behaviour for equal results.
 TOKEN = r"[a-z0-9+#.]+"
+TOKEN_RE = re.compile(TOKEN)
 SECTION_RULES = (
     (r"summary|objective|profile|^about|introduction|overview", "other"),
     (r"^(technical\s+|core\s+|key\s+|relevant\s+)?skills?|^technolog|competenc|expertise|proficienc|^tools|tech\s+stack", "skills"),
@@ -53,6 +56,16 @@ STOPWORDS = (
 REQ_LEAD = r"^(Experience|Ability to|Familiarity with|Comfortable with|Solid understanding of)\s+"
 
 
+#: Lines up to this length have their last answers kept, so many for each function.
+KEPT_LENGTH, KEPT = 400, 5_000
+
+
+def kept(f: Callable) -> Callable:
+    """``f`` of a line with its last answers on short lines kept: lines recur in a text's variants, and headings everywhere."""
+    short = lru_cache(maxsize=KEPT)(f)
+    return wraps(f)(lambda line, *rest: short(line, *rest) if len(line) <= KEPT_LENGTH else f(line, *rest))
+
+
 def ci(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.IGNORECASE | re.ASCII)
 
@@ -62,8 +75,11 @@ def normalize(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9.+#/\s-]", " "), r"\s+", " "))
 
 
+_FOREIGN, _BLANKS = re.compile(r"[^a-z0-9.+#/\s-]+"), re.compile(r"\s+")
+
+
 def normalize_py(x: str | None) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.+#/\s-]", " ", (x or "").lower())).strip()
+    return _BLANKS.sub(" ", _FOREIGN.sub(" ", (x or "").lower())).strip()
 
 
 def tokenize(x: Column) -> Column:
@@ -86,10 +102,16 @@ def is_negated(x: Column) -> Column:
 
 
 _NEG = [ci(p) for p in NEGATIONS]
+#: Words of which every disclaimer has one.
+_NEG_WORDS = frozenset("no not none never without lacking zero nil n nor but though although however limited minimal little only basic some".split())
+_LETTERS = re.compile("[a-z]+")
 
 
 def is_negated_py(x: str) -> bool:
     t = x.strip()
+    # a capital beyond ASCII may become a letter of a word that it bounds
+    if t.isascii() and _NEG_WORDS.isdisjoint(_LETTERS.findall(t.lower())):
+        return False
     return any(p.search(t) for p in _NEG)
 
 
@@ -117,11 +139,14 @@ _BULLET, _LABELLED, _DEGREE, _DATE = re.compile(BULLET), re.compile(LABELLED), c
 
 def heading_py(line: str, longest: int = 45) -> str | None:
     """The words of a line that has the shape of a heading: few, without an end mark, a bullet, a filled label or a degree."""
-    t = re.sub(r"[:\s]+$", "", line.strip())
+    t = line.strip()
+    while t.endswith(":"):
+        t = t.rstrip(":").rstrip()
     shaped = t and len(t) <= longest and len(t.split()) <= 5 and t[-1] not in ".!?,"
     return t if shaped and not any(p.search(x) for p, x in ((_BULLET, line), (_LABELLED, line), (_DEGREE, t))) else None
 
 
+@kept
 def section_of_py(line: str) -> str | None:
     t = heading_py(line)
     return next((s for p, s in _SECTION if p.search(t)), None) if t else None
@@ -146,14 +171,15 @@ def is_noise(x: Column, section: Column) -> Column:
     )
 
 
-_NOISE = [ci(p) for p in (DATE_ONLY, CONTACT_LABEL, EMAIL, BARE_PHONE, r"^https?://")]
-_PROFILE = ci(PROFILE)
+#: These begin at the start of a text.
+_NOISE = [ci(p) for p in (DATE_ONLY, CONTACT_LABEL, BARE_PHONE, r"^https?://")]
+_EMAIL, _PROFILE, _LETTER, _SEPARATED = ci(EMAIL), ci(PROFILE), re.compile("[A-Za-z]"), re.compile(r"[|·•]|\+?\d{6,}")
 
 
 def is_noise_py(x: str, section: str) -> bool:
-    if not x or len(x) < MIN_LENGTH.get(section, 12) or not re.search("[A-Za-z]", x):
+    if not x or len(x) < MIN_LENGTH.get(section, 12) or not _LETTER.search(x):
         return True
-    return any(p.search(x) for p in _NOISE) or bool(_PROFILE.search(x) and re.search(r"[|·•]|\+?\d{6,}", x))
+    return any(p.match(x) for p in _NOISE) or bool("@" in x and _EMAIL.search(x)) or bool(_SEPARATED.search(x) and _PROFILE.search(x))
 
 
 def informative_terms(x: Column, least: int) -> Column:

@@ -8,7 +8,6 @@ against which each batch of units is scored and at once reduced to its best unit
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import Config
 from rankloom.functions.numbers import half_up, sigmoid, stable, stable_np, z_score
-from rankloom.functions.text import TOKEN, filled, is_negated, tokenize
+from rankloom.functions.text import TOKEN_RE, filled, is_negated, tokenize
 from rankloom.session import materialize, places_in_groups
 
 #: Requirements scored together; more are taken in further blocks.
@@ -32,7 +31,6 @@ UNIT_BLOCK = 512
 CANDIDATE_UNITS = 4_096
 DIMENSIONS = 64
 TRACE = 5
-_TOKEN = re.compile(TOKEN)
 
 
 class Embedder(Protocol):
@@ -42,9 +40,29 @@ class Embedder(Protocol):
 
 
 @lru_cache(maxsize=200_000)
-def _place(feature: str) -> tuple[int, int]:
-    h = hashlib.md5(feature.encode()).hexdigest()  # noqa: S324 - a spread, not a secret
-    return int(h[:2], 16) % DIMENSIONS, 1 if h[2] < "8" else -1
+def _places(word: str) -> tuple[tuple[int, int], ...]:
+    """Dimension and sign of a word and of its stem."""
+    out = []
+    for feature in (word, word[:4] + "*")[: 1 + (len(word) > 4)]:
+        h = hashlib.md5(feature.encode()).hexdigest()  # noqa: S324 - a spread, not a secret
+        out.append((int(h[:2], 16) % DIMENSIONS, 1 if h[2] < "8" else -1))
+    return tuple(out)
+
+
+def hashed_counts(texts: list[str]) -> list[list[int]]:
+    """Sums of the signs that words and their four-letter stems have in each dimension."""
+    out = [[0] * DIMENSIONS for _ in texts]
+    for row, text in zip(out, texts):
+        for w in TOKEN_RE.findall((text or "").lower()):
+            for d, s in _places(w):
+                row[d] += s
+    return out
+
+
+def unit_rows(out: np.ndarray) -> np.ndarray:
+    """Rows brought to unit length in place; zero rows stay."""
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def hashed(texts: list[str]) -> np.ndarray:
@@ -52,16 +70,7 @@ def hashed(texts: list[str]) -> np.ndarray:
 
     It needs no model files and gives the same vectors on every worker. A trained model can take its place.
     """
-    out = np.zeros((len(texts), DIMENSIONS))
-    for row, text in zip(out, texts):
-        for w in _TOKEN.findall((text or "").lower()):
-            d, s = _place(w)
-            row[d] += s
-            if len(w) > 4:
-                d, s = _place(w[:4] + "*")
-                row[d] += s
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=out, where=norm > 0)
+    return unit_rows(np.array(hashed_counts(texts), dtype=float).reshape(len(texts), DIMENSIONS))
 
 
 def requirement_text(text: Column, aliases: Column) -> Column:
@@ -69,6 +78,12 @@ def requirement_text(text: Column, aliases: Column) -> Column:
     return F.concat_ws(" ", F.concat_ws(" | ", text, F.concat_ws(" ", aliases)))
 
 
+def query_columns() -> tuple[Column, Column]:
+    """What is scored of a requirement: ``e``, the text that is embedded, and ``q``, the words of its text and aliases."""
+    words = F.concat(tokenize(F.col("text")), F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), tokenize)))
+    return requirement_text(F.col("text"), F.col("aliases")).alias("e"), words.alias("q")
+
+
 def corpus_stats(units: DataFrame, field: str) -> DataFrame:
     """One row: number of units N and mean token count avgdl. Disclaimers and units without tokens count too."""
     return units.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokenize(F.col(field)))).alias("avgdl"))
@@ -101,7 +116,7 @@ class _Lexicon:
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.query.shape[1]))
         for k, text in enumerate(texts):
-            tokens = _TOKEN.findall((text or "").lower())
+            tokens = TOKEN_RE.findall((text or "").lower())
             tf = Counter(self.index[t] for t in tokens if t in self.index)
             if tf:
                 at = np.fromiter(tf.keys(), dtype=np.int64)
@@ -117,8 +132,7 @@ def _given(vectors: pd.Series, width: int) -> np.ndarray:
     for row, v in zip(out, vectors):
         if v is not None and len(v) == width:
             row[:] = v
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=out, where=norm > 0)
+    return unit_rows(out)
 
 
 def _best_runner(lexicons: dict[str, _Lexicon], vectors: np.ndarray, keys: list[str], embed: Embedder, trace: int):
@@ -174,9 +188,7 @@ def best_units(
     partitioned by candidate (a candidate of very many units over several tasks) and reduced batch by batch, so that
     what is shuffled after scoring is one row per candidate and requirement and task at most.
     """
-    rows = requirements.select(
-        "req_key", requirement_text(F.col("text"), F.col("aliases")).alias("e"), F.concat(tokenize(F.col("text")), F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), tokenize))).alias("q")
-    ).orderBy("req_key").collect()
+    rows = requirements.select("req_key", *query_columns()).orderBy("req_key").collect()
     terms = units.sparkSession.createDataFrame([(w,) for w in sorted({w for r in rows for w in r["q"]})], "term string")
     total = units.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(tokenize(F.col(f)))).alias(f) for f in fields]).first()
     held = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(tokenize(F.col(f))).alias("terms")) for f in fields])
@@ -277,6 +289,12 @@ def candidate_scores(cells: DataFrame, requirements: DataFrame, cfg: Config) ->
     )
 
 
+def scaled(raw: Column, lo: Column, hi: Column, cfg: Config) -> Column:
+    """A score on the scale, by its place in the pool's span; the middle of the scale where the pool has none."""
+    part = F.when(hi - lo < 1e-9, F.lit(0.5)).otherwise((raw - lo) / (hi - lo))
+    return half_up(stable(F.lit(cfg.score_min) + part * (cfg.score_max - cfg.score_min)), 1)
+
+
 def rank_candidates(scores: DataFrame, candidates: DataFrame, cfg: Config, extra: tuple[str, ...] = ()) -> DataFrame:
     """Scaled to the pool's span (the middle of the scale where it has none) and ranked 1..n by the unrounded score.
 
@@ -286,8 +304,7 @@ def rank_candidates(scores: DataFrame, candidates: DataFrame, cfg: Config, extra
     keys = [*extra, "jd_id"]
     scores = materialize(scores)
     span = scores.groupBy(*keys).agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
-    scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-9, F.lit(0.5)).otherwise((F.col("raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    final = half_up(stable(F.lit(cfg.score_min) + scaled * (cfg.score_max - cfg.score_min)), 1)
+    final = scaled(F.col("raw"), F.col("_lo"), F.col("_hi"), cfg)
     named = scores.join(F.broadcast(span), keys).join(candidates.select("candidate_id", "name"), "candidate_id").withColumn("final_score", final).drop("_lo", "_hi")
     order = [F.col("raw").desc(), F.collate(F.coalesce("name", F.lit("")), "UNICODE"), F.col("candidate_id")]
     return places_in_groups(named, keys, order, "rank", kept=True)

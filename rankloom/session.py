@@ -31,18 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, tidy: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tidy: bool = False, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The files outlive a lost executor; they are deleted when the driver's JVM ends, or by ``discard``. If ``tidy``, the shuffle files of the
-    write are deleted as soon as it ends, not when the driver happens to collect its garbage.
+    write are deleted as soon as it ends, not when the driver happens to collect its garbage. ``codec`` compresses in another way than the session's.
     """
     spark = df.sparkSession
     target = f"{shared_dir(spark)}/rankloom-{uuid.uuid4().hex}"
     before = spark.conf.get(_TIDY, "false")
     spark.conf.set(_TIDY, "true" if tidy else before)
     try:
-        df.write.mode("error").parquet(target)
+        df.write.mode("error").parquet(target, compression=codec)
     finally:
         spark.conf.set(_TIDY, before)
     jvm = spark.sparkContext._jvm
